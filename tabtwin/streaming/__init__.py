@@ -1,0 +1,6 @@
+"""Stream processing.
+
+The reference has no streams, watermarks, windows over event time or state; every
+source is one whole-table read. Nothing here is needed for parity: the batch operators
+take any DataFrame, so a caller can apply them inside ``foreachBatch`` of a stream.
+"""
