@@ -70,3 +70,163 @@ ORACLES["hellinger_numeric"] = (f"{univariate_ctes()} SELECT column_name, round(
 ORACLES["hellinger_categorical"] = (f"{univariate_ctes()} SELECT column_name, round(hellinger_distance, 6) "
                                     f"AS hellinger_distance FROM disc")
 ORACLES["total_variation"] = f"{univariate_ctes()} SELECT column_name, round(tvd, 6) AS tvd FROM disc"
+
+
+# ---- sources, contracts, transforms, splits ------------------------------------------
+
+from tabtwin.functions.hashing import hash_uniform_sql as _u  # noqa: E402
+
+PRE = fx.oracle_prelude()
+SPLIT = PRE + fx.oracle_split_ctes()
+R6 = "round({0}, 6) AS {0}"
+COHORT_COLS = ["rid", "amount", "balance", "month_no", "is_urgent", "is_finished", "target", "segment",
+               "region", "priority"]
+
+
+def _r(cols, doubles=("amount", "balance")):
+    return ", ".join(R6.format(c) if c in doubles else c for c in cols)
+
+
+ORACLES["load_table"] = f"{PRE} SELECT {_r(COHORT_COLS)} FROM real_side"
+ORACLES["load_table_inferred"] = (
+    f"{PRE} SELECT CAST(rid AS BIGINT) AS rid, round(amount, 6) AS amount, round(balance, 6) AS balance, "
+    "CAST(month_no AS BIGINT) AS month_no, CAST(is_urgent AS BIGINT) AS is_urgent, "
+    "CAST(is_finished AS BIGINT) AS is_finished, CAST(target AS BIGINT) AS target, segment, region, priority "
+    "FROM synth_side")
+ORACLES["upsert_result"] = f"""{PRE},
+old AS (SELECT segment AS generator, avg(amount) AS mean_amount, count(*) AS n FROM cohort GROUP BY segment),
+new AS (SELECT segment AS generator, avg(balance) AS mean_balance, count(*) AS n FROM cohort
+        WHERE segment IN ('BUILDING', 'MACHINERY') GROUP BY segment)
+SELECT generator, round(mean_amount, 6) AS mean_amount, n, CAST(NULL AS DOUBLE) AS mean_balance FROM old
+WHERE generator NOT IN (SELECT generator FROM new)
+UNION ALL SELECT generator, CAST(NULL AS DOUBLE), n, round(mean_balance, 6) FROM new"""
+ORACLES["column_metadata"] = ("SELECT * FROM (VALUES ('amount', 'numerical'), ('balance', 'numerical'), "
+                              "('month_no', 'numerical'), ('is_urgent', 'categorical'), ('is_finished', 'categorical'), "
+                              "('target', 'categorical'), ('segment', 'categorical'), ('region', 'categorical'), "
+                              "('priority', 'categorical')) t(column_name, sdtype)")
+ORACLES["validate_columns"] = """WITH cols(column_name) AS (VALUES ('rid'), ('amount'), ('balance'), ('month_no'),
+  ('is_urgent'), ('is_finished'), ('target'), ('segment'), ('region'), ('priority')),
+declared(column_name) AS (VALUES ('amount'), ('balance'), ('ghost'), ('is_urgent'), ('target'), ('segment'),
+  ('region'), ('amount'))
+SELECT 'undeclared' AS problem, column_name FROM cols WHERE column_name NOT IN (SELECT column_name FROM declared)
+UNION ALL SELECT DISTINCT 'stale', column_name FROM declared WHERE column_name NOT IN (SELECT column_name FROM cols)
+UNION ALL SELECT 'duplicated', column_name FROM declared GROUP BY column_name HAVING count(*) > 1"""
+ORACLES["schema_compat"] = ("SELECT * FROM (VALUES ('synth_side', 'missing_column', 'priority', NULL), "
+                            "('synth_side', 'extra_column', 'extra_flag', NULL), "
+                            "('synth_side', 'dtype_mismatch', 'month_no', 'reference int, candidate double')) "
+                            "t(file_name, problem, column_name, detail)")
+_cand = ("cand AS (SELECT rid, is_urgent + 1 AS is_urgent, is_finished, target, segment, "
+         "CASE WHEN rid % 97 = 0 THEN 'ANTARCTICA' ELSE region END AS region, priority FROM synth_side)")
+ORACLES["domain_subset"] = f"{PRE}, {_cand} " + " UNION ALL ".join(
+    f"(SELECT DISTINCT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM cand WHERE {c} IS NOT NULL "
+    f"EXCEPT SELECT DISTINCT '{c}', CAST({c} AS VARCHAR) FROM real_side)" for c in DISC)
+ORACLES["strat_rate_check"] = f"""{SPLIT},
+per AS (SELECT split, count(*) AS n, avg(CAST(target AS DOUBLE)) AS rate FROM labelled GROUP BY split),
+ov AS (SELECT avg(CAST(target AS DOUBLE)) AS overall_rate FROM labelled)
+SELECT split, n, round(rate, 6) AS rate, round(overall_rate, 6) AS overall_rate,
+  round(abs(rate - overall_rate), 6) AS deviation, abs(rate - overall_rate) < 0.005 AS ok FROM per, ov"""
+_u_ep = _u(24, "split", "rid")
+ORACLES["empty_partition_check"] = f"""{PRE},
+c AS (SELECT rid, concat_ws('/', segment, region, priority, CAST(month_no AS VARCHAR)) AS stratum FROM cohort),
+r AS (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_u_ep}, rid) AS rk,
+             count(*) OVER (PARTITION BY stratum) AS n FROM c),
+l AS (SELECT stratum, n, CASE WHEN rk <= floor(n * 0.9::DOUBLE) THEN 'train'
+        WHEN rk <= floor(n * 0.9::DOUBLE) + floor(n * 0.05::DOUBLE) THEN 'test' ELSE 'val' END AS split FROM r),
+s AS (SELECT stratum, n, count(*) FILTER (WHERE split = 'train') AS n_train,
+        count(*) FILTER (WHERE split = 'test') AS n_test, count(*) FILTER (WHERE split = 'val') AS n_val
+      FROM l GROUP BY stratum, n)
+SELECT stratum, n, 'train' AS split FROM s WHERE n_train = 0
+UNION ALL SELECT stratum, n, 'test' FROM s WHERE n_test = 0
+UNION ALL SELECT stratum, n, 'val' FROM s WHERE n_val = 0"""
+ORACLES["apply_decisions"] = (f"{PRE} SELECT {_r(COHORT_COLS)} FROM cohort "
+                              "WHERE priority IS DISTINCT FROM '5-LOW'")
+ORACLES["apply_types"] = (f"{PRE} SELECT rid, round(amount, 6) AS amount, round(balance, 6) AS balance, "
+                          "round(CAST(month_no AS DOUBLE), 6) AS month_no, " +
+                          ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in
+                                    ["is_urgent", "is_finished", "target", "segment", "region", "priority"]) +
+                          " FROM real_side")
+ORACLES["restore_types"] = (
+    f"{PRE} SELECT CAST(round_even(CAST(rid AS DOUBLE), 0) AS BIGINT) AS rid, round(amount * 2, 6) AS amount, "
+    "round(balance, 6) AS balance, CAST(round_even(month_no + 0.5, 0) AS INTEGER) AS month_no, "
+    "is_urgent, is_finished, CAST(round_even(target - 0.5, 0) AS INTEGER) AS target, segment, region, priority "
+    "FROM synth_side")
+ORACLES["missing_indicator"] = (f"{PRE} SELECT rid, CAST(balance IS NULL AS INTEGER) AS balance_missing, "
+                                "CAST(priority IS NULL AS INTEGER) AS priority_missing FROM cohort")
+_band_edges = [0, 100000, 200000, 300000, 400000, 500000]
+ORACLES["band"] = f"{PRE} SELECT rid, CASE " + " ".join(
+    f"WHEN amount > {lo} AND amount <= {hi} THEN '({lo}, {hi}]'" for lo, hi in zip(_band_edges, _band_edges[1:])
+) + " END AS amount_band FROM cohort"
+
+
+def _bin_sql(c, lo, hi, bins=10):
+    w = (hi - lo) / bins
+    edges = [lo + i * w for i in range(bins + 1)]
+    edges[-1] = hi
+    arr = "[" + ", ".join(repr(float(e)) + "::DOUBLE" for e in edges) + "]"
+    return (f"CASE WHEN {c} IS NULL OR {c} < {float(lo)!r} OR {c} > {float(hi)!r} THEN NULL ELSE "
+            f"greatest(1, len(list_filter({arr}, lambda e: e < {c}))) - 1 END")
+
+
+def _mid_sql(code, lo, hi, bins=10):
+    w = (hi - lo) / bins
+    mids = [((lo + i * w) + (hi if i + 1 == bins else lo + (i + 1) * w)) / 2 for i in range(bins)]
+    arr = "[" + ", ".join(repr(float(m)) + "::DOUBLE" for m in mids) + "]"
+    k = f"TRY_CAST({code} AS INTEGER)"
+    return f"CASE WHEN {k} >= 0 AND {k} < {bins} THEN {arr}[{k} + 1] END"
+
+
+def _discretised_sql(src="real_side"):
+    parts = []
+    for c in COHORT_COLS:
+        if c in fx.COHORT_DP.bounds:
+            lo, hi = fx.COHORT_DP.bounds[c]
+            parts.append(f"coalesce(CAST({_bin_sql(c, lo, hi)} AS VARCHAR), 'NA') AS {c}")
+        else:
+            parts.append(f"coalesce(CAST({c} AS VARCHAR), 'NA') AS {c}")
+    return f"SELECT {', '.join(parts)} FROM {src}"
+
+
+ORACLES["discretise"] = f"{PRE} {_discretised_sql()}"
+ORACLES["undiscretise"] = f"{PRE}, coded AS ({_discretised_sql()}) SELECT " + ", ".join(
+    (f"round({_mid_sql(c, *fx.COHORT_DP.bounds[c])}, 6) AS {c}" if c in fx.COHORT_DP.bounds else
+     f"CASE WHEN {c} IN ('NA', '') THEN NULL ELSE {c} END AS {c}") for c in COHORT_COLS) + " FROM coded"
+_holes = ", ".join("rid" if c == "rid" else f"CASE WHEN rid % 13 = 0 THEN NULL ELSE {c} END AS {c}"
+                   for c in COHORT_COLS)
+
+
+def _mode_sql(c, src="real_side"):
+    return f"(SELECT {c} FROM {src} GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+
+
+ORACLES["impute_from_reference"] = f"""{PRE}, holes AS (SELECT {_holes} FROM synth_side)
+SELECT rid, round(coalesce(amount, (SELECT quantile_cont(amount, 0.5) FROM real_side)), 6) AS amount,
+  round(balance, 6) AS balance,
+  coalesce(month_no, CAST(trunc((SELECT quantile_cont(month_no, 0.5) FROM real_side)) AS INTEGER)) AS month_no,
+  coalesce(is_urgent, {_mode_sql('is_urgent')}) AS is_urgent,
+  coalesce(is_finished, {_mode_sql('is_finished')}) AS is_finished,
+  coalesce(target, {_mode_sql('target')}) AS target,
+  coalesce(segment, {_mode_sql('segment')}) AS segment,
+  coalesce(region, {_mode_sql('region')}) AS region, priority FROM holes"""
+ORACLES["stratified_split"] = f"{SPLIT} SELECT rid, target, split FROM labelled"
+_u7 = _u(7, "split", "rid")
+ORACLES["stratified_split_val"] = f"""{PRE},
+r AS (SELECT rid, segment, row_number() OVER (PARTITION BY segment ORDER BY {_u7}, rid) AS rk,
+      count(*) OVER (PARTITION BY segment) AS n FROM cohort WHERE segment IS NOT NULL)
+SELECT rid, segment, CASE WHEN rk <= floor(n * 0.7::DOUBLE) THEN 'train'
+  WHEN rk <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'test' ELSE 'val' END AS split FROM r"""
+ORACLES["seeded_shuffle"] = (f"{PRE} SELECT rid, row_number() OVER (ORDER BY {_u(24, 'shuffle', 'rid')}, rid) "
+                             "AS position FROM real_side")
+ORACLES["stratified_holdout"] = f"""{PRE},
+both_ AS (SELECT rid, 1 AS is_real FROM real_side UNION ALL SELECT rid, 0 FROM synth_side),
+r AS (SELECT rid, is_real, row_number() OVER (PARTITION BY is_real ORDER BY {_u(24, 'holdout', 'rid')}, rid) AS rk,
+      count(*) OVER (PARTITION BY is_real) AS n FROM both_)
+SELECT rid, is_real, CASE WHEN rk <= floor(n * {1.0 - 0.3!r}::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r"""
+ORACLES["bootstrap_sample"] = f"""{PRE},
+donors AS (SELECT rid, amount, row_number() OVER (ORDER BY {_u(24, 'bootstrap#order', 'rid')}, rid) - 1 AS idx
+           FROM real_side),
+m AS (SELECT count(*) AS m FROM real_side),
+draws AS (SELECT unnest(range(m)) AS draw_id, m FROM m)
+SELECT draw_id, rid, round(amount, 6) AS amount FROM draws
+JOIN donors ON donors.idx = CAST(floor({_u(24, 'bootstrap', 'draw_id')} * m) AS BIGINT)"""
+ORACLES["attack_target_sample"] = (f"{PRE} SELECT rid, segment, round(amount, 6) AS amount FROM real_side "
+                                   f"ORDER BY {_u(24, 'targets', 'rid')}, rid LIMIT 200")

@@ -72,3 +72,218 @@ def q_tvd(spark, sf_dir):
     from tabtwin.operators.univariate import discrete_distances
     real, synth = fx.sides(spark, sf_dir)
     return rounded(discrete_distances(real, synth, fx.COHORT_COLUMNS.discrete).select("column_name", "tvd"))
+
+
+# ---- sources and sinks ---------------------------------------------------------------
+
+def _scratch(spark, name):
+    from tabtwin.session import scratch_path
+    return scratch_path(spark, name)
+
+
+COHORT_TYPES = {"rid": "bigint", "amount": "double", "balance": "double", "month_no": "int", "is_urgent": "int",
+                "is_finished": "int", "target": "int", "segment": "string", "region": "string", "priority": "string"}
+
+
+@register("load_table")
+def q_load_table(spark, sf_dir):
+    """CSV round trip: write real_side (nulls as NA) then read it back under the declared types."""
+    from tabtwin.sources.io import load_table, write_table
+    path = _scratch(spark, "load_table") + ".csv"
+    write_table(fx.real_side(spark, sf_dir), path)
+    return rounded(load_table(spark, path, COHORT_TYPES))
+
+
+@register("load_table_inferred")
+def q_load_table_inferred(spark, sf_dir):
+    """Same round trip with type inference (integer / double / string per column)."""
+    from tabtwin.sources.io import load_table, write_table
+    path = _scratch(spark, "load_inferred") + ".csv"
+    write_table(fx.synth_side(spark, sf_dir), path)
+    df = load_table(spark, path)
+    return rounded(df.select(*[F.col(c) for c in df.columns]))
+
+
+@register("upsert_result")
+def q_upsert(spark, sf_dir):
+    """Keyed upsert of per-segment result rows: new rows replace old ones with the same key."""
+    from tabtwin.sources.io import upsert_result
+    c = fx.cohort(spark, sf_dir)
+    old = c.groupBy(F.col("segment").alias("generator")).agg(F.avg("amount").alias("mean_amount"),
+                                                             F.count(F.lit(1)).alias("n"))
+    new = (c.filter(F.col("segment").isin("BUILDING", "MACHINERY"))
+           .groupBy(F.col("segment").alias("generator"))
+           .agg(F.avg("balance").alias("mean_balance"), F.count(F.lit(1)).alias("n")))
+    return rounded(upsert_result(old, new, "generator"))
+
+
+@register("column_metadata")
+def q_metadata(spark, sf_dir):
+    from tabtwin.sources.io import column_metadata
+    fx.cohort(spark, sf_dir)
+    return column_metadata(spark, fx.COHORT_COLUMNS)
+
+
+# ---- contracts -----------------------------------------------------------------------
+
+@register("validate_columns")
+def q_validate(spark, sf_dir):
+    """Contract report for a declaration with a stale, a duplicated and undeclared columns."""
+    from tabtwin.operators.contract import column_report
+    from tabtwin.spec import ColumnSpec
+    spec = ColumnSpec(numeric=("amount", "balance", "ghost"), binary=("is_urgent", "target"),
+                      categorical=("segment", "region", "amount"))
+    return column_report(fx.cohort(spark, sf_dir), spec)
+
+
+@register("schema_compat")
+def q_schema_compat(spark, sf_dir):
+    from tabtwin.operators.contract import schema_compat
+    real, synth = fx.sides(spark, sf_dir)
+    cand = synth.drop("priority").withColumn("month_no", F.col("month_no").cast("double")) \
+        .withColumn("extra_flag", F.lit(1))
+    return schema_compat(real, cand, "synth_side")
+
+
+@register("domain_subset")
+def q_domain_subset(spark, sf_dir):
+    """Recoded levels (0/1 -> 1/2) and new categories are caught as values outside the reference."""
+    from tabtwin.operators.contract import domain_subset
+    real, synth = fx.sides(spark, sf_dir)
+    cand = synth.withColumn("is_urgent", F.col("is_urgent") + 1) \
+        .withColumn("region", F.when(F.col("rid") % 97 == 0, F.lit("ANTARCTICA")).otherwise(F.col("region")))
+    return domain_subset(real, cand, fx.COHORT_COLUMNS.discrete)
+
+
+@register("strat_rate_check")
+def q_strat_rate(spark, sf_dir):
+    from tabtwin.operators.contract import strat_rate_check
+    from tabtwin.operators.split import stratified_split
+    labelled = stratified_split(fx.real_side(spark, sf_dir), fx.COHORT_SPLIT, fx.COHORT_SEED)
+    return rounded(strat_rate_check(labelled, "target"))
+
+
+@register("empty_partition_check")
+def q_empty_partition(spark, sf_dir):
+    """Strata (segment x region x priority) too small to give rows to every split of 90/5/5."""
+    from tabtwin.operators.contract import empty_partition_check
+    from tabtwin.operators.split import stratified_split
+    from tabtwin.spec import SplitSpec
+    c = fx.cohort(spark, sf_dir).withColumn("stratum", F.concat_ws("/", "segment", "region", "priority",
+                                                                    F.col("month_no").cast("string")))
+    spec = SplitSpec(train_size=0.9, test_size=0.05, val_size=0.05, stratify_col="stratum")
+    labelled = stratified_split(c, spec, fx.COHORT_SEED)
+    return empty_partition_check(labelled, "stratum", splits=("train", "test", "val"))
+
+
+# ---- transforms ----------------------------------------------------------------------
+
+@register("apply_decisions")
+def q_decisions(spark, sf_dir):
+    """Drop the key column and every row of the rare level, keeping rows with a missing level."""
+    from tabtwin.operators.transform import apply_decisions
+    c = fx.cohort(spark, sf_dir)
+    out = apply_decisions(c.withColumn("id", F.col("rid")), ("id",), {"priority": ["5-LOW"]})
+    return rounded(out)
+
+
+@register("apply_types")
+def q_apply_types(spark, sf_dir):
+    from tabtwin.operators.transform import apply_types
+    return rounded(apply_types(fx.real_side(spark, sf_dir), fx.COHORT_COLUMNS))
+
+
+@register("restore_types")
+def q_restore_types(spark, sf_dir):
+    """String labels and fractional values cast back to the real schema (integers half-even)."""
+    from tabtwin.operators.transform import restore_types
+    real, synth = fx.sides(spark, sf_dir)
+    labels = synth.select(
+        "rid", (F.col("amount") * 2).alias("amount"), F.col("balance").cast("string").alias("balance"),
+        (F.col("month_no") + F.lit(0.5)).alias("month_no"), F.col("is_urgent").cast("string").alias("is_urgent"),
+        F.col("is_finished").cast("string").alias("is_finished"), (F.col("target") - F.lit(0.5)).alias("target"),
+        "segment", "region", "priority")
+    return rounded(restore_types(labels, real.schema))
+
+
+@register("missing_indicator")
+def q_missing_indicator(spark, sf_dir):
+    from tabtwin.operators.transform import missing_indicator
+    c = fx.cohort(spark, sf_dir)
+    return c.select("rid", missing_indicator("balance"), missing_indicator("priority"))
+
+
+@register("band")
+def q_band(spark, sf_dir):
+    from tabtwin.functions.binning import band
+    c = fx.cohort(spark, sf_dir)
+    return c.select("rid", band(F.col("amount"), [0, 100000, 200000, 300000, 400000, 500000]).alias("amount_band"))
+
+
+@register("discretise")
+def q_discretise(spark, sf_dir):
+    from tabtwin.operators.transform import discretise
+    return discretise(fx.real_side(spark, sf_dir), fx.COHORT_DP.bounds, 10)
+
+
+@register("undiscretise")
+def q_undiscretise(spark, sf_dir):
+    from tabtwin.operators.transform import discretise, undiscretise
+    coded = discretise(fx.real_side(spark, sf_dir), fx.COHORT_DP.bounds, 10)
+    return rounded(undiscretise(coded, fx.COHORT_DP.bounds, 10))
+
+
+@register("impute_from_reference")
+def q_impute(spark, sf_dir):
+    """Blank out some cells of synth_side, then refill complete-in-real columns from real_side."""
+    from tabtwin.operators.transform import impute_from_reference
+    real, synth = fx.sides(spark, sf_dir)
+    holes = synth.select(*[F.when(F.col("rid") % 13 == 0, F.lit(None)).otherwise(F.col(c)).alias(c)
+                           if c != "rid" else F.col(c) for c in synth.columns])
+    return rounded(impute_from_reference(holes, real, fx.COHORT_COLUMNS))
+
+
+# ---- splits and sampling -------------------------------------------------------------
+
+@register("stratified_split")
+def q_split(spark, sf_dir):
+    from tabtwin.operators.split import stratified_split
+    labelled = stratified_split(fx.real_side(spark, sf_dir), fx.COHORT_SPLIT, fx.COHORT_SEED)
+    return labelled.select("rid", "target", "split")
+
+
+@register("stratified_split_val")
+def q_split_val(spark, sf_dir):
+    from tabtwin.operators.split import stratified_split
+    from tabtwin.spec import SplitSpec
+    spec = SplitSpec(train_size=0.7, test_size=0.15, val_size=0.15, stratify_col="segment")
+    return stratified_split(fx.cohort(spark, sf_dir), spec, 7).select("rid", "segment", "split")
+
+
+@register("seeded_shuffle")
+def q_shuffle(spark, sf_dir):
+    from tabtwin.operators.split import hash_rank
+    ranked = hash_rank(fx.real_side(spark, sf_dir), fx.COHORT_SEED, "shuffle", "rid")
+    return ranked.select("rid", F.col("_rank").alias("position"))
+
+
+@register("stratified_holdout")
+def q_holdout(spark, sf_dir):
+    from tabtwin.operators.split import stratified_holdout
+    real, synth = fx.sides(spark, sf_dir)
+    both = real.select("rid", F.lit(1).alias("is_real")).unionByName(synth.select("rid", F.lit(0).alias("is_real")))
+    return stratified_holdout(both, "is_real", fx.COHORT_SEED).select("rid", "is_real", "split")
+
+
+@register("bootstrap_sample")
+def q_bootstrap(spark, sf_dir):
+    from tabtwin.operators.split import bootstrap_sample
+    real = fx.real_side(spark, sf_dir)
+    n = real.count()
+    return bootstrap_sample(real.select("rid", "amount"), n, fx.COHORT_SEED).select("draw_id", "rid", "amount")
+
+
+@register("attack_target_sample")
+def q_targets(spark, sf_dir):
+    from tabtwin.operators.split import attack_target_sample
+    return attack_target_sample(fx.real_side(spark, sf_dir), 200, fx.COHORT_SEED).select("rid", "segment", "amount")
