@@ -230,3 +230,111 @@ SELECT draw_id, rid, round(amount, 6) AS amount FROM draws
 JOIN donors ON donors.idx = CAST(floor({_u(24, 'bootstrap', 'draw_id')} * m) AS BIGINT)"""
 ORACLES["attack_target_sample"] = (f"{PRE} SELECT rid, segment, round(amount, 6) AS amount FROM real_side "
                                    f"ORDER BY {_u(24, 'targets', 'rid')}, rid LIMIT 200")
+
+
+# ---- profile ---------------------------------------------------------------------------
+
+def _long(table, cols, cast, extra=""):
+    return "(" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS {cast}) AS value{extra} FROM {table}" for c in cols) + ")"
+
+
+ORACLES["value_counts"] = f"""{PRE}, c AS (SELECT column_name, value, count(*) AS count FROM {_long('cohort', DISC, 'VARCHAR')}
+  GROUP BY column_name, value)
+SELECT column_name, value, count, round(count / sum(count) OVER (PARTITION BY column_name), 6) AS proportion FROM c"""
+
+
+def _describe(table, cols):
+    return f"""SELECT column_name, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+  round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
+  round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max
+FROM {_long(table, cols, 'DOUBLE')} GROUP BY column_name"""
+
+
+ORACLES["describe"] = f"{PRE} {_describe('cohort', NUM)}"
+ORACLES["describe_lineitem"] = _describe("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+ORACLES["missing_profile"] = f"{PRE} SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS count, "
+    f"round(round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 2), 6) AS percent FROM cohort"
+    for c in COHORT_COLS) + ") WHERE count > 0"
+
+
+def _grouped(value_expr, cols, name):
+    return " UNION ALL ".join(
+        f"SELECT '{g}' AS group_column, CAST({g} AS VARCHAR) AS group_value, count(*) AS n, "
+        f"round(avg({value_expr}), 6) AS {name} FROM cohort WHERE {g} IS NOT NULL GROUP BY {g}" for g in cols)
+
+
+ORACLES["group_missing_rate"] = f"{PRE} " + _grouped(
+    "CAST(balance IS NULL AS DOUBLE)", ["target", "is_urgent", "is_finished", "segment", "priority"], "missing_rate")
+ORACLES["group_target_rate"] = (f"{PRE}, g AS ({_grouped('CAST(target AS DOUBLE)', ['is_urgent', 'segment', 'region', 'priority'], 'target_rate')}) "
+                                "SELECT g.*, (SELECT round(avg(CAST(target AS DOUBLE)), 6) FROM cohort) AS overall_rate FROM g")
+ORACLES["class_balance"] = f"""{PRE} SELECT count(*) FILTER (WHERE target = 1) AS positives,
+  count(*) FILTER (WHERE target = 0) AS negatives,
+  round(count(*) FILTER (WHERE target = 1) * 100.0 / count(*), 6) AS percent_positive,
+  round(CAST(count(*) FILTER (WHERE target = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE target = 1), 0), 6)
+    AS imbalance_ratio FROM cohort"""
+ORACLES["conditional_mean_shift"] = f"""{PRE} SELECT column_name, round(avg(value) FILTER (WHERE target = 1), 6) AS mean_positive,
+  round(avg(value) FILTER (WHERE target = 0), 6) AS mean_negative,
+  round(avg(value) FILTER (WHERE target = 1) - avg(value) FILTER (WHERE target = 0), 6) AS shift
+FROM {_long('cohort', NUM, 'DOUBLE', ', target')} GROUP BY column_name"""
+ORACLES["extremes"] = (f"{PRE} SELECT column_name, round(min(value), 6) AS min, round(max(value), 6) AS max "
+                       f"FROM {_long('cohort', NUM, 'DOUBLE')} GROUP BY column_name")
+ORACLES["histogram_table"] = f"""{PRE},
+l AS (SELECT * FROM {_long('cohort', NUM, 'DOUBLE', ', target')} WHERE value IS NOT NULL),
+rg AS (SELECT column_name, min(value) AS lo, max(value) AS hi FROM l GROUP BY column_name),
+e AS (SELECT column_name, list_transform(range(11), lambda i: lo + i * ((hi - lo) / 10)) AS edges FROM rg),
+b AS (SELECT l.column_name, l.target, edges,
+        least(9, len(list_filter(edges[2:10], lambda x: x <= l.value))) AS bin FROM l JOIN e USING (column_name)),
+c AS (SELECT column_name, target, bin, edges, count(*) AS count FROM b GROUP BY column_name, target, bin, edges)
+SELECT column_name, target, bin, round(edges[bin + 1], 6) AS lo, round(edges[bin + 2], 6) AS hi, count,
+  round(count / sum(count) OVER (PARTITION BY column_name, target) * 1.0, 6) AS share FROM c"""
+ORACLES["kde_table"] = f"""{PRE},
+l AS (SELECT column_name, value, side FROM (SELECT * FROM {_long('real_side', ['amount', 'month_no'], 'DOUBLE', ", 'real' AS side")}
+      UNION ALL SELECT * FROM {_long('synth_side', ['amount', 'month_no'], 'DOUBLE', ", 'synthetic' AS side")})
+      WHERE value IS NOT NULL),
+st AS (SELECT column_name, side, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h,
+       min(value) AS lo, max(value) AS hi FROM l GROUP BY column_name, side),
+sp AS (SELECT column_name, min(lo) - 3.0 * max(h) AS g0, max(hi) + 3.0 * max(h) AS g1 FROM st GROUP BY column_name),
+g AS (SELECT column_name, unnest(range(200)) AS grid_index, g0, g1 FROM sp),
+gx AS (SELECT column_name, grid_index, g0 + grid_index * ((g1 - g0) / 199) AS x, g1 - g0 AS span FROM g),
+d AS (SELECT l.column_name, l.side, value, count(*) AS w FROM l GROUP BY ALL)
+SELECT gx.column_name, st.side, gx.grid_index,
+  round(sum(d.w * exp(-0.5 * ((gx.x - d.value) / st.h) * ((gx.x - d.value) / st.h))) / (st.n * st.h * sqrt(2 * pi()))
+        * max(gx.span), 6) AS scaled_density
+FROM gx JOIN st ON gx.column_name = st.column_name JOIN d ON d.column_name = st.column_name AND d.side = st.side
+GROUP BY gx.column_name, st.side, gx.grid_index, st.n, st.h"""
+
+
+def _kanon(cols, src="cohort"):
+    nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    return f"""SELECT count(*) AS total_combinations, count(*) FILTER (WHERE count = 1) AS unique_combinations,
+  count(*) FILTER (WHERE count <= 5) AS near_unique_combinations,
+  coalesce(sum(count) FILTER (WHERE count <= 5), 0) AS rows_in_near_unique
+FROM (SELECT {', '.join(cols)}, count(*) AS count FROM {src} WHERE {nn} GROUP BY ALL)"""
+
+
+ORACLES["k_anonymity_profile"] = f"{PRE} " + _kanon(["segment", "region", "priority", "is_urgent"])
+_bandsql = "CASE " + " ".join(f"WHEN amount > {lo} AND amount <= {hi} THEN '({lo}, {hi}]'"
+                              for lo, hi in zip(_band_edges, _band_edges[1:])) + " END"
+ORACLES["k_anonymity_quasi_identifiers"] = (f"{PRE}, c AS (SELECT *, {_bandsql} AS amount_band FROM cohort) " +
+                                            _kanon(["segment", "region", "is_urgent", "month_no", "amount_band"], "c"))
+ORACLES["rarest_combos"] = (f"{PRE} SELECT segment, region, priority, is_urgent, count(*) AS count FROM cohort "
+                            "WHERE segment IS NOT NULL AND region IS NOT NULL AND priority IS NOT NULL AND is_urgent IS NOT NULL "
+                            "GROUP BY ALL ORDER BY count, segment, region, priority, is_urgent LIMIT 10")
+ORACLES["duplicate_rows"] = ("SELECT coalesce(sum(n - 1), 0) AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem "
+                             "GROUP BY l_linenumber, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax)")
+_pc = NUM + ["is_urgent", "is_finished", "target"]
+ORACLES["pearson_matrix"] = f"{PRE} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CASE WHEN var_pop(CAST({a} AS DOUBLE)) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) > 0 "
+    f"AND var_pop(CAST({b} AS DOUBLE)) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) > 0 "
+    f"THEN round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) END AS r FROM cohort"
+    for i, a in enumerate(_pc) for b in _pc[i + 1:])
+ORACLES["head"] = f"{PRE} SELECT {_r(COHORT_COLS)} FROM cohort ORDER BY rid LIMIT 5"
+ORACLES["schema_info"] = ("SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{c}', {{nn_{c}}}, '{t}')" for i, (c, t) in enumerate(zip(COHORT_COLS, [
+        "bigint", "double", "double", "int", "int", "int", "int", "string", "string", "string"]))) + ") t(position, column_name, non_null, dtype)")
+ORACLES["schema_info"] = f"{PRE} " + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, count({c}) AS non_null, '{t}' AS dtype FROM cohort"
+    for i, (c, t) in enumerate(zip(COHORT_COLS, ["bigint", "double", "double", "int", "int", "int", "int", "string",
+                                                 "string", "string"])))

@@ -287,3 +287,130 @@ def q_bootstrap(spark, sf_dir):
 def q_targets(spark, sf_dir):
     from tabtwin.operators.split import attack_target_sample
     return attack_target_sample(fx.real_side(spark, sf_dir), 200, fx.COHORT_SEED).select("rid", "segment", "amount")
+
+
+# ---- profile (EDA) -------------------------------------------------------------------
+
+@register("value_counts")
+def q_value_counts(spark, sf_dir):
+    from tabtwin.operators.profile import value_counts_table
+    return rounded(value_counts_table(fx.cohort(spark, sf_dir), fx.COHORT_COLUMNS.discrete))
+
+
+@register("describe")
+def q_describe(spark, sf_dir):
+    from tabtwin.operators.profile import describe
+    return rounded(describe(fx.cohort(spark, sf_dir), fx.COHORT_COLUMNS.continuous))
+
+
+@register("describe_lineitem")
+def q_describe_lineitem(spark, sf_dir):
+    from tabtwin.operators.profile import describe
+    fx.register_tables(spark, sf_dir, ("lineitem",))
+    return rounded(describe(spark.table("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+@register("missing_profile")
+def q_missing(spark, sf_dir):
+    from tabtwin.operators.profile import missing_profile
+    return rounded(missing_profile(fx.cohort(spark, sf_dir)))
+
+
+@register("group_missing_rate")
+def q_group_missing(spark, sf_dir):
+    from tabtwin.operators.profile import group_missing_rate
+    return rounded(group_missing_rate(fx.cohort(spark, sf_dir), "balance",
+                                      ["target", "is_urgent", "is_finished", "segment", "priority"]))
+
+
+@register("group_target_rate")
+def q_group_target(spark, sf_dir):
+    from tabtwin.operators.profile import group_target_rate
+    return rounded(group_target_rate(fx.cohort(spark, sf_dir), "target", ["is_urgent", "segment", "region",
+                                                                          "priority"]))
+
+
+@register("class_balance")
+def q_class_balance(spark, sf_dir):
+    from tabtwin.operators.profile import class_balance
+    return rounded(class_balance(fx.cohort(spark, sf_dir), "target"))
+
+
+@register("conditional_mean_shift")
+def q_mean_shift(spark, sf_dir):
+    from tabtwin.operators.profile import conditional_mean_shift
+    return rounded(conditional_mean_shift(fx.cohort(spark, sf_dir), "target", fx.COHORT_COLUMNS.continuous))
+
+
+@register("extremes")
+def q_extremes(spark, sf_dir):
+    from tabtwin.operators.profile import extremes
+    return rounded(extremes(fx.cohort(spark, sf_dir), fx.COHORT_COLUMNS.continuous))
+
+
+@register("histogram_table")
+def q_histogram(spark, sf_dir):
+    from tabtwin.operators.profile import histogram_table
+    return rounded(histogram_table(fx.cohort(spark, sf_dir), fx.COHORT_COLUMNS.continuous, 10, by="target")
+                   .select("column_name", "target", "bin", "lo", "hi", "count",
+                           (F.col("density") * (F.col("hi") - F.col("lo"))).alias("share")))
+
+
+@register("kde_table")
+def q_kde(spark, sf_dir):
+    """KDE curves; density reported times the column's grid span so 6 dp keep the shape."""
+    from tabtwin.operators.profile import kde_table
+    real, synth = fx.sides(spark, sf_dir)
+    k = kde_table(real, synth, ["amount", "month_no"])
+    span = F.max("x").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("column_name")) - \
+        F.min("x").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("column_name"))
+    return rounded(k.select("column_name", "side", "grid_index", (F.col("density") * span).alias("scaled_density")))
+
+
+@register("k_anonymity_profile")
+def q_kanon(spark, sf_dir):
+    from tabtwin.operators.profile import k_anonymity_profile
+    return k_anonymity_profile(fx.cohort(spark, sf_dir), list(fx.COHORT_COLUMNS.categorical) + ["is_urgent"], 5)
+
+
+@register("k_anonymity_quasi_identifiers")
+def q_kanon_qi(spark, sf_dir):
+    from tabtwin.functions.binning import band
+    from tabtwin.operators.profile import k_anonymity_profile
+    c = fx.cohort(spark, sf_dir).withColumn(
+        "amount_band", band(F.col("amount"), [0, 100000, 200000, 300000, 400000, 500000]))
+    return k_anonymity_profile(c, ["segment", "region", "is_urgent", "month_no", "amount_band"], 5)
+
+
+@register("rarest_combos")
+def q_rarest(spark, sf_dir):
+    from tabtwin.operators.profile import rarest_combos
+    return rarest_combos(fx.cohort(spark, sf_dir), ["segment", "region", "priority", "is_urgent"], 10)
+
+
+@register("duplicate_rows")
+def q_duplicates(spark, sf_dir):
+    from tabtwin.operators.profile import duplicate_rows
+    fx.register_tables(spark, sf_dir, ("lineitem",))
+    li = spark.table("lineitem")
+    return duplicate_rows(li.drop("l_orderkey"), ["l_linenumber", "l_returnflag", "l_linestatus", "l_quantity",
+                                                  "l_discount", "l_tax"])
+
+
+@register("pearson_matrix")
+def q_pearson(spark, sf_dir):
+    from tabtwin.operators.profile import pearson_matrix
+    cols = fx.COHORT_COLUMNS.continuous + list(fx.COHORT_COLUMNS.binary)
+    return rounded(pearson_matrix(fx.cohort(spark, sf_dir), cols))
+
+
+@register("head")
+def q_head(spark, sf_dir):
+    from tabtwin.operators.profile import head
+    return rounded(head(fx.cohort(spark, sf_dir), "rid", 5))
+
+
+@register("schema_info")
+def q_schema_info(spark, sf_dir):
+    from tabtwin.operators.profile import schema_info
+    return schema_info(fx.cohort(spark, sf_dir))
