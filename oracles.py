@@ -338,3 +338,133 @@ ORACLES["schema_info"] = f"{PRE} " + " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS column_name, count({c}) AS non_null, '{t}' AS dtype FROM cohort"
     for i, (c, t) in enumerate(zip(COHORT_COLS, ["bigint", "double", "double", "int", "int", "int", "int", "string",
                                                  "string", "string"])))
+
+
+# ---- association ------------------------------------------------------------------------
+
+from tabtwin.operators.association import matrix_order as _mo  # noqa: E402
+from tabtwin.operators.transform import upper_triangle as _ut  # noqa: E402
+
+_NAMES = _mo(fx.COHORT_COLUMNS)
+_CONT = set(fx.COHORT_COLUMNS.numeric)
+
+
+def _pearson_sql(t, a, b):
+    both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    return (f"SELECT '{a}' AS col_a, '{b}' AS col_b, 'pearson' AS kind, CASE WHEN count(*) FILTER (WHERE {both}) >= 2 "
+            f"AND var_pop(CAST({a} AS DOUBLE)) FILTER (WHERE {both}) > 0 AND var_pop(CAST({b} AS DOUBLE)) FILTER (WHERE {both}) > 0 "
+            f"THEN least(1.0, abs(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)))) ELSE 0.0 END AS value FROM {t}")
+
+
+def _eta_sql(t, d, n, la, lb):
+    p = f"(SELECT CAST({d} AS VARCHAR) AS level, CAST({n} AS DOUBLE) AS x FROM {t} WHERE {d} IS NOT NULL AND {n} IS NOT NULL)"
+    return (f"SELECT '{la}' AS col_a, '{lb}' AS col_b, 'eta' AS kind, CASE WHEN k >= 2 AND sst > 0 "
+            f"THEN least(1.0, sqrt(ssb / sst)) ELSE 0.0 END AS value FROM ("
+            f"SELECT (SELECT count(DISTINCT level) FROM {p}) AS k, "
+            f"(SELECT sum((x - gm) * (x - gm)) FROM {p}, (SELECT avg(x) AS gm FROM {p})) AS sst, "
+            f"(SELECT sum(nk * (mk - gm) * (mk - gm)) FROM (SELECT level, count(*) AS nk, avg(x) AS mk FROM {p} GROUP BY level), "
+            f"(SELECT avg(x) AS gm FROM {p})) AS ssb)")
+
+
+def _cramer_sql(t, a, b, dropna=False):
+    where = f" WHERE {a} IS NOT NULL AND {b} IS NOT NULL" if dropna else ""
+    cells = f"(SELECT CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b, count(*) AS o FROM {t}{where} GROUP BY ALL)"
+    m = (f"(SELECT a, b, o, o * o / (sum(o) OVER (PARTITION BY a) * sum(o) OVER (PARTITION BY b)) AS tt FROM {cells})")
+    r = "count(DISTINCT coalesce(a, '<null>'))"
+    c = "count(DISTINCT coalesce(b, '<null>'))"
+    return (f"SELECT '{a}' AS col_a, '{b}' AS col_b, 'cramers_v' AS kind, CASE WHEN {r} >= 2 AND {c} >= 2 THEN "
+            f"least(1.0, sqrt(greatest(0.0, sum(tt) - 1) / (least({r}, {c}) - 1))) ELSE 0.0 END AS value FROM {m}")
+
+
+def _pairs_sql(t):
+    parts = []
+    for a, b in _ut(_NAMES):
+        if a in _CONT and b in _CONT:
+            parts.append(_pearson_sql(t, a, b))
+        elif a in _CONT or b in _CONT:
+            d, n = (b, a) if a in _CONT else (a, b)
+            parts.append(_eta_sql(t, d, n, a, b))
+        else:
+            parts.append(_cramer_sql(t, a, b))
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+def _round_value(inner):
+    return f"SELECT col_a, col_b, kind, round(value, 6) AS value FROM {inner}"
+
+
+_PP = [p for p in _ut(_NAMES) if p[0] in _CONT and p[1] in _CONT]
+_DN = [p for p in _ut(_NAMES) if (p[0] in _CONT) != (p[1] in _CONT)]
+_DD = [p for p in _ut(_NAMES) if p[0] not in _CONT and p[1] not in _CONT]
+ORACLES["abs_pearson"] = f"{PRE} " + _round_value("(" + " UNION ALL ".join(_pearson_sql("real_side", a, b) for a, b in _PP) + ")")
+ORACLES["correlation_ratio"] = f"{PRE} " + _round_value(
+    "(" + " UNION ALL ".join(_eta_sql("real_side", b, a, b, a) for a, b in _DN) + ")")
+ORACLES["cramers_v"] = f"{PRE} " + _round_value("(" + " UNION ALL ".join(_cramer_sql("real_side", a, b) for a, b in _DD) + ")")
+ORACLES["pairwise_association"] = f"{PRE} " + _round_value(_pairs_sql("synth_side"))
+_diag = " UNION ALL ".join(f"SELECT '{c}', '{c}', 'diagonal', 1.0" for c in _NAMES)
+ORACLES["association_matrix"] = f"""{PRE}, up AS {_pairs_sql('real_side')}
+SELECT col_a, col_b, kind, round(value, 6) AS value FROM up
+UNION ALL SELECT col_b, col_a, kind, round(value, 6) FROM up
+UNION ALL {_diag}"""
+_cmp = f"""{PRE}, r AS {_pairs_sql('real_side')}, s AS {_pairs_sql('synth_side')},
+cmp AS (SELECT r.col_a, r.col_b, r.kind, r.value AS real, s.value AS synthetic, abs(r.value - s.value) AS abs_diff
+        FROM r JOIN s ON r.col_a = s.col_a AND r.col_b = s.col_b)"""
+_named = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, '{a}~{b}' AS pair" for a, b in fx.COHORT_NAMED_PAIRS)
+ORACLES["named_pair_checks"] = (f"{_cmp}, w AS ({_named}) SELECT pair, round(real, 6) AS real, round(synthetic, 6) AS synthetic, "
+                                "round(abs_diff, 6) AS abs_diff FROM cmp JOIN w ON (col_a = x AND col_b = y) OR (col_a = y AND col_b = x)")
+ORACLES["association_mae"] = f"{_cmp} SELECT round(avg(abs_diff), 6) AS mean_association_abs_diff FROM cmp"
+ORACLES["association_diff"] = (f"{_cmp} SELECT col_a, col_b, round(abs_diff, 6) AS abs_diff FROM cmp "
+                               "UNION ALL SELECT col_b, col_a, round(abs_diff, 6) FROM cmp UNION ALL " +
+                               " UNION ALL ".join(f"SELECT '{c}', '{c}', 0.0" for c in _NAMES))
+_cv_cols = list(fx.COHORT_COLUMNS.categorical) + ["is_urgent", "target"]
+ORACLES["cramers_v_matrix"] = f"{PRE} " + _round_value(
+    "(" + " UNION ALL ".join(_cramer_sql("cohort", a, b, dropna=True) for a, b in _ut(_cv_cols)) + ")")
+_allc = fx.COHORT_COLUMNS.all_columns
+_miss = (" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, (SELECT avg(CAST({c} IS NULL AS DOUBLE)) FROM real_side) AS real_na_rate, "
+    f"(SELECT avg(CAST({c} IS NULL AS DOUBLE)) FROM synth_side) AS synthetic_na_rate" for c in _allc))
+ORACLES["missingness_comparison"] = (f"{PRE} SELECT column_name, round(real_na_rate, 6) AS real_na_rate, "
+                                     f"round(synthetic_na_rate, 6) AS synthetic_na_rate, "
+                                     f"round(abs(real_na_rate - synthetic_na_rate), 6) AS abs_diff FROM ({_miss})")
+ORACLES["plausibility_checks"] = f"{PRE} " + " UNION ALL ".join(
+    f"SELECT '{r.name}' AS rule, count(*) FILTER (WHERE coalesce({r.predicate}, false)) AS violations FROM synth_side"
+    for r in fx.COHORT_PLAUSIBILITY)
+ORACLES["fidelity_row"] = f"""{univariate_ctes()},
+uni AS (SELECT avg(ks_distance) AS mean_ks_distance, avg(tvd) AS mean_tvd, avg(h) AS mean_hellinger_distance FROM (
+  SELECT ks.ks_distance, NULL AS tvd, hn.hellinger_distance AS h FROM ks JOIN hell_num hn ON ks.column_name = hn.column_name
+  UNION ALL SELECT NULL, tvd, hellinger_distance FROM disc)),
+r AS {_pairs_sql('real_side')}, s AS {_pairs_sql('synth_side')},
+cmp AS (SELECT r.col_a, r.col_b, abs(r.value - s.value) AS abs_diff FROM r JOIN s ON r.col_a = s.col_a AND r.col_b = s.col_b),
+w AS ({_named}),
+miss AS ({_miss}),
+pl AS ({" UNION ALL ".join(f"SELECT count(*) FILTER (WHERE coalesce({r.predicate}, false)) AS v FROM synth_side" for r in fx.COHORT_PLAUSIBILITY)})
+SELECT 'synth_side' AS generator, round(mean_ks_distance, 6) AS mean_ks_distance, round(mean_tvd, 6) AS mean_tvd,
+  round(mean_hellinger_distance, 6) AS mean_hellinger_distance,
+  (SELECT round(avg(abs_diff), 6) FROM cmp) AS mean_association_abs_diff,
+  (SELECT round(max(abs_diff), 6) FROM cmp JOIN w ON (col_a = x AND col_b = y) OR (col_a = y AND col_b = x)) AS named_max_abs_diff,
+  (SELECT round(avg(abs(real_na_rate - synthetic_na_rate)), 6) FROM miss) AS missingness_mae,
+  (SELECT sum(v) FROM pl) AS n_implausible
+FROM uni"""
+
+# ---- scoring ------------------------------------------------------------------------------
+
+_ST = f"{PRE}, st AS (SELECT rid, target AS label, round(amount / 500000.0, 2) AS score, segment FROM cohort)"
+ORACLES["roc_auc"] = f"""{_ST},
+sc AS (SELECT segment, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+       FROM st WHERE score IS NOT NULL GROUP BY segment, score),
+cu AS (SELECT *, sum(neg) OVER (PARTITION BY segment ORDER BY score) AS cneg FROM sc)
+SELECT segment, round(CAST(sum(pos * (cneg - neg + neg * 0.5)) AS DOUBLE) / nullif(sum(pos) * sum(neg), 0), 6) AS roc_auc
+FROM cu GROUP BY segment"""
+ORACLES["average_precision"] = f"""{_ST},
+sc AS (SELECT segment, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+       FROM st WHERE score IS NOT NULL GROUP BY segment, score),
+cu AS (SELECT *, sum(pos) OVER (PARTITION BY segment ORDER BY score DESC) AS cpos,
+              sum(neg) OVER (PARTITION BY segment ORDER BY score DESC) AS cneg FROM sc)
+SELECT segment, round(sum(pos * (CAST(cpos AS DOUBLE) / (cpos + cneg))) / nullif(sum(pos), 0), 6) AS average_precision
+FROM cu GROUP BY segment"""
+ORACLES["f1_positive"] = f"""{_ST},
+c AS (SELECT segment, count(*) FILTER (WHERE label = 1 AND score >= 0.75) AS tp,
+      count(*) FILTER (WHERE label <> 1 AND score >= 0.75) AS fp, count(*) FILTER (WHERE label = 1 AND NOT (score >= 0.75)) AS fn
+      FROM st GROUP BY segment)
+SELECT segment, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM c"""
+ORACLES["pr_auc_baseline"] = f"{_ST} SELECT round(avg(CAST(label AS DOUBLE)), 6) AS pr_auc_baseline FROM st"

@@ -414,3 +414,142 @@ def q_head(spark, sf_dir):
 def q_schema_info(spark, sf_dir):
     from tabtwin.operators.profile import schema_info
     return schema_info(fx.cohort(spark, sf_dir))
+
+
+# ---- association, missingness, plausibility ---------------------------------------------
+
+def _kinds():
+    spec = fx.COHORT_COLUMNS
+    from tabtwin.operators.association import matrix_order
+    from tabtwin.operators.transform import upper_triangle
+    names = matrix_order(spec)
+    cont = set(spec.numeric)
+    pairs = upper_triangle(names)
+    return ([p for p in pairs if p[0] in cont and p[1] in cont],
+            [p for p in pairs if (p[0] in cont) != (p[1] in cont)],
+            [p for p in pairs if p[0] not in cont and p[1] not in cont])
+
+
+@register("abs_pearson")
+def q_abs_pearson(spark, sf_dir):
+    from tabtwin.operators.association import abs_pearson_pairs
+    return rounded(abs_pearson_pairs(fx.real_side(spark, sf_dir), _kinds()[0]))
+
+
+@register("correlation_ratio")
+def q_eta(spark, sf_dir):
+    from tabtwin.operators.association import correlation_ratio_pairs
+    pairs = [(b, a) for a, b in _kinds()[1]]   # (discrete, numeric)
+    return rounded(correlation_ratio_pairs(fx.real_side(spark, sf_dir), pairs))
+
+
+@register("cramers_v")
+def q_cramers(spark, sf_dir):
+    from tabtwin.operators.association import cramers_v_pairs
+    return rounded(cramers_v_pairs(fx.real_side(spark, sf_dir), _kinds()[2]))
+
+
+@register("pairwise_association")
+def q_pairwise(spark, sf_dir):
+    from tabtwin.operators.association import association_pairs
+    return rounded(association_pairs(fx.synth_side(spark, sf_dir), fx.COHORT_COLUMNS))
+
+
+@register("association_matrix")
+def q_assoc_matrix(spark, sf_dir):
+    from tabtwin.operators.association import association_matrix
+    return rounded(association_matrix(fx.real_side(spark, sf_dir), fx.COHORT_COLUMNS))
+
+
+@register("named_pair_checks")
+def q_named(spark, sf_dir):
+    from tabtwin.operators.association import compare_associations, named_pair_checks
+    real, synth = fx.sides(spark, sf_dir)
+    return rounded(named_pair_checks(compare_associations(real, synth, fx.COHORT_COLUMNS), fx.COHORT_NAMED_PAIRS))
+
+
+@register("association_mae")
+def q_assoc_mae(spark, sf_dir):
+    from tabtwin.operators.association import association_mae, compare_associations
+    real, synth = fx.sides(spark, sf_dir)
+    return rounded(association_mae(compare_associations(real, synth, fx.COHORT_COLUMNS)))
+
+
+@register("association_diff")
+def q_assoc_diff(spark, sf_dir):
+    from tabtwin.operators.association import association_diff
+    real, synth = fx.sides(spark, sf_dir)
+    return rounded(association_diff(real, synth, fx.COHORT_COLUMNS))
+
+
+@register("cramers_v_matrix")
+def q_cramers_matrix(spark, sf_dir):
+    from tabtwin.operators.association import cramers_v_matrix
+    return rounded(cramers_v_matrix(fx.cohort(spark, sf_dir), list(fx.COHORT_COLUMNS.categorical) +
+                                    ["is_urgent", "target"]))
+
+
+@register("missingness_comparison")
+def q_missingness(spark, sf_dir):
+    from tabtwin.operators.quality import missingness_comparison
+    real, synth = fx.sides(spark, sf_dir)
+    return rounded(missingness_comparison(real, synth, fx.COHORT_COLUMNS.all_columns))
+
+
+@register("plausibility_checks")
+def q_plausibility(spark, sf_dir):
+    from tabtwin.operators.quality import plausibility_checks
+    return plausibility_checks(fx.synth_side(spark, sf_dir), fx.COHORT_PLAUSIBILITY)
+
+
+@register("fidelity_row")
+def q_fidelity_row(spark, sf_dir):
+    """One row of fidelity aggregates (detection AUC is model-based and reported by the job)."""
+    from tabtwin.operators.association import association_mae, compare_associations, named_pair_checks
+    from tabtwin.operators.quality import missingness_comparison, missingness_mae, n_implausible, plausibility_checks
+    from tabtwin.operators.univariate import univariate_fidelity, univariate_summary
+    real, synth = fx.sides(spark, sf_dir)
+    spec = fx.COHORT_COLUMNS
+    uni = univariate_summary(univariate_fidelity(real, synth, spec))
+    comp = compare_associations(real, synth, spec)
+    mae = association_mae(comp)
+    named = named_pair_checks(comp, fx.COHORT_NAMED_PAIRS).agg(F.max("abs_diff").alias("named_max_abs_diff"))
+    miss = missingness_mae(missingness_comparison(real, synth, spec.all_columns))
+    impl = n_implausible(plausibility_checks(synth, fx.COHORT_PLAUSIBILITY))
+    row = uni.withColumn("_k", F.lit(1))
+    for part in (mae, named, miss, impl):   # one-row aggregates joined on a constant key
+        row = row.join(part.withColumn("_k", F.lit(1)), "_k")
+    return rounded(row.drop("_k").select(F.lit("synth_side").alias("generator"), "*"))
+
+
+# ---- scoring -------------------------------------------------------------------------
+
+def _score_table(spark, sf_dir):
+    c = fx.cohort(spark, sf_dir)
+    return c.select("rid", F.col("target").alias("label"), F.round(F.col("amount") / 500000.0, 2).alias("score"),
+                    "segment")
+
+
+@register("roc_auc")
+def q_roc(spark, sf_dir):
+    from tabtwin.operators.scoring import roc_auc
+    return rounded(roc_auc(_score_table(spark, sf_dir), group=["segment"]))
+
+
+@register("average_precision")
+def q_ap(spark, sf_dir):
+    from tabtwin.operators.scoring import average_precision
+    return rounded(average_precision(_score_table(spark, sf_dir), group=["segment"]))
+
+
+@register("f1_positive")
+def q_f1(spark, sf_dir):
+    from tabtwin.operators.scoring import f1_positive
+    t = _score_table(spark, sf_dir).withColumn("prediction", (F.col("score") >= 0.75).cast("int"))
+    return rounded(f1_positive(t, group=["segment"]))
+
+
+@register("pr_auc_baseline")
+def q_prevalence(spark, sf_dir):
+    from tabtwin.operators.scoring import pr_auc_baseline
+    return rounded(pr_auc_baseline(_score_table(spark, sf_dir)))
