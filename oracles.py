@@ -468,3 +468,44 @@ c AS (SELECT segment, count(*) FILTER (WHERE label = 1 AND score >= 0.75) AS tp,
       FROM st GROUP BY segment)
 SELECT segment, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM c"""
 ORACLES["pr_auc_baseline"] = f"{_ST} SELECT round(avg(CAST(label AS DOUBLE)), 6) AS pr_auc_baseline FROM st"
+
+
+# ---- L2 generator -------------------------------------------------------------------------
+
+from tabtwin.functions.hashing import hash_gaussian_sql as _g  # noqa: E402
+
+
+def _l2_sql():
+    seed = fx.COHORT_SEED
+    ctes = [f"ids AS (SELECT unnest(range((SELECT count(*) FROM train))) AS id)"]
+    sel = ["CAST(ids.id AS BIGINT) AS rid"]
+    joins = []
+    for c in fx.COHORT_COLUMNS.discrete:
+        ctes.append(f"f_{c} AS (SELECT {c} AS value, count(*) AS cnt FROM train GROUP BY {c}), "
+                    f"c_{c} AS (SELECT value, sum(cnt) OVER (ORDER BY value NULLS FIRST) AS cum, "
+                    f"sum(cnt) OVER () AS total FROM f_{c}), "
+                    f"d_{c} AS (SELECT id, CAST(floor({_u(seed, 'l2:' + c, 'id')} * (SELECT max(total) FROM c_{c})) AS BIGINT) AS k FROM ids), "
+                    f"s_{c} AS (SELECT d.id, c.value AS {c} FROM d_{c} d JOIN c_{c} c ON c.cum - (c.cum - coalesce("
+                    f"(SELECT max(c2.cum) FROM c_{c} c2 WHERE c2.cum < c.cum), 0)) <= d.k + (c.cum - coalesce("
+                    f"(SELECT max(c2.cum) FROM c_{c} c2 WHERE c2.cum < c.cum), 0)) - 1 + 1 AND d.k < c.cum AND "
+                    f"d.k >= coalesce((SELECT max(c2.cum) FROM c_{c} c2 WHERE c2.cum < c.cum), 0))")
+        joins.append(f"JOIN s_{c} ON s_{c}.id = ids.id")
+        sel.append(f"s_{c}.{c}")
+    for c in fx.COHORT_COLUMNS.continuous:
+        is_int = c == "month_no"
+        ctes.append(
+            f"st_{c} AS (SELECT count(*) AS nrows, count({c}) AS m, stddev_samp(CAST({c} AS DOUBLE)) AS sd FROM train), "
+            f"dn_{c} AS (SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {_u(seed, 'l2:' + c + '#order', 'rid')}, rid) - 1 AS idx "
+            f"FROM train WHERE {c} IS NOT NULL), "
+            f"s_{c} AS (SELECT ids.id, CASE WHEN {_u(seed, 'l2:' + c + '#null', 'ids.id')} < CAST(nrows - m AS DOUBLE) / nrows THEN NULL "
+            f"ELSE v + (sd * pow(m, -0.2)) * {_g(seed, 'l2:' + c + '#noise', 'ids.id')} END AS {c} "
+            f"FROM ids, st_{c} JOIN dn_{c} ON dn_{c}.idx = CAST(floor({_u(seed, 'l2:' + c, 'ids.id')} * m) AS BIGINT))")
+        joins.append(f"JOIN s_{c} ON s_{c}.id = ids.id")
+        sel.append(f"CAST(round_even(s_{c}.{c}, 0) AS INTEGER) AS {c}" if is_int else f"round(s_{c}.{c}, 6) AS {c}")
+    return f"{SPLIT}, " + ", ".join(ctes) + " SELECT " + ", ".join(sel) + " FROM ids " + " ".join(joins)
+
+
+_L2 = _l2_sql()
+ORACLES["generate_l2"] = _L2
+ORACLES["synth_numeric_l2"] = f"SELECT rid, {', '.join(fx.COHORT_COLUMNS.continuous)} FROM ({_L2})"
+ORACLES["synth_categorical_l2"] = f"SELECT rid, {', '.join(fx.COHORT_COLUMNS.discrete)} FROM ({_L2})"

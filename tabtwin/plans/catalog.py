@@ -553,3 +553,26 @@ def q_f1(spark, sf_dir):
 def q_prevalence(spark, sf_dir):
     from tabtwin.operators.scoring import pr_auc_baseline
     return rounded(pr_auc_baseline(_score_table(spark, sf_dir)))
+
+
+# ---- generators ------------------------------------------------------------------------
+
+def _l2(spark, sf_dir):
+    from tabtwin.operators.generate_l2 import generate_l2
+    train, _ = fx.train_test(spark, sf_dir)
+    return generate_l2(train, fx.COHORT_COLUMNS, fx.COHORT_SEED, key="rid")
+
+
+@register("generate_l2")
+def q_generate_l2(spark, sf_dir):
+    return rounded(_l2(spark, sf_dir))
+
+
+@register("synth_numeric_l2")
+def q_synth_numeric(spark, sf_dir):
+    return rounded(_l2(spark, sf_dir).select("rid", *fx.COHORT_COLUMNS.continuous))
+
+
+@register("synth_categorical_l2")
+def q_synth_categorical(spark, sf_dir):
+    return _l2(spark, sf_dir).select("rid", *fx.COHORT_COLUMNS.discrete)
