@@ -509,3 +509,95 @@ _L2 = _l2_sql()
 ORACLES["generate_l2"] = _L2
 ORACLES["synth_numeric_l2"] = f"SELECT rid, {', '.join(fx.COHORT_COLUMNS.continuous)} FROM ({_L2})"
 ORACLES["synth_categorical_l2"] = f"SELECT rid, {', '.join(fx.COHORT_COLUMNS.discrete)} FROM ({_L2})"
+
+
+# ---- kNN, DCR, membership -------------------------------------------------------------------
+
+_ALL9 = fx.COHORT_COLUMNS.continuous + fx.COHORT_COLUMNS.discrete
+
+
+def _dist_sql(q, r, cols=None, ranges_cte="rg"):
+    cols = cols or _ALL9
+    terms = []
+    for c in cols:
+        if c in fx.COHORT_COLUMNS.numeric:
+            num = (f"CASE WHEN {q}.{c} IS NULL AND {r}.{c} IS NULL THEN 0.0 WHEN {q}.{c} IS NULL OR {r}.{c} IS NULL THEN 1.0 "
+                   f"WHEN {ranges_cte}.{c} > 0 THEN least(1.0, abs(CAST({q}.{c} AS DOUBLE) - CAST({r}.{c} AS DOUBLE)) / {ranges_cte}.{c}) "
+                   f"WHEN {q}.{c} = {r}.{c} THEN 0.0 ELSE 1.0 END")
+        else:
+            num = f"CASE WHEN {q}.{c} IS NOT DISTINCT FROM {r}.{c} THEN 0.0 ELSE 1.0 END"
+        terms.append(num)
+    return "((" + " + ".join(terms) + f") / {len(cols)})"
+
+
+_RG = ("rg AS (SELECT " + ", ".join(f"CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE) AS {c}"
+                                    for c in fx.COHORT_COLUMNS.continuous) + " FROM train)")
+
+
+def _nn1(query_cte, ref_cte, qkey="rid"):
+    """CTE body: (qid, rid, distance) nearest ref row per query (ties: smallest rid)."""
+    return (f"(SELECT qid, min(rid) AS rid, min(distance) AS distance FROM ("
+            f"SELECT qid, rid, distance, min(distance) OVER (PARTITION BY qid) AS md FROM ("
+            f"SELECT q.{qkey} AS qid, r.rid AS rid, {_dist_sql('q', 'r')} AS distance FROM {query_cte} q, {ref_cte} r, rg)) "
+            f"WHERE distance = md GROUP BY qid)")
+
+
+ORACLES["nearest_record"] = f"{SPLIT}, {_RG} SELECT qid, rid, round(distance, 6) AS distance FROM {_nn1('synth_side', 'train')}"
+_tg = f"tg AS (SELECT * FROM train ORDER BY {_u(24, 'link#main', 'rid')}, rid LIMIT 200)"
+ORACLES["nearest_records_k10"] = f"""{SPLIT}, {_RG}, {_tg}
+SELECT qid, rid, round(distance, 6) AS distance, rank FROM (
+  SELECT q.rid AS qid, r.rid AS rid, {_dist_sql('q', 'r')} AS distance,
+         row_number() OVER (PARTITION BY q.rid ORDER BY {_dist_sql('q', 'r')}, r.rid) AS rank
+  FROM tg q, synth_side r, rg) WHERE rank <= 10"""
+ORACLES["dcr_overfitting_protection"] = f"""{SPLIT}, {_RG},
+dt AS {_nn1('synth_side', 'train')}, dh AS {_nn1('synth_side', 'test')},
+sh AS (SELECT avg(CAST(dt.distance < dh.distance AS DOUBLE)) AS share FROM dt JOIN dh ON dt.qid = dh.qid)
+SELECT round(share, 6) AS share_closer_to_train, round(least(1.0, 2.0 * (1.0 - share)), 6) AS dcr_overfitting_protection FROM sh"""
+
+
+def _random_sql(n_expr, seed=24):
+    sel = ["id AS rid"]
+    for c in fx.COHORT_COLUMNS.continuous:
+        sel.append(f"(SELECT CAST(min({c}) AS DOUBLE) FROM train) + {_u(seed, 'random:' + c, 'id')} * "
+                   f"((SELECT CAST(max({c}) AS DOUBLE) FROM train) - (SELECT CAST(min({c}) AS DOUBLE) FROM train)) AS {c}")
+    for c in fx.COHORT_COLUMNS.discrete:
+        lv = f"(SELECT list_sort(list(DISTINCT {c})) FROM train WHERE {c} IS NOT NULL)"
+        sel.append(f"{lv}[CAST(floor({_u(seed, 'random:' + c, 'id')} * len({lv})) AS BIGINT) + 1] AS {c}")
+    return f"(SELECT {', '.join(sel)} FROM (SELECT unnest(range({n_expr})) AS id))"
+
+
+ORACLES["dcr_baseline_protection"] = f"""{SPLIT}, {_RG},
+rnd AS {_random_sql('(SELECT count(*) FROM synth_side)')},
+ds AS {_nn1('synth_side', 'train')}, dr AS {_nn1('rnd', 'train')},
+m AS (SELECT (SELECT quantile_cont(distance, 0.5) FROM ds) AS ms, (SELECT quantile_cont(distance, 0.5) FROM dr) AS mr)
+SELECT round(ms, 6) AS median_dcr_synthetic, round(mr, 6) AS median_dcr_random,
+  round(CASE WHEN mr > 0 THEN least(1.0, ms / mr) END, 6) AS dcr_baseline_protection FROM m"""
+ORACLES["membership_inference"] = f"""{SPLIT}, {_RG},
+rec AS (SELECT rid * 2 AS qid, 1 AS label, * EXCLUDE (rid) FROM train UNION ALL SELECT rid * 2 + 1, 0, * EXCLUDE (rid) FROM test),
+nn AS {_nn1('rec', 'synth_side', 'qid')},
+sc AS (SELECT -nn.distance AS score, rec.label FROM rec JOIN nn ON rec.qid = nn.qid),
+g AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg FROM sc GROUP BY score),
+cu AS (SELECT *, sum(neg) OVER (ORDER BY score) AS cneg FROM g)
+SELECT round(CAST(sum(pos * (cneg - neg + neg * 0.5)) AS DOUBLE) / (sum(pos) * sum(neg)), 6) AS membership_auc FROM cu"""
+_Z = 1.959964
+_z2 = _Z * _Z
+
+
+def _wil(s, n):
+    return (f"((CAST({s} AS DOUBLE) + {_z2 / 2!r}) / (CAST({n} AS DOUBLE) + {_z2!r}))",
+            f"({_Z!r} / (CAST({n} AS DOUBLE) + {_z2!r}) * sqrt(CAST({s} AS DOUBLE) * (CAST({n} AS DOUBLE) - {s}) / {n} + {_z2 / 4!r}))")
+
+
+_a, _ea = _wil("attack_successes", "n_attacks")
+_c, _ec = _wil("control_successes", "control_n")
+_b, _ = _wil("baseline_successes", "n_attacks")
+_v = f"(({_a} - {_c}) / (1.0 - {_c}))"
+_e = f"sqrt(pow({_ea} / (1.0 - {_c}), 2) + pow({_ec} * ({_a} - 1.0) / pow(1.0 - {_c}, 2), 2))"
+ORACLES["risk_with_ci"] = f"""{PRE},
+counts AS (SELECT segment, count(*) AS n_attacks, count(*) FILTER (WHERE is_urgent = 1) AS attack_successes,
+  count(*) AS control_n, count(*) FILTER (WHERE target = 1) AS control_successes,
+  count(*) FILTER (WHERE is_finished = 1) AS baseline_successes FROM cohort GROUP BY segment)
+SELECT segment, n_attacks, attack_successes, control_n, control_successes, baseline_successes,
+  round({_a}, 6) AS attack_rate, round({_c}, 6) AS control_rate, round({_b}, 6) AS baseline_rate,
+  round(least(1.0, greatest(0.0, {_v})), 6) AS risk, round(least(1.0, greatest(0.0, {_v} - {_e})), 6) AS ci_low,
+  round(least(1.0, greatest(0.0, {_v} + {_e})), 6) AS ci_high, {_a} > {_b} AS reliable FROM counts"""

@@ -576,3 +576,130 @@ def q_synth_numeric(spark, sf_dir):
 @register("synth_categorical_l2")
 def q_synth_categorical(spark, sf_dir):
     return _l2(spark, sf_dir).select("rid", *fx.COHORT_COLUMNS.discrete)
+
+
+# ---- privacy -------------------------------------------------------------------------
+
+def _privacy_inputs(spark, sf_dir):
+    train, test = fx.train_test(spark, sf_dir)
+    return train, test, fx.synth_side(spark, sf_dir)
+
+
+@register("nearest_record")
+def q_nearest(spark, sf_dir):
+    from tabtwin.operators.knn import knn, numeric_ranges
+    train, _, synth = _privacy_inputs(spark, sf_dir)
+    spec = fx.COHORT_COLUMNS
+    nn = knn(synth.withColumnRenamed("rid", "qid"), train, spec.continuous, spec.discrete, 1, "qid", "rid",
+             numeric_ranges(train, spec.continuous))
+    return rounded(nn.select("qid", "rid", "distance"))
+
+
+@register("nearest_records_k10")
+def q_nearest_k10(spark, sf_dir):
+    from tabtwin.operators.knn import knn, numeric_ranges
+    from tabtwin.operators.split import attack_target_sample
+    train, _, synth = _privacy_inputs(spark, sf_dir)
+    spec = fx.COHORT_COLUMNS
+    targets = attack_target_sample(train, 200, fx.COHORT_SEED, "rid", "link#main").withColumnRenamed("rid", "qid")
+    nn = knn(targets, synth, spec.continuous, spec.discrete, 10, "qid", "rid", numeric_ranges(train, spec.continuous))
+    return rounded(nn.select("qid", "rid", "distance", "rank"))
+
+
+@register("dcr_overfitting_protection")
+def q_dcr_over(spark, sf_dir):
+    from tabtwin.operators.privacy import dcr_overfitting_protection
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    return rounded(dcr_overfitting_protection(train, test, synth, fx.COHORT_COLUMNS))
+
+
+@register("dcr_baseline_protection")
+def q_dcr_base(spark, sf_dir):
+    from tabtwin.operators.privacy import dcr_baseline_protection
+    train, _, synth = _privacy_inputs(spark, sf_dir)
+    return rounded(dcr_baseline_protection(train, synth, fx.COHORT_COLUMNS, fx.COHORT_SEED))
+
+
+@register("membership_inference")
+def q_membership(spark, sf_dir):
+    from tabtwin.operators.privacy import membership_inference
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    return rounded(membership_inference(train, test, synth, fx.COHORT_COLUMNS))
+
+
+@register("risk_with_ci")
+def q_risk(spark, sf_dir):
+    """Wilson-interval risk arithmetic on per-segment success counts drawn from the cohort."""
+    from tabtwin.operators.privacy import risk_with_ci
+    c = fx.cohort(spark, sf_dir)
+    counts = c.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n_attacks"), F.count_if(F.col("is_urgent") == 1).alias("attack_successes"),
+        F.count(F.lit(1)).alias("control_n"), F.count_if(F.col("target") == 1).alias("control_successes"),
+        F.count_if(F.col("is_finished") == 1).alias("baseline_successes"))
+    return rounded(risk_with_ci(counts))
+
+
+@register("singling_out_univariate")
+def q_so_uni(spark, sf_dir):
+    from tabtwin.operators.privacy import singling_out
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    return rounded(singling_out(train, test, synth, fx.COHORT_COLUMNS, "univariate", 200, fx.COHORT_SEED))
+
+
+@register("singling_out_multivariate")
+def q_so_multi(spark, sf_dir):
+    from tabtwin.operators.privacy import singling_out
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    return rounded(singling_out(train, test, synth, fx.COHORT_COLUMNS, "multivariate", 200, fx.COHORT_SEED))
+
+
+def _halves():
+    qi = list(fx.COHORT_ROLES.quasi_identifiers)
+    half = len(qi) // 2
+    return qi[:half], qi[half:]
+
+
+@register("linkability")
+def q_linkability(spark, sf_dir):
+    from tabtwin.operators.privacy import linkability
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    return rounded(linkability(train, test, synth, fx.COHORT_COLUMNS, _halves(), 200, fx.COHORT_SEED))
+
+
+def _inference_rows(spark, sf_dir, secrets):
+    from tabtwin.operators.privacy import inference
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    roles = fx.COHORT_ROLES
+    out = None
+    for s in secrets:
+        aux = [c for c in roles.quasi_identifiers if c != s]
+        r = inference(train, test, synth, fx.COHORT_COLUMNS, aux, s, s in roles.regression_secrets, 200, fx.COHORT_SEED)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("inference")
+def q_inference(spark, sf_dir):
+    return rounded(_inference_rows(spark, sf_dir, fx.COHORT_ROLES.secrets))
+
+
+@register("inference_summary")
+def q_inference_summary(spark, sf_dir):
+    from tabtwin.operators.privacy import inference_summary
+    return rounded(inference_summary(_inference_rows(spark, sf_dir, fx.COHORT_ROLES.secrets)))
+
+
+@register("release_gate")
+def q_release_gate(spark, sf_dir):
+    """Risks of the synthetic table vs the same risks when the holdout is released instead."""
+    from tabtwin.operators.privacy import linkability, release_gate
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    spec = fx.COHORT_COLUMNS
+    half = test.withColumn("_h", F.col("rid") % 2)
+    hold_a, hold_b = half.filter("_h = 0").drop("_h"), half.filter("_h = 1").drop("_h")
+
+    def risks(candidate, control):
+        lk = linkability(train, control, candidate, spec, _halves(), 200, fx.COHORT_SEED)
+        return lk.select(F.lit("linkability_risk").alias("metric"), F.col("risk").alias("value"))
+
+    return rounded(release_gate(risks(synth, test), risks(hold_a, hold_b)))
