@@ -703,3 +703,32 @@ def q_release_gate(spark, sf_dir):
         return lk.select(F.lit("linkability_risk").alias("metric"), F.col("risk").alias("value"))
 
     return rounded(release_gate(risks(synth, test), risks(hold_a, hold_b)))
+
+
+@register("dp_marginals")
+def q_dp_marginals(spark, sf_dir):
+    """Noisy marginal counts over the full public domain (fixed noise seed for testing)."""
+    from tabtwin.operators.generate_dp import noisy_marginals
+    from tabtwin.operators.transform import discretise
+    train, _ = fx.train_test(spark, sf_dir)
+    coded = discretise(train, fx.COHORT_DP.bounds, 10, columns=fx.COHORT_COLUMNS.all_columns)
+    nm = noisy_marginals(coded, fx.COHORT_COLUMNS, fx.COHORT_DP, 3.0, 1234)
+    return rounded(nm.select("mid", F.concat_ws("|", "cell").alias("cell"), "noisy"))
+
+
+@register("generate_dp")
+def q_generate_dp(spark, sf_dir):
+    from tabtwin.operators.generate_dp import generate_dp
+    train, _ = fx.train_test(spark, sf_dir)
+    return rounded(generate_dp(train, fx.COHORT_COLUMNS, fx.COHORT_DP, 3.0, fx.COHORT_SEED, noise_seed=1234,
+                               key="rid"))
+
+
+@register("dp_sweep")
+def q_dp_sweep(spark, sf_dir):
+    """Row counts and mean amount per epsilon of the sweep (0.5, 1, 3, 8)."""
+    from tabtwin.operators.generate_dp import dp_sweep
+    from tabtwin.spec import DP_EPSILONS
+    train, _ = fx.train_test(spark, sf_dir)
+    sweep = dp_sweep(train, fx.COHORT_COLUMNS, fx.COHORT_DP, DP_EPSILONS, fx.COHORT_SEED, noise_seed=1234, key="rid")
+    return rounded(sweep.groupBy("epsilon").agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount")))
