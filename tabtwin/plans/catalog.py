@@ -732,3 +732,30 @@ def q_dp_sweep(spark, sf_dir):
     train, _ = fx.train_test(spark, sf_dir)
     sweep = dp_sweep(train, fx.COHORT_COLUMNS, fx.COHORT_DP, DP_EPSILONS, fx.COHORT_SEED, noise_seed=1234, key="rid")
     return rounded(sweep.groupBy("epsilon").agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount")))
+
+
+# ---- model-based ---------------------------------------------------------------------
+
+@register("preprocess_features")
+def q_features(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    from tabtwin.operators.models import preprocess_features
+    train, test = fx.train_test(spark, sf_dir)
+    plan = preprocess_features(train, fx.COHORT_COLUMNS, "target")
+    out = plan.transform(test)
+    return rounded(out.select("rid", vector_to_array("features").alias("features")))
+
+
+@register("detection_auc")
+def q_detection(spark, sf_dir):
+    from tabtwin.operators.models import detection_auc
+    real, synth = fx.sides(spark, sf_dir)
+    return rounded(detection_auc(real, synth, fx.COHORT_COLUMNS, fx.COHORT_SEED))
+
+
+@register("tstr_trtr")
+def q_tstr(spark, sf_dir):
+    from tabtwin.operators.models import tstr_trtr
+    train, test = fx.train_test(spark, sf_dir)
+    synth = fx.synth_side(spark, sf_dir)
+    return rounded(tstr_trtr(train, test, synth, fx.COHORT_COLUMNS, "target", fx.COHORT_SEED))
