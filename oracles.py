@@ -601,3 +601,20 @@ SELECT segment, n_attacks, attack_successes, control_n, control_successes, basel
   round({_a}, 6) AS attack_rate, round({_c}, 6) AS control_rate, round({_b}, 6) AS baseline_rate,
   round(least(1.0, greatest(0.0, {_v})), 6) AS risk, round(least(1.0, greatest(0.0, {_v} - {_e})), 6) AS ci_low,
   round(least(1.0, greatest(0.0, {_v} + {_e})), 6) AS ci_high, {_a} > {_b} AS reliable FROM counts"""
+
+
+# ---- jobs and files ----------------------------------------------------------------------
+
+ORACLES["prepare_job"] = f"""{PRE},
+kept AS (SELECT * FROM cohort WHERE priority IS DISTINCT FROM '5-LOW'),
+r AS (SELECT rid, target, row_number() OVER (PARTITION BY target ORDER BY {_u(24, 'split', 'rid')}, rid) AS rk,
+      count(*) OVER (PARTITION BY target) AS n FROM kept)
+SELECT CASE WHEN rk <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, target, count(*) AS n
+FROM r GROUP BY ALL"""
+ORACLES["write_splits"] = f"{SPLIT} SELECT split, rid, true AS second_write_refused FROM labelled"
+ORACLES["scan_candidates"] = "SELECT * FROM (VALUES ('a_real.csv'), ('b_synth.csv')) t(file_name)"
+ORACLES["compat_report"] = f"""{PRE}
+SELECT 'absent.csv' AS file_name, 'missing_file' AS problem, NULL AS column_name, 'file does not exist, skipped' AS detail
+UNION ALL SELECT 'recoded.csv', 'missing_column', 'priority', NULL
+UNION ALL SELECT DISTINCT 'recoded.csv', 'unexpected_value', 'is_urgent', CAST(is_urgent + 1 AS VARCHAR) FROM synth_side
+  WHERE is_urgent + 1 NOT IN (SELECT is_urgent FROM synth_side)"""

@@ -759,3 +759,84 @@ def q_tstr(spark, sf_dir):
     train, test = fx.train_test(spark, sf_dir)
     synth = fx.synth_side(spark, sf_dir)
     return rounded(tstr_trtr(train, test, synth, fx.COHORT_COLUMNS, "target", fx.COHORT_SEED))
+
+
+# ---- jobs and file-level operators -----------------------------------------------------
+
+def _write_cohort_csv(spark, sf_dir, name):
+    from tabtwin.sources.io import write_table
+    base = _scratch(spark, name)
+    path = f"{base}/raw.csv"
+    c = fx.cohort(spark, sf_dir)
+    # the raw file carries an identifier column and the rare level the decisions drop
+    write_table(c.withColumn("id", F.col("rid")).drop("rid"), path)
+    return base, path
+
+
+@register("prepare_job")
+def q_prepare(spark, sf_dir):
+    """Load a raw CSV, drop the id and the '5-LOW' priority rows, stratified split, write."""
+    from tabtwin.plans.jobs import prepare_job
+    base, path = _write_cohort_csv(spark, sf_dir, "prepare")
+    labelled = prepare_job(spark, path, f"{base}/processed", fx.COHORT_SPLIT, fx.COHORT_SEED,
+                           drop_columns=("id",), exclude={"priority": ["5-LOW"]}, key="rid", key_source="id",
+                           types=dict(COHORT_TYPES, id="bigint"))
+    return labelled.groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("write_splits")
+def q_write_splits(spark, sf_dir):
+    """Write train/test, then read back what landed on disk; a second write is refused."""
+    from tabtwin.operators.split import stratified_split
+    from tabtwin.sources.io import load_table, write_splits
+    base = _scratch(spark, "splits")
+    labelled = stratified_split(fx.real_side(spark, sf_dir), fx.COHORT_SPLIT, fx.COHORT_SEED)
+    paths = write_splits(labelled, base)
+    try:
+        write_splits(labelled, base)
+        refused = False
+    except ValueError:
+        refused = True
+    parts = [load_table(spark, p, COHORT_TYPES).select(F.lit(n).alias("split"), "rid") for n, p in sorted(paths.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("second_write_refused", F.lit(refused))
+
+
+@register("scan_candidates")
+def q_scan(spark, sf_dir):
+    from tabtwin.sources.io import scan_candidates, write_table
+    base = _scratch(spark, "candidates")
+    real, synth = fx.sides(spark, sf_dir)
+    for name, df in (("b_synth.csv", synth), ("a_real.csv", real)):
+        write_table(df, f"{base}/{name}")
+    return scan_candidates(spark, base).select("file_name")
+
+
+@register("compat_report")
+def q_compat(spark, sf_dir):
+    """Schema + domain problems of two candidate files and one missing file."""
+    from tabtwin.operators.contract import compat_report
+    from tabtwin.sources.io import load_table, write_table
+    base = _scratch(spark, "compat")
+    real, synth = fx.sides(spark, sf_dir)
+    bad = synth.withColumn("is_urgent", F.col("is_urgent") + 1).drop("priority")
+    write_table(synth, f"{base}/good.csv")
+    write_table(bad, f"{base}/recoded.csv")
+    ref = load_table(spark, f"{base}/good.csv")
+    cands = {"good.csv": f"{base}/good.csv", "recoded.csv": f"{base}/recoded.csv", "absent.csv": f"{base}/absent.csv"}
+    return compat_report(spark, ref, cands, fx.COHORT_COLUMNS.discrete)
+
+
+@register("evaluate_job")
+def q_evaluate(spark, sf_dir):
+    """Fidelity + utility + DCR for the L2 generator's table (attacks skipped, as the CLI flag)."""
+    from tabtwin.operators.generate_l2 import generate_l2
+    from tabtwin.plans.jobs import evaluate_job
+    train, test = fx.train_test(spark, sf_dir)
+    synth = generate_l2(train, fx.COHORT_COLUMNS, fx.COHORT_SEED, key="rid")
+    row = evaluate_job(spark, train, test, synth, "low_fidelity", fx.COHORT_COLUMNS, fx.COHORT_ROLES,
+                       fx.COHORT_NAMED_PAIRS, fx.COHORT_PLAUSIBILITY, fx.COHORT_SEED, skip_attacks=True,
+                       results_path=_scratch(spark, "results"))
+    return rounded(row)
