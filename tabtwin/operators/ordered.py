@@ -93,8 +93,10 @@ def value_counts(df: DataFrame, group_cols: list[str], value_col: str, count_nam
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median of each numeric column: (column, median)."""
+    from tabtwin.session import cut_lineage
     long = long_numeric(df, columns)
-    q = exact_quantiles(value_counts(long, ["column_name"], "value"), ["column_name"], "value", "cnt", [0.5])
+    counts = cut_lineage(value_counts(long, ["column_name"], "value"))   # read three times below
+    q = exact_quantiles(counts, ["column_name"], "value", "cnt", [0.5])
     return q.select("column_name", F.col("quantile").alias("median"))
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabtwin.session import cut_lineage
 from tabtwin.operators.ordered import exact_quantiles, long_discrete, long_numeric, value_counts
 
 
@@ -23,8 +24,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     moments = long.groupBy("column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(value_counts(long, ["column_name"], "value"), ["column_name"], "value", "cnt",
-                        [0.25, 0.5, 0.75])
+    counts = cut_lineage(value_counts(long, ["column_name"], "value"))   # read three times below
+    q = exact_quantiles(counts, ["column_name"], "value", "cnt", [0.25, 0.5, 0.75])
     quart = q.groupBy("column_name").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
