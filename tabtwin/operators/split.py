@@ -33,9 +33,8 @@ def hash_rank(df: DataFrame, seed, tag: str, key: str, strata: list[str] | None
                            F.sum("_bn").over(whole).alias("_n"))
     within = Window.partitionBy(*skey, "_b").orderBy("_u", key)
     ranked = (base.join(offsets, [*skey, "_b"], "left")
-              .withColumn("_rank", F.col("_off") + F.row_number().over(within))
-              .drop("_b", "_off"))
-    return ranked if strata else ranked.drop("_all")
+              .withColumn("_rank", F.col("_off") + F.row_number().over(within)))
+    return ranked.select(*df.columns, "_u", "_rank", "_n")        # input column order kept
 
 
 def stratified_split(df: DataFrame, spec: SplitSpec, seed, key: str = "rid",

@@ -840,3 +840,11 @@ def q_evaluate(spark, sf_dir):
                        fx.COHORT_NAMED_PAIRS, fx.COHORT_PLAUSIBILITY, fx.COHORT_SEED, skip_attacks=True,
                        results_path=_scratch(spark, "results"))
     return rounded(row)
+
+
+@register("generate_cart")
+def q_generate_cart(spark, sf_dir):
+    from tabtwin.operators.generate_cart import generate_cart
+    train, _ = fx.train_test(spark, sf_dir)
+    order = list(fx.COHORT_DP.visit_order)
+    return rounded(generate_cart(train, fx.COHORT_COLUMNS, order, fx.COHORT_SEED, key="rid"))

@@ -67,3 +67,17 @@ def test_dp_shape_bounds_and_nulls(cohort, cohort_spec):
     assert syn.filter("bmi IS NULL").count() > 0                                         # nulls survive
     real_sd = cohort.agg(F.stddev("age")).first()[0]
     assert syn.agg(F.stddev("age")).first()[0] > 0.3 * real_sd
+
+
+def test_cart_column_order_and_visit_order_effect(cohort, cohort_spec):
+    from tabtwin.operators.generate_cart import generate_cart
+    from tabtwin.spec import STROKE_VISIT_ORDER
+    small = cohort.filter("rid < 200")
+    a = generate_cart(small, cohort_spec, list(STROKE_VISIT_ORDER), 24, key="rid")
+    b = generate_cart(small, cohort_spec, list(reversed(STROKE_VISIT_ORDER)), 24, key="rid")
+    assert a.columns == small.columns == b.columns
+    assert a.dtypes == small.dtypes
+    assert a.count() == 200
+    assert sorted(a.collect()) != sorted(b.collect())
+    levels = {r[0] for r in small.select("work_type").distinct().collect()}
+    assert {r[0] for r in a.select("work_type").distinct().collect()} <= levels
