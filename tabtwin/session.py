@@ -2,14 +2,15 @@
 
 Library code never builds its own session; it receives one. ``local_session`` is for
 tests, the bench and the command-line jobs. ``checkpoint_dir`` reads the cluster's
-``spark.checkpoint.dir`` and only sets a scratch one when nothing is configured
-(local tests), so lineage cuts always land in the shared folder the cluster names.
+``spark.checkpoint.dir`` and raises when it is unset, so lineage cuts always land in the
+shared folder the cluster names.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,23 +32,34 @@ def local_session(cpus: int | str = 8, app: str = "tabtwin", shuffle_partitions:
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    use_local_checkpoints(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a private scratch one only when unset (tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``; an error when there is none.
+
+    Library code never falls back to a machine-local folder: on a cluster other executors
+    could not read it. ``use_local_checkpoints`` sets one for tests and the bench.
+    """
+    context = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not conf:
-        conf = tempfile.mkdtemp(prefix="tabtwin-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(conf)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(conf)
     return conf
 
 
+def use_local_checkpoints(spark: SparkSession) -> None:
+    """For local masters (tests, bench): a scratch checkpoint folder where none is set."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("only a local master may use a private checkpoint folder")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabtwin-ckpt-"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
@@ -57,14 +69,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_COUNTER)}")
-
-
-def _counter():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
-_COUNTER = _counter()

@@ -10,12 +10,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    from tabtwin.session import checkpoint_dir
+    from tabtwin.session import use_local_checkpoints
     s = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(s)
+    use_local_checkpoints(s)
     yield s
 
 
