@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabtwin.llm.bpe import decode_ids, encode_texts
 from tabtwin.llm.common import read_table
 from tabtwin.llm.line_dedup import drop_shared_lines
 
 
+def tokenizer() -> tuple[str, str]:
+    """Rank file and pattern of the public byte-level tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and the bytes they decode to, as digests."""
+    ranks, pattern = tokenizer()
+    encoded = encode_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
+    both = decode_ids(encoded, ranks, pattern)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more leave every document."""
     done = drop_shared_lines(read_table(spark, sf_dir, "documents"))
@@ -36,6 +54,7 @@ GROUP BY k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
 }
 
