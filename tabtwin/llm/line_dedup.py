@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabtwin.llm.common import ASCII_SPACE, lower_ascii, packed, unpacked
+from tabtwin.llm.common import ASCII_SPACE, lower_ascii, packed, unpacked, written
 
 
 def line_key(line: Column) -> Column:
@@ -43,8 +43,9 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
              .select("doc", "version", "pos", line_key(F.col("line")).alias("key"))
              .where(F.length("key") >= min_chars)
              .select("doc", "version", "pos", F.unhex(F.md5("key")).alias("hash")))
-    shared = (lines.select("hash", "doc").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= min_documents).select("hash"))
+    # Written, not chained: below the join both sides are then plain exchanges, whose large partitions Spark can split.
+    shared = written(lines.select("hash", "doc").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+                     .where(F.col("n") >= min_documents).select("hash"), "shared-lines")
     drops = (lines.join(shared, "hash").groupBy(F.col("doc").alias("d"), F.col("version").alias("v"))
              .agg(F.sort_array(F.collect_set("pos")).alias("drops")))
     joined = base.join(drops, doc.eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("v")), "left")
