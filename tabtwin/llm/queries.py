@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabtwin.llm.bpe import decode_ids, encode_texts
 from tabtwin.llm.common import read_table
 from tabtwin.llm.line_dedup import drop_shared_lines
+from tabtwin.llm.near_dup import near_duplicates
 
 
 def tokenizer() -> tuple[str, str]:
@@ -35,6 +36,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five-word shingles, a similarity of 0.75 or more."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -56,6 +62,7 @@ GROUP BY k.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_near_dup": op7_near_dup,
 }
 
 ORACLES: dict[str, str] = {
