@@ -11,6 +11,7 @@ from tabtwin.llm.bpe import decode_ids, encode_texts
 from tabtwin.llm.common import read_table
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.near_dup import near_duplicates
+from tabtwin.llm.topk_search import top_k_search
 
 
 def tokenizer() -> tuple[str, str]:
@@ -41,6 +42,12 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector against all others."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_k_search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dup": op7_near_dup,
+    "op9_topk_search": op9_topk_search,
 }
 
 ORACLES: dict[str, str] = {
