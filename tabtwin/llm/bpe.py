@@ -15,13 +15,15 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Finished pre-tokens that a Python worker keeps; beyond it the cache starts anew (results do not depend on it).
 CACHE_WORDS = 300_000
@@ -34,50 +36,100 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+class PairTable:
+    """Ranks of adjacent token pairs, looked up for whole arrays: open addressing over (left, right) keys."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.bits = max(4, (8 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, _NO_RANK, dtype=np.int32)
+        keys, values = np.array(list(pairs), dtype=np.int64), np.array(list(pairs.values()), dtype=np.int32)
+        slots = self._slots(keys)
+        while len(keys):                            # keys that find their slot taken move on by one
+            free = self.keys[slots] == -1
+            self.keys[slots[free]], self.values[slots[free]] = keys[free], values[free]
+            stay = self.keys[slots] != keys         # of keys for one free slot, the last was stored
+            keys, values, slots = keys[stay], values[stay], (slots[stay] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.int64) << 32 | right).ravel()
+        slots = self._slots(keys)
+        out = np.full(len(keys), _NO_RANK, dtype=np.int32)
+        there = np.arange(len(keys))
+        while len(there):
+            found = self.keys[slots]
+            hit = found == keys
+            out[there[hit]] = self.values[slots[hit]]
+            on = ~hit & (found != -1)
+            there, keys, slots = there[on], keys[on], (slots[on] + 1) & ((1 << self.bits) - 1)
+        return out.reshape(left.shape)
+
+
 class Encoder:
-    """The rank table at a path with the pattern that cuts texts, and its cache of pre-tokens."""
+    """The rank table at a path with the pattern that cuts texts, and a bounded cache of finished pre-tokens."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
 
         self.ranks = read_ranks(path)
         self.pieces = {rank: token for token, rank in self.ranks.items()}
+        self.pairs = PairTable(self.ranks)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.split = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
-        self.done: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        rank = self.ranks.get
-        if (whole := rank(word)) is not None:
-            return (whole,)
-        parts = [word[i:i + 1] for i in range(len(word))]
-        pairs = [rank(word[i:i + 2], _NO_RANK) for i in range(len(word) - 1)]
-        while pairs and (best := min(pairs)) != _NO_RANK:
-            at = pairs.index(best)
-            joined = parts[at] + parts[at + 1]
-            parts[at:at + 2] = [joined]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = rank(parts[at - 1] + joined, _NO_RANK)
-            if at < len(pairs):
-                pairs[at] = rank(joined + parts[at + 1], _NO_RANK)
-        return tuple(self.ranks[part] for part in parts)
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.done.get(word)
-        if ids is None:
-            if len(self.done) >= CACHE_WORDS:
-                self.done.clear()
-            ids = self.done[word] = self.merge(word.encode())
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        ids: list[int] = []
-        known, add = self.done.get, ids.extend
-        for word in self.split(text):
-            add(known(word) or self.word(word))
-        return np.array(ids, dtype=np.int32)
+        self.done: dict[str, bytes] = {}            # ids as the bytes of int32
+
+    def merge(self, words: list[str]) -> None:
+        """Finish distinct pre-tokens: all of one length are folded together, a merge each a step."""
+        by_length: dict[int, tuple[list[str], list[bytes]]] = {}
+        for word in words:
+            raw = word.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.done[word] = whole.to_bytes(4, "little")
+            else:
+                names, raws = by_length.setdefault(len(raw), ([], []))
+                names.append(word)
+                raws.append(raw)
+        for length, (names, raws) in by_length.items():
+            for at in range(0, len(names), step := max(1, 2_000_000 // length)):
+                self._fold(names[at:at + step], np.frombuffer(b"".join(raws[at:at + step]), dtype=np.uint8).reshape(-1, length))
+
+    def _fold(self, names: list[str], raw: np.ndarray) -> None:
+        ids, rows = self.byte_ids[raw], np.arange(len(raw))
+        while len(rows):
+            ranks = self.pairs.ranks(ids[:, :-1], ids[:, 1:]) if ids.shape[1] > 1 else np.full((len(rows), 1), _NO_RANK, dtype=np.int32)
+            at = ranks.argmin(axis=1)               # the leftmost of the lowest
+            best = ranks[np.arange(len(rows)), at]
+            over = best == _NO_RANK
+            for row, value in zip(rows[over].tolist(), ids[over], strict=True):
+                self.done[names[row]] = value.tobytes()
+            ids, rows, at, best = ids[~over], rows[~over], at[~over], best[~over]
+            ids[np.arange(len(rows)), at] = best
+            place = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)
+
+    def finish(self, words: set[str]) -> dict[str, bytes]:
+        """The cache, with ``words`` in it."""
+        if len(self.done) + len(words) > CACHE_WORDS:
+            self.done.clear()
+        if new := words - self.done.keys():
+            self.merge(list(new))
+        return self.done
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.split(text) for text in texts]
+        done = self.finish(set().union(*cut))
+        return [np.frombuffer(b"".join([done[word] for word in words]), dtype=np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join([self.pieces[i] for i in ids.tolist()])
@@ -89,20 +141,46 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``limit`` characters or values in ``column`` each; a longer row is a part of its own."""
+    values = batch.column(column)
+    lengths = pc.fill_null(pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    parts = np.cumsum(lengths, dtype=np.int64) // limit
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _with_column(df: DataFrame, name: str, kind: str, source: str, keep_source: bool, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with a column made from ``source`` in Arrow batches; a column of that name is replaced."""
+    others = [c for c in df.columns if c.lower() != name.lower() and (keep_source or c != source)]
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{source}`").alias("source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "source"):
+                yield pa.RecordBatch.from_arrays([part.column("row"), values(part.column("source"))], names=["row", "value"])
+
+    made = StructType([inner.schema["row"], StructField("value", DataType.fromDDL(kind))])
+    return inner.mapInArrow(run, made).select("row.*", F.col("value").alias(name))
+
+
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids``: the token ids (array<int>) of each whole text.
 
     Null and empty texts have no ids (an empty array); rows are independent, so repeated rows
     get equal ids and an empty table stays empty. A column that is already named ``ids`` is
-    replaced. Text that looks like a special token is ordinary text. Every byte must be in the
-    rank table, as it is in byte-level tables; a table without one raises KeyError.
+    replaced; ``keep_text=False`` leaves the text out. Text that looks like a special token is
+    ordinary text. Every byte must be in the rank table, as it is in byte-level tables; a table
+    without one raises KeyError.
     """
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        encode = encoder(ranks_path, pattern).encode
-        return pd.Series([encode(text or "") for text in texts], index=texts.index, dtype=object)
+    def ids(texts: pa.Array) -> pa.Array:
+        rows = encoder(ranks_path, pattern).encode([text or "" for text in texts.to_pylist()])
+        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
 
-    return docs.withColumn(ids_col, ids(F.col(text_col)))
+    return _with_column(docs, ids_col, "array<int>", text_col, keep_text, ids)
 
 
 def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -111,12 +189,11 @@ def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
     Null or no ids give empty bytes; an id outside the rank table raises KeyError. A column
     that is already named ``decoded`` is replaced.
     """
-    @F.pandas_udf("binary")
-    def decoded(rows: pd.Series) -> pd.Series:
+    def decoded(rows: pa.Array) -> pa.Array:
         decode = encoder(ranks_path, pattern).decode
-        return pd.Series([b"" if ids is None else decode(ids) for ids in rows], index=rows.index, dtype=object)
+        return pa.array([b"" if not row.is_valid else decode(row.values.to_numpy(zero_copy_only=False)) for row in rows], pa.binary())
 
-    return df.withColumn(bytes_col, decoded(F.col(ids_col)))
+    return _with_column(df, bytes_col, "binary", ids_col, True, decoded)
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 16) -> Column:

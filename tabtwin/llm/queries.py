@@ -24,7 +24,7 @@ def tokenizer() -> tuple[str, str]:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to, as digests."""
     ranks, pattern = tokenizer()
-    encoded = encode_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
+    encoded = encode_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, keep_text=False)
     both = decode_ids(encoded, ranks, pattern)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
