@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabtwin.session import scratch_path
 from tabtwin.llm.bpe import decode_ids, encode_texts
 from tabtwin.llm.common import read_table
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.near_dup import near_duplicates
 from tabtwin.llm.topk_search import top_k_search
+from tabtwin.llm.warc import archive_pages
 
 
 def tokenizer() -> tuple[str, str]:
@@ -21,6 +23,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records: written, normalised to a gzip member each, read back by offset."""
+    records = archive_pages(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to, as digests."""
     ranks, pattern = tokenizer()
@@ -67,6 +75,7 @@ GROUP BY k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dup": op7_near_dup,
