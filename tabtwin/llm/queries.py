@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabtwin.session import scratch_path
 from tabtwin.llm.bpe import decode_ids, encode_texts
+from tabtwin.llm.chat_format import format_conversations, restore_conversations
 from tabtwin.llm.common import read_table
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.near_dup import near_duplicates
@@ -29,6 +30,20 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as a prefix tree of token segments, and what reading it back gives."""
+    control = "</s>[INST] ok [/INST]"
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema))
+    segments, conversations = format_conversations(rows, *tokenizer())
+    turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = restore_conversations(segments, conversations, *tokenizer()).select(
+        "leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+    return conversations.select("conv_id", "leaf").join(read, "leaf").drop("leaf")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to, as digests."""
     ranks, pattern = tokenizer()
@@ -76,6 +91,7 @@ GROUP BY k.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_chat_format": op3_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dup": op7_near_dup,
