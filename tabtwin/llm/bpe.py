@@ -15,15 +15,15 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+
+from tabtwin.llm.common import with_arrow_column
 
 #: Finished pre-tokens that a Python worker keeps; beyond it the cache starts anew (results do not depend on it).
 CACHE_WORDS = 300_000
@@ -141,31 +141,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about ``limit`` characters or values in ``column`` each; a longer row is a part of its own."""
-    values = batch.column(column)
-    lengths = pc.fill_null(pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
-    parts = np.cumsum(lengths, dtype=np.int64) // limit
-    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
-def _with_column(df: DataFrame, name: str, kind: str, source: str, keep_source: bool, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` with a column made from ``source`` in Arrow batches; a column of that name is replaced."""
-    others = [c for c in df.columns if c.lower() != name.lower() and (keep_source or c != source)]
-    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{source}`").alias("source"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "source"):
-                yield pa.RecordBatch.from_arrays([part.column("row"), values(part.column("source"))], names=["row", "value"])
-
-    made = StructType([inner.schema["row"], StructField("value", DataType.fromDDL(kind))])
-    return inner.mapInArrow(run, made).select("row.*", F.col("value").alias(name))
-
-
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids``: the token ids (array<int>) of each whole text.
 
@@ -180,7 +155,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
         ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
 
-    return _with_column(docs, ids_col, "array<int>", text_col, keep_text, ids)
+    return with_arrow_column(docs, ids_col, "array<int>", text_col, keep_text, ids)
 
 
 def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -193,7 +168,7 @@ def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
         decode = encoder(ranks_path, pattern).decode
         return pa.array([b"" if not row.is_valid else decode(row.values.to_numpy(zero_copy_only=False)) for row in rows], pa.binary())
 
-    return _with_column(df, bytes_col, "binary", ids_col, True, decoded)
+    return with_arrow_column(df, bytes_col, "binary", ids_col, True, decoded)
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int], buckets: int = 1 << 16) -> Column:

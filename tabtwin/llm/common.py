@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tabtwin.session import scratch_path
 
@@ -45,5 +51,30 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``limit`` characters or values in ``column`` each; a longer row is a part of its own."""
+    values = batch.column(column)
+    lengths = pc.fill_null(pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    parts = np.cumsum(lengths, dtype=np.int64) // limit
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def with_arrow_column(df: DataFrame, name: str, kind: str, source: str, keep_source: bool, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with a column made from ``source`` in Arrow batches; a column of that name is replaced."""
+    others = [c for c in df.columns if c.lower() != name.lower() and (keep_source or c != source)]
+    inner = df.select(F.struct(*[F.col(_quoted(c)) for c in others]).alias("row"), F.col(_quoted(source)).alias("source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "source"):
+                yield pa.RecordBatch.from_arrays([part.column("row"), values(part.column("source"))], names=["row", "value"])
+
+    made = StructType([inner.schema["row"], StructField("value", DataType.fromDDL(kind))])
+    return inner.mapInArrow(run, made).select("row.*", F.col("value").alias(name))
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

@@ -13,6 +13,7 @@ from tabtwin.llm.chat_format import format_conversations, restore_conversations
 from tabtwin.llm.common import read_table
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.near_dup import near_duplicates
+from tabtwin.llm.quality import fit_quality, score_quality
 from tabtwin.llm.topk_search import top_k_search
 from tabtwin.llm.warc import archive_pages
 
@@ -44,6 +45,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.select("conv_id", "leaf").join(read, "leaf").drop("leaf")
 
 
+#: A document passes with this score or more.
+QUALITY_THRESHOLD = 0.7
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a model that saw no label of the held-out quarter."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    return score_quality(docs, model, keep_text=False).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to, as digests."""
     ranks, pattern = tokenizer()
@@ -92,6 +106,7 @@ GROUP BY k.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_chat_format": op3_chat_format,
+    "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dup": op7_near_dup,
