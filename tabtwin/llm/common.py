@@ -62,18 +62,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
             yield batch.slice(a, b - a)
 
 
-def with_arrow_column(df: DataFrame, name: str, kind: str, source: str, keep_source: bool, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` with a column made from ``source`` in Arrow batches; a column of that name is replaced."""
-    others = [c for c in df.columns if c.lower() != name.lower() and (keep_source or c != source)]
-    inner = df.select(F.struct(*[F.col(_quoted(c)) for c in others]).alias("row"), F.col(_quoted(source)).alias("source"))
+def with_arrow_column(df: DataFrame, name: str, kind: str, source: str | list[str], keep_source: bool, values: Callable[..., pa.Array]) -> DataFrame:
+    """``df`` with a column made in Arrow batches from one or several columns; a column of that name is replaced.
+
+    ``values`` gets the source columns of a part of a batch, cut by the first one's length.
+    """
+    sources = [source] if isinstance(source, str) else source
+    others = [c for c in df.columns if c.lower() != name.lower() and (keep_source or c not in sources)]
+    inner = df.select(F.struct(F.lit(0).alias("_"), *[F.col(_quoted(c)) for c in others]).alias("row"), *[F.col(_quoted(c)).alias(f"source{i}") for i, c in enumerate(sources)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "source"):
-                yield pa.RecordBatch.from_arrays([part.column("row"), values(part.column("source"))], names=["row", "value"])
+            for part in slices(batch, "source0"):
+                made = values(*[part.column(f"source{i}") for i in range(len(sources))])
+                yield pa.RecordBatch.from_arrays([part.column("row"), made], names=["row", "value"])
 
     made = StructType([inner.schema["row"], StructField("value", DataType.fromDDL(kind))])
-    return inner.mapInArrow(run, made).select("row.*", F.col("value").alias(name))
+    return inner.mapInArrow(run, made).select(*[F.col("row").getField(c).alias(c) for c in others], F.col("value").alias(name))
 
 
 def _quoted(name: str) -> str:

@@ -11,6 +11,7 @@ from tabtwin.session import scratch_path
 from tabtwin.llm.bpe import decode_ids, encode_texts
 from tabtwin.llm.chat_format import format_conversations, restore_conversations
 from tabtwin.llm.common import read_table
+from tabtwin.llm.decontaminate import match_benchmark
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.near_dup import near_duplicates
 from tabtwin.llm.quality import fit_quality, score_quality
@@ -31,6 +32,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that is in its whole text with at most one edit in twenty characters."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = match_benchmark(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return found.groupBy("doc_id", F.col("m.item").alias("item_id")).agg(F.min("m.distance").alias("distance"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as a prefix tree of token segments, and what reading it back gives."""
     control = "</s>[INST] ok [/INST]"
@@ -105,6 +113,7 @@ GROUP BY k.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
