@@ -15,6 +15,7 @@ from tabtwin.llm.decontaminate import match_benchmark
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.near_dup import near_duplicates
 from tabtwin.llm.quality import fit_quality, score_quality
+from tabtwin.llm.token_counts import apply_edits, count_tokens, n_tokens
 from tabtwin.llm.topk_search import top_k_search
 from tabtwin.llm.warc import archive_pages
 
@@ -93,6 +94,18 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each (a replacement, an insertion, a deletion)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.length("text") + 1).cast("int")
+    edits = F.array(*[F.struct(place(seed).alias("start"), (place(seed) + gone).alias("end"), F.lit(put).alias("text"))
+                      for seed, gone, put in ((1, 12, "replaced by this"), (2, 0, "\n\n  put in here's 42 "), (3, 40, None))])
+    counted = count_tokens(docs.withColumn("edits", edits), *tokenizer())
+    edited = apply_edits(counted, *tokenizer()).select("doc_id", n_tokens().alias("n_tokens"), "edited.*")
+    return edited.select("doc_id", "n_tokens", n_tokens("tree").alias("n_tokens_after"), F.col("reencoded").alias("chars_reencoded"),
+                         F.sha2("text", 256).alias("edited_sha256"))
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -120,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dup": op7_near_dup,
     "op9_topk_search": op9_topk_search,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
