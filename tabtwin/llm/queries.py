@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabtwin.session import scratch_path
@@ -59,13 +59,17 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_THRESHOLD = 0.7
 
 
+def held_out() -> Column:
+    """Whether a doc_id is in the quarter whose labels are never learned from; a null one isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a model that saw no label of the held-out quarter."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = fit_quality(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
     return score_quality(docs, model, keep_text=False).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
