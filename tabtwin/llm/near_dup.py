@@ -5,18 +5,20 @@
    value, and rounds i >= T send everything to bin i - T, so every coordinate gets filled
    while long sets stop after a round or two.
 2. Texts of equal words collapse to one node (the smallest doc_id) before anything is paired.
-3. Nodes that agree on all coordinates of a band share a bucket. A bucket is worked off by
-   pivots: every member is compared with the pivot only, links are joined into components,
-   and a bucket is left when its members that were no pivots yet are all in one component.
-   The number of pivots doubles from round to round. A bucket of copies costs one pair per
-   member; no bucket is capped, and a pair of one bucket is skipped only if it is already
-   known to be in one component or was compared before.
-4. A link is confirmed on the two full shingle sets.
-
-Scale: pairs, links and components stay distributed tables in the shared folder; hot buckets,
-pivots and classes meet in plain equi-joins, whose large partitions adaptive execution splits,
-and counts and minima are combined before their shuffles. Full sets are made only for texts
-that share a bucket.
+3. Nodes that agree on all coordinates of a band share a bucket. First every node is compared
+   with one pivot, the least node of all its buckets, which joins most of a group of copies
+   for one pair per node. Buckets whose members are all in one component then are done.
+4. Buckets that still hold several components are verified whole, in cells of two chunks of
+   bounded size: a cell's task counts the common shingles of its members by matrix products
+   and returns only links that join components. No pair is emitted that isn't a link, no
+   bucket is capped, and no pair of one bucket is left out unless it is in one component.
+5. A link is confirmed on the two full shingle sets.
+
+Scale: links and components stay distributed tables in the shared folder; hot buckets, pivots
+and classes meet in plain equi-joins, whose large partitions adaptive execution splits, and
+counts and minima are combined before their shuffles. Full sets are made only for texts that
+share a bucket. What grows faster than the input is the counting of step 4 in buckets of many
+texts that are alike but not linked; its memory and its rows do not.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from tabtwin.llm.common import written
 #: Coordinates of a sketch, and coordinates in a band: at a similarity of 0.75 a pair shares no
 #: band with a probability of (1 - 0.75**4)**32, or 5e-6.
 COORDINATES, BAND = 128, 4
+#: Members of a chunk, and columns of the matrices that a cell multiplies at a time.
+CHUNK, COLUMNS = 800, 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_KEPT = 500_000
@@ -179,18 +184,64 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
-def _labelled(rows: DataFrame, stars: DataFrame | None) -> DataFrame:
-    """``rows`` with ``label``: the component of ``node`` so far."""
-    if stars is None:
-        return rows.withColumn("label", F.col("node"))
-    return rows.join(stars, rows["node"] == stars["u"], "left").select(*[rows[c] for c in rows.columns], F.coalesce("root", "node").alias("label"))
+def joining_links(sides: list[np.ndarray], sets: list[np.ndarray], labels: list, percent: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of similar members of different components, as few as join what is linked.
 
-
-def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members and their bucket's pivots that aren't in one component yet and whose sizes allow a link."""
-    return (members.join(pivots, "key").where((F.col("label") != F.col("p.label")) & (F.col("node") != F.col("p.node")))
-            .where(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-            .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
+    ``sides``: the members' positions in the first chunk and in the second; only pairs between
+    the sides are looked at (the sides are the same for a chunk with itself).
+    """
+    rows, columns = sides
+    sizes = np.array([len(s) for s in sets])
+    owner, place = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True)[1]
+    often = np.bincount(place)[place] > 1           # a shingle of one member only is in no common set
+    owner, place = owner[often], np.unique(place[often], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, (start, start + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[owner[a:b], place[a:b] - start] = 1
+        common += part[rows] @ part[columns].T
+    alike = 100 * common >= percent * (sizes[rows][:, None] + sizes[columns][None] - common)
+    group = {label: label for label in labels}
+
+    def top(x):
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(alike)):
+        x, y = top(labels[rows[i]]), top(labels[columns[j]])
+        if x != y:
+            group[x] = y
+            out.append((int(rows[i]), int(columns[j])))
+    return out
+
+
+def _links_in_cells(buckets: DataFrame, sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within the buckets which hold several."""
+    labelled = written(buckets.join(stars, buckets["node"] == stars["u"], "left").select("key", "node", "size", F.coalesce("root", "node").alias("label")), "bucket-members")
+    still_open = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "open-buckets")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    members = (labelled.join(still_open, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node", "key"), "chunks").cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+               .select("key", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    cells = members.join(sets, "node")
+    kind = cells.schema["node"].dataType.simpleString()
+
+    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, labels, own = rows["node"].to_numpy(), rows["label"].tolist(), rows["own"].to_numpy()
+        links = []
+        if len(set(labels)) > 1:
+            sides = [np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])]
+            if len(sides[0]) and len(sides[1]):
+                links = joining_links(sides, [np.asarray(s) for s in rows["shingles"]], labels, percent)
+        return pd.DataFrame({"a": [min(nodes[i], nodes[j]) for i, j in links], "b": [max(nodes[i], nodes[j]) for i, j in links]}, dtype=nodes.dtype)
+
+    return cells.groupBy("key", "i", "j").applyInPandas(verify, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -211,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(members.where("n > 0 AND doc IS NOT NULL").groupBy("content").agg(F.min("doc").alias("node")), "nodes")
     bands = (sketches.join(nodes.withColumnRenamed("node", "doc"), ["content", "doc"])
              .select(F.col("doc").alias("node"), "n", F.explode("bands").alias("key")).distinct())
-    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared-bands")
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-bands")
     buckets = written(bands.join(shared, "key"), "buckets")
     wanted = buckets.select("node").distinct().join(nodes, "node")
     sets = written(_full_sets(rows.select(F.col("doc").alias("node"), "text").join(buckets.select("node").distinct(), "node", "left_semi"), words)
@@ -219,26 +270,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     homes = members.where("n > 0 AND doc IS NOT NULL").join(nodes, "content")
     links = (homes.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b"))
-    one = buckets.groupBy("key").agg(F.min(F.struct("node", "n", F.col("node").alias("label"))).alias("p"))
-    first = (_pairs(buckets.withColumn("label", F.col("node")), one, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    tested = written(_confirmed(first, sets, percent), "pairs")
-    stars = components(links.union(tested.where("linked").select("a", "b")))
-
-    left, slots = buckets, 1
-    while True:
-        members_now = written(_labelled(left, stars), "bucket-members")
-        mixed_keys = written(members_now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "open-buckets")
-        if mixed_keys.isEmpty():
-            break
-        members_now = written(members_now.join(mixed_keys, "key"), "open-members")
-        slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-        pivots = written(members_now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "n", "label")).alias("p")).select("key", "p"), "pivots")
-        fresh = _pairs(members_now, pivots, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = written(_confirmed(fresh, sets, percent), "pairs")
-        tested = tested.union(found)
-        stars = components(stars.select(F.col("root").alias("a"), F.col("u").alias("b")).union(found.where("linked").select("a", "b")))
-        left = (members_now.join(pivots.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti").select("node", "n", "key"))
-        slots *= 2
+    one = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"))
+    nearest = (buckets.join(one, "key").where((F.col("p.node") < F.col("node")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+               .groupBy(F.col("node").alias("b")).agg(F.min("p.node").alias("a")).select("a", "b"))
+    first = written(_confirmed(nearest, sets, percent).where("linked").select("a", "b"), "links")
+    stars = components(links.union(first))
+    rest = written(_confirmed(_links_in_cells(buckets, sets, stars, percent), sets, percent).where("linked").select("a", "b"), "links")
+    stars = components(stars.select(F.col("root").alias("a"), F.col("u").alias("b")).union(rest))
 
     placed = members.join(nodes, "content", "left")
     out = placed.join(stars, placed["node"] == stars["u"], "left")
