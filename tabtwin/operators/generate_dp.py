@@ -20,7 +20,6 @@ default) draws a secret seed from the OS, as a release must; tests pass a fixed
 
 from __future__ import annotations
 
-import itertools
 import secrets as _secrets
 
 from pyspark.sql import DataFrame
@@ -50,28 +49,57 @@ def marginal_plan(order: list[str]) -> list[tuple[str, ...]]:
     return [tuple(order[max(0, k - 2):k + 1]) for k in range(len(order))]
 
 
-def noisy_marginals(coded: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, noise_seed) -> DataFrame:
-    """(mid, cell array<string>, noisy double) for every marginal over its full public domain."""
+def coded_rows(real: DataFrame, spec: ColumnSpec, dp: DPSpec) -> DataFrame:
+    """``real`` as codes of the public domain; every row stays in it.
+
+    Numbers beyond the public bounds count in the end bins. A missing value of a column that
+    isn't declared nullable and a level outside the declared domain raise, with counts.
+    """
+    def clipped(c: str) -> F.Column:
+        low, high = (F.lit(float(x)) for x in dp.bounds[c])
+        x = F.col(c).cast("double")
+        # least and greatest skip nulls, but a missing number must stay missing
+        return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(low, F.least(high, x)))
+
+    kept = real.select(*[clipped(c).alias(c) if c in dp.bounds else F.col(c) for c in spec.all_columns])
+    coded = discretise(kept, dp.bounds, dp.bins, columns=spec.all_columns)
+    outside = coded.agg(*[F.count_if(~F.col(c).isin(code_domain(spec, dp, c))).alias(c) for c in spec.all_columns]).first().asDict()
+    if wrong := {c: n for c, n in outside.items() if n}:
+        raise ValueError("values outside the public domain: " + ", ".join(f"{n} in {c}" for c, n in wrong.items()))
+    return coded
+
+
+def marginal_counts(coded: DataFrame, spec: ColumnSpec, dp: DPSpec) -> DataFrame:
+    """(mid, cell array<string>, n) for every marginal over its full public domain."""
     spark = coded.sparkSession
-    order = list(dp.visit_order)
-    plan = marginal_plan(order)
-    m = len(plan)
-    scale = 2.0 * m / epsilon
+    plan = marginal_plan(list(dp.visit_order))
     # true counts of every marginal in one shuffle: explode (marginal id, cell) per row
     items = [F.struct(F.lit(i).alias("mid"), F.array(*[F.col(c) for c in cols]).alias("cell"))
              for i, cols in enumerate(plan)]
     counts = (coded.select(F.explode(F.array(*items)).alias("e")).select("e.*")
               .groupBy("mid", "cell").agg(F.count(F.lit(1)).alias("n")))
-    # the public domain: product of declared code sets (<= bins^3 cells per marginal)
-    rows = []
+    # the public domain: the product of the declared code sets, made by the executors
+    domain = None
     for i, cols in enumerate(plan):
-        for cell in itertools.product(*[code_domain(spec, dp, c) for c in cols]):
-            rows.append((i, list(cell)))
-    domain = spark.createDataFrame(rows, "mid int, cell array<string>")
-    full = domain.join(counts, ["mid", "cell"], "left").fillna(0, ["n"])
+        cells = spark.range(1).select(F.lit(i).alias("mid"))
+        for c in cols:
+            cells = cells.withColumn(f"c_{c}", F.explode(F.lit(code_domain(spec, dp, c))))
+        cells = cells.select("mid", F.array(*[F.col(f"c_{c}") for c in cols]).alias("cell"))
+        domain = cells if domain is None else domain.union(cells)
+    return domain.join(counts, ["mid", "cell"], "left").fillna(0, ["n"])
+
+
+def with_noise(counts: DataFrame, dp: DPSpec, epsilon: float, noise_seed) -> DataFrame:
+    """(mid, cell, noisy double): Laplace noise on every cell of ``marginal_counts``."""
+    scale = 2.0 * len(dp.visit_order) / epsilon
     u = hash_uniform(noise_seed, f"dp:{epsilon!r}", "mid", F.concat_ws("\u0001", "cell"))
     noisy = F.greatest(F.lit(0.0), F.col("n").cast("double") + laplace_from_uniform(u, scale))
-    return full.select("mid", "cell", noisy.alias("noisy"))
+    return counts.select("mid", "cell", noisy.alias("noisy"))
+
+
+def noisy_marginals(coded: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, noise_seed) -> DataFrame:
+    """(mid, cell array<string>, noisy double) for every marginal over its full public domain."""
+    return with_noise(marginal_counts(coded, spec, dp), dp, epsilon, noise_seed)
 
 
 def _conditional_tables(noisy: DataFrame, plan) -> dict:
@@ -110,9 +138,9 @@ def _pick(values: str, cum: str, total, u) -> F.Column:
 
 
 def generate_dp(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, seed, noise_seed=None,
-                key: str | None = None, n: int | None = None) -> DataFrame:
+                key: str | None = None, n: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Synthetic table with the columns, order and types of ``real`` (``key`` column, if
-    given, becomes a fresh 0..n-1 id)."""
+    given, becomes a fresh 0..n-1 id). ``counts``: ``marginal_counts`` of ``real`` made before."""
     if epsilon <= 0:
         raise ValueError(f"epsilon must be strictly positive, got {epsilon}.")
     from tabtwin.operators.contract import validate_columns
@@ -126,9 +154,10 @@ def generate_dp(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, s
         noise_seed = _secrets.randbits(62)
     spark = real.sparkSession
     n = real.count() if n is None else n          # the row count is public
-    coded = discretise(real, dp.bounds, dp.bins, columns=spec.all_columns)
     plan = marginal_plan(list(dp.visit_order))
-    noisy = cut_lineage(noisy_marginals(coded, spec, dp, epsilon, noise_seed))   # small: sum of domain sizes
+    if counts is None:
+        counts = marginal_counts(coded_rows(real, spec, dp), spec, dp)
+    noisy = cut_lineage(with_noise(counts, dp, epsilon, noise_seed))   # small: sum of domain sizes
     tables = _conditional_tables(noisy, plan)
     out = spark.range(n)
     for i, cols in enumerate(plan):
@@ -140,14 +169,12 @@ def generate_dp(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, s
                               F.col("values").alias("_values"), F.col("cum").alias("_cum"),
                               F.col("total").alias("_total"))
         fallback = _one_way(noisy, plan, i)
-        # bounded by the public domain of the parents (<= (bins+1)^2 rows): broadcast
-        # both lookup tables are bounded by the public domain: broadcast, constant key when no parents
-        base = out.withColumn("_k", F.lit(1))
         if parents:
-            step = base.join(F.broadcast(renamed), parents, "left")
+            step = out.join(renamed, parents, "left")     # a row per cell of the public domain; broadcast if its size allows
         else:
-            step = base.join(F.broadcast(renamed.withColumn("_k", F.lit(1))), "_k", "left")
-        step = step.join(F.broadcast(fallback.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
+            one = F.struct("_values", "_cum", "_total")
+            step = out.withColumn("_one", renamed.select(one).scalar()).select(*out.columns, "_one.*")
+        step = step.withColumn("_f", fallback.select(F.struct("f_values", "f_cum")).scalar()).select(*step.columns, "_f.*")
         use_cond = F.col("_total") > 0
         value = F.when(use_cond, _pick("_values", "_cum", F.col("_total"), u)).otherwise(
             _pick("f_values", "f_cum", F.element_at("f_cum", -1), u))
@@ -168,8 +195,9 @@ def dp_sweep(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilons, seed, nois
              key: str | None = None) -> DataFrame:
     """One synthetic table per epsilon, stacked with an ``epsilon`` column (write with
     ``partitionBy("epsilon")``). Each epsilon is a separate release with its own budget."""
-    out = None
+    out, n = None, real.count()
+    counts = cut_lineage(marginal_counts(coded_rows(real, spec, dp), spec, dp))    # the same for every epsilon
     for eps in epsilons:
-        t = generate_dp(real, spec, dp, float(eps), seed, noise_seed, key).withColumn("epsilon", F.lit(float(eps)))
+        t = generate_dp(real, spec, dp, float(eps), seed, noise_seed, key, n, counts).withColumn("epsilon", F.lit(float(eps)))
         out = t if out is None else out.unionByName(t)
     return out

@@ -17,24 +17,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+#: Least number of buckets per group; sessions set up for more shuffle partitions get more.
+LEAST_BUCKETS = 64
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Two buckets for each shuffle partition, the number that a session sets for its data's size."""
+    return max(LEAST_BUCKETS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``columns`` in which null equals null; the left's key columns stay."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in columns], *[c for c in right.columns if c not in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in columns])
 
 
 def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_") -> DataFrame:
+                buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same group with order value <= this row's.
 
-    Rows with a null order value get null running sums.
+    Rows with a null order value get null running sums; the rows of a null group are a group.
     """
     group_cols = list(group_cols)
+    buckets = buckets or default_buckets(df)
     if not group_cols:
         return prefix_sums(df.withColumn("_g", F.lit(0)), ["_g"], order_col, sum_cols, buckets, prefix).drop("_g")
     probs = [i / buckets for i in range(1, buckets)]
     bounds = (df.filter(F.col(order_col).isNotNull())
               .groupBy(*group_cols)
               .agg(F.percentile_approx(F.col(order_col), probs, 10000).alias("_bounds")))
-    # one row of <= buckets-1 bounds per group; groups are metric columns / scores, a handful
-    bounded = df.join(F.broadcast(bounds), group_cols, "left")
+    # one row of <= buckets-1 bounds per group; Spark broadcasts them if their size allows
+    bounded = null_safe_join(df, bounds, group_cols, "left")
     bounded = bounded.withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order_col)))).drop("_bounds")
 
@@ -46,7 +62,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
 
     within = (Window.partitionBy(*group_cols, "_bucket").orderBy(order_col)
               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out = bounded.join(offsets, group_cols + ["_bucket"], "left")
+    out = null_safe_join(bounded, offsets, group_cols + ["_bucket"], "left")
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.when(F.col(order_col).isNotNull(),
                                                      F.col(f"_off_{c}") + F.sum(c).over(within)))
@@ -54,7 +70,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
 
 
 def exact_quantiles(counts: DataFrame, group_cols: list[str], value_col: str, count_col: str,
-                    probs: list[float], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    probs: list[float], buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group.
 
     ``counts`` has one row per (group, value) with a positive ``count_col``; null values
@@ -74,7 +90,7 @@ def exact_quantiles(counts: DataFrame, group_cols: list[str], value_col: str, co
                                                 F.struct(F.lit("hi").alias("role"), F.col("_hi").alias("k"))))
                               .alias("_pos")).select(*group_cols, "prob", "_h", "_lo", "_pos.role", "_pos.k")
     # probes are (groups x probs x 2) rows; equi-join on the group, then the rank interval
-    joined = cum.join(F.broadcast(positions), group_cols) \
+    joined = null_safe_join(cum, positions, group_cols) \
         .filter((F.col("_prev") <= F.col("k")) & (F.col("k") < F.col(f"cum_{count_col}")))
     picked = joined.groupBy(*group_cols, "prob", "_h", "_lo").agg(
         F.max(F.when(F.col("role") == "lo", F.col(value_col))).alias("_vlo"),

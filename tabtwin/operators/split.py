@@ -32,7 +32,12 @@ def hash_rank(df: DataFrame, seed, tag: str, key: str, strata: list[str] | None
     offsets = sizes.select(*skey, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
                            F.sum("_bn").over(whole).alias("_n"))
     within = Window.partitionBy(*skey, "_b").orderBy("_u", key)
-    ranked = (base.join(offsets, [*skey, "_b"], "left")
+    # null-safe: the rows of a null stratum are ranked among themselves
+    keyed = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in skey], F.col("_b").alias("_ob"), "_off", "_n")
+    same = F.col("_b") == F.col("_ob")
+    for c in skey:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    ranked = (base.join(keyed, same, "left")
               .withColumn("_rank", F.col("_off") + F.row_number().over(within)))
     return ranked.select(*df.columns, "_u", "_rank", "_n")        # input column order kept
 
@@ -41,11 +46,15 @@ def stratified_split(df: DataFrame, spec: SplitSpec, seed, key: str = "rid",
                      allow_null_strata: bool = False) -> DataFrame:
     """Add ``split`` in {train, test, val}: per stratum the first floor(n*train) rows in hash
     order are train, then floor(n*test) test (or the rest when there is no val), rest val.
-    Rows with a null stratum are dropped (as a group-by on the stratum does) unless allowed.
+    Rows with a null stratum raise, with their count; ``allow_null_strata`` makes them a
+    stratum of their own instead.
     """
     strat = spec.stratify_col
-    src = df if allow_null_strata else df.filter(F.col(strat).isNotNull())
-    ranked = hash_rank(src, seed, "split", key, [strat])
+    if not allow_null_strata:
+        nulls = df.filter(F.col(strat).isNull()).count()
+        if nulls:
+            raise ValueError(f"{nulls} rows have no value in the stratum column {strat!r}; fill or remove them, or allow null strata")
+    ranked = hash_rank(df, seed, "split", key, [strat])
     n = F.col("_n").cast("double")
     n_train = F.floor(n * F.lit(float(spec.train_size)))
     if spec.val_size is None:
@@ -58,19 +67,18 @@ def stratified_split(df: DataFrame, spec: SplitSpec, seed, key: str = "rid",
 
 
 def validate_split(labelled: DataFrame, spec: SplitSpec) -> None:
-    """Raise like the reference: an empty split for a stratum, or a rate outside tolerance."""
+    """Raise if a stratum is missing from a split or a split's target rate is off."""
     from tabtwin.operators.contract import empty_partition_check, strat_rate_check
 
-    splits = ("train", "test") + (("val",) if spec.val_size is not None else ())
-    empty = empty_partition_check(labelled, spec.stratify_col, splits=splits).orderBy("stratum", "split").first()
-    if empty is not None:
-        size = {"train": spec.train_size, "test": spec.test_size, "val": spec.val_size}[empty["split"]]
-        raise ValueError(f"Stratified group '{empty['stratum']}' (n={empty['n']}) produced 0 {empty['split']} "
-                         f"rows at {empty['split']}_size={size:.2f}. Increase the group's sample size or the ratio.")
-    for r in strat_rate_check(labelled, spec.stratify_col, tolerance=spec.tolerance).collect():  # <= 3 rows
-        if not r["ok"]:
-            raise ValueError(f"{r['split'].capitalize()} stratification deviates from overall rate: "
-                             f"{r['rate']:.4f} vs {r['overall_rate']:.4f} (tolerance {spec.tolerance})")
+    shares = {name: size for name, size in (("train", spec.train_size), ("test", spec.test_size), ("val", spec.val_size)) if size is not None}
+    missing = empty_partition_check(labelled, spec.stratify_col, splits=tuple(shares)).orderBy("stratum", "split").first()
+    if missing is not None:
+        raise ValueError(f"stratum {missing['stratum']!r} has {missing['n']} rows, too few for a {missing['split']} share of "
+                         f"{shares[missing['split']]:g}: the split {missing['split']!r} would get 0 of them")
+    off = strat_rate_check(labelled, spec.stratify_col, tolerance=spec.tolerance).filter("NOT ok").orderBy("split").first()
+    if off is not None:
+        raise ValueError(f"split {off['split']!r} has a target rate of {off['rate']:.4f} where the whole table has "
+                         f"{off['overall_rate']:.4f}; that is beyond the tolerance of {spec.tolerance:g}")
 
 
 def seeded_shuffle(df: DataFrame, seed, key: str = "rid") -> DataFrame:
@@ -98,8 +106,7 @@ def bootstrap_sample(df: DataFrame, n: int, seed, key: str = "rid", tag: str = "
     spark = df.sparkSession
     donors = indexed(df, seed, f"{tag}#order", key)
     m = donors.agg(F.count(F.lit(1)).alias("m"))
-    draws = spark.range(n).withColumnRenamed("id", "draw_id")
-    draws = draws.withColumn("_k", F.lit(1)).join(m.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    draws = spark.range(n).withColumnRenamed("id", "draw_id").withColumn("m", m.scalar())
     draws = draws.withColumn("_idx", F.floor(hash_uniform(seed, tag, "draw_id") * F.col("m")).cast("bigint"))
     return draws.join(donors.drop("_m"), "_idx").drop("_idx", "m")
 

@@ -39,7 +39,9 @@ def restore_types(df: DataFrame, schema: T.StructType) -> DataFrame:
             continue
         c = F.col(f.name)
         if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)):
-            c = F.bround(c.cast("string").try_cast("double"), 0).cast(f.dataType)
+            # by way of double only where there is a fraction: doubles hold integers up to 2^53
+            text = c.cast("string")
+            c = F.coalesce(text.try_cast(f.dataType), F.bround(text.try_cast("double"), 0).try_cast(f.dataType))
         elif isinstance(f.dataType, T.BooleanType):
             c = F.lower(c.cast("string")).isin("true", "1")
             c = F.when(F.col(f.name).isNull(), F.lit(None)).otherwise(c)
