@@ -100,21 +100,9 @@ new AS (SELECT segment AS generator, avg(balance) AS mean_balance, count(*) AS n
 SELECT generator, round(mean_amount, 6) AS mean_amount, n, CAST(NULL AS DOUBLE) AS mean_balance FROM old
 WHERE generator NOT IN (SELECT generator FROM new)
 UNION ALL SELECT generator, CAST(NULL AS DOUBLE), n, round(mean_balance, 6) FROM new"""
-ORACLES["column_metadata"] = ("SELECT * FROM (VALUES ('amount', 'numerical'), ('balance', 'numerical'), "
-                              "('month_no', 'numerical'), ('is_urgent', 'categorical'), ('is_finished', 'categorical'), "
-                              "('target', 'categorical'), ('segment', 'categorical'), ('region', 'categorical'), "
-                              "('priority', 'categorical')) t(column_name, sdtype)")
-ORACLES["validate_columns"] = """WITH cols(column_name) AS (VALUES ('rid'), ('amount'), ('balance'), ('month_no'),
-  ('is_urgent'), ('is_finished'), ('target'), ('segment'), ('region'), ('priority')),
-declared(column_name) AS (VALUES ('amount'), ('balance'), ('ghost'), ('is_urgent'), ('target'), ('segment'),
-  ('region'), ('amount'))
-SELECT 'undeclared' AS problem, column_name FROM cols WHERE column_name NOT IN (SELECT column_name FROM declared)
-UNION ALL SELECT DISTINCT 'stale', column_name FROM declared WHERE column_name NOT IN (SELECT column_name FROM cols)
-UNION ALL SELECT 'duplicated', column_name FROM declared GROUP BY column_name HAVING count(*) > 1"""
-ORACLES["schema_compat"] = ("SELECT * FROM (VALUES ('synth_side', 'missing_column', 'priority', NULL), "
-                            "('synth_side', 'extra_column', 'extra_flag', NULL), "
-                            "('synth_side', 'dtype_mismatch', 'month_no', 'reference int, candidate double')) "
-                            "t(file_name, problem, column_name, detail)")
+
+
+
 _cand = ("cand AS (SELECT rid, is_urgent + 1 AS is_urgent, is_finished, target, segment, "
          "CASE WHEN rid % 97 = 0 THEN 'ANTARCTICA' ELSE region END AS region, priority FROM synth_side)")
 ORACLES["domain_subset"] = f"{PRE}, {_cand} " + " UNION ALL ".join(
@@ -290,8 +278,8 @@ c AS (SELECT column_name, target, bin, edges, count(*) AS count FROM b GROUP BY
 SELECT column_name, target, bin, round(edges[bin + 1], 6) AS lo, round(edges[bin + 2], 6) AS hi, count,
   round(count / sum(count) OVER (PARTITION BY column_name, target) * 1.0, 6) AS share FROM c"""
 ORACLES["kde_table"] = f"""{PRE},
-l AS (SELECT column_name, value, side FROM (SELECT * FROM {_long('real_side', ['amount', 'month_no'], 'DOUBLE', ", 'real' AS side")}
-      UNION ALL SELECT * FROM {_long('synth_side', ['amount', 'month_no'], 'DOUBLE', ", 'synthetic' AS side")})
+l AS (SELECT column_name, value, side FROM (SELECT * FROM {_long('real_side', ['amount', 'balance', 'month_no'], 'DOUBLE', ", 'real' AS side")}
+      UNION ALL SELECT * FROM {_long('synth_side', ['amount', 'balance', 'month_no'], 'DOUBLE', ", 'synthetic' AS side")})
       WHERE value IS NOT NULL),
 st AS (SELECT column_name, side, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h,
        min(value) AS lo, max(value) AS hi FROM l GROUP BY column_name, side),
@@ -322,8 +310,8 @@ ORACLES["k_anonymity_quasi_identifiers"] = (f"{PRE}, c AS (SELECT *, {_bandsql}
 ORACLES["rarest_combos"] = (f"{PRE} SELECT segment, region, priority, is_urgent, count(*) AS count FROM cohort "
                             "WHERE segment IS NOT NULL AND region IS NOT NULL AND priority IS NOT NULL AND is_urgent IS NOT NULL "
                             "GROUP BY ALL ORDER BY count, segment, region, priority, is_urgent LIMIT 10")
-ORACLES["duplicate_rows"] = ("SELECT coalesce(sum(n - 1), 0) AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem "
-                             "GROUP BY l_linenumber, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax)")
+ORACLES["duplicate_rows"] = ("SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) "
+                             "AS duplicate_rows")
 _pc = NUM + ["is_urgent", "is_finished", "target"]
 ORACLES["pearson_matrix"] = f"{PRE} " + " UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, CASE WHEN var_pop(CAST({a} AS DOUBLE)) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) > 0 "
@@ -418,7 +406,9 @@ ORACLES["association_diff"] = (f"{_cmp} SELECT col_a, col_b, round(abs_diff, 6)
                                " UNION ALL ".join(f"SELECT '{c}', '{c}', 0.0" for c in _NAMES))
 _cv_cols = list(fx.COHORT_COLUMNS.categorical) + ["is_urgent", "target"]
 ORACLES["cramers_v_matrix"] = f"{PRE} " + _round_value(
-    "(" + " UNION ALL ".join(_cramer_sql("cohort", a, b, dropna=True) for a, b in _ut(_cv_cols)) + ")")
+    "(WITH half AS (" + " UNION ALL ".join(_cramer_sql("cohort", a, b, dropna=True) for a, b in _ut(_cv_cols)) + ") "
+    "SELECT col_a, col_b, kind, value FROM half UNION ALL SELECT col_b, col_a, kind, value FROM half UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{c}', '{c}', 'cramers_v', 1.0" for c in _cv_cols) + ")")
 _allc = fx.COHORT_COLUMNS.all_columns
 _miss = (" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, (SELECT avg(CAST({c} IS NULL AS DOUBLE)) FROM real_side) AS real_na_rate, "
@@ -612,7 +602,7 @@ r AS (SELECT rid, target, row_number() OVER (PARTITION BY target ORDER BY {_u(24
 SELECT CASE WHEN rk <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, target, count(*) AS n
 FROM r GROUP BY ALL"""
 ORACLES["write_splits"] = f"{SPLIT} SELECT split, rid, true AS second_write_refused FROM labelled"
-ORACLES["scan_candidates"] = "SELECT * FROM (VALUES ('a_real.csv'), ('b_synth.csv')) t(file_name)"
+
 ORACLES["compat_report"] = f"""{PRE}
 SELECT 'absent.csv' AS file_name, 'missing_file' AS problem, NULL AS column_name, 'file does not exist, skipped' AS detail
 UNION ALL SELECT 'recoded.csv', 'missing_column', 'priority', NULL

@@ -54,13 +54,3 @@ def laplace_from_uniform(u: Column, scale) -> Column:
     centred = u - F.lit(0.5)
     scale_col = scale if isinstance(scale, Column) else F.lit(float(scale))
     return -scale_col * F.signum(centred) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(centred))
-
-
-def laplace_sql(u_sql: str, scale_sql: str) -> str:
-    c = f"({u_sql} - 0.5)"
-    return f"(-({scale_sql}) * sign({c}) * ln(1.0 - 2.0 * abs({c})))"
-
-
-def hash_index(seed, tag: str, n: Column, *keys) -> Column:
-    """Uniform integer in [0, n) for each row (donor pick in a table of n rows)."""
-    return F.floor(hash_uniform(seed, tag, *keys) * n).cast("bigint")

@@ -53,10 +53,6 @@ def restore_types(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
-def restore_order(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*columns)
-
-
 def missing_indicator(col: str) -> F.Column:
     return F.col(col).isNull().cast("int").alias(f"{col}_missing")
 

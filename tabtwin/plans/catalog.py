@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -117,34 +117,8 @@ def q_upsert(spark, sf_dir):
     return rounded(upsert_result(old, new, "generator"))
 
 
-@register("column_metadata")
-def q_metadata(spark, sf_dir):
-    from tabtwin.sources.io import column_metadata
-    fx.cohort(spark, sf_dir)
-    return column_metadata(spark, fx.COHORT_COLUMNS)
-
-
 # ---- contracts -----------------------------------------------------------------------
 
-@register("validate_columns")
-def q_validate(spark, sf_dir):
-    """Contract report for a declaration with a stale, a duplicated and undeclared columns."""
-    from tabtwin.operators.contract import column_report
-    from tabtwin.spec import ColumnSpec
-    spec = ColumnSpec(numeric=("amount", "balance", "ghost"), binary=("is_urgent", "target"),
-                      categorical=("segment", "region", "amount"))
-    return column_report(fx.cohort(spark, sf_dir), spec)
-
-
-@register("schema_compat")
-def q_schema_compat(spark, sf_dir):
-    from tabtwin.operators.contract import schema_compat
-    real, synth = fx.sides(spark, sf_dir)
-    cand = synth.drop("priority").withColumn("month_no", F.col("month_no").cast("double")) \
-        .withColumn("extra_flag", F.lit(1))
-    return schema_compat(real, cand, "synth_side")
-
-
 @register("domain_subset")
 def q_domain_subset(spark, sf_dir):
     """Recoded levels (0/1 -> 1/2) and new categories are caught as values outside the reference."""
@@ -361,9 +335,9 @@ def q_kde(spark, sf_dir):
     """KDE curves; density reported times the column's grid span so 6 dp keep the shape."""
     from tabtwin.operators.profile import kde_table
     real, synth = fx.sides(spark, sf_dir)
-    k = kde_table(real, synth, ["amount", "month_no"])
-    span = F.max("x").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("column_name")) - \
-        F.min("x").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("column_name"))
+    k = kde_table(real, synth, ["amount", "balance", "month_no"])
+    of_column = Window.partitionBy("column_name")          # 200 grid points
+    span = F.max("x").over(of_column) - F.min("x").over(of_column)
     return rounded(k.select("column_name", "side", "grid_index", (F.col("density") * span).alias("scaled_density")))
 
 
@@ -392,9 +366,7 @@ def q_rarest(spark, sf_dir):
 def q_duplicates(spark, sf_dir):
     from tabtwin.operators.profile import duplicate_rows
     fx.register_tables(spark, sf_dir, ("lineitem",))
-    li = spark.table("lineitem")
-    return duplicate_rows(li.drop("l_orderkey"), ["l_linenumber", "l_returnflag", "l_linestatus", "l_quantity",
-                                                  "l_discount", "l_tax"])
+    return duplicate_rows(spark.table("lineitem"))
 
 
 @register("pearson_matrix")
@@ -804,16 +776,6 @@ def q_write_splits(spark, sf_dir):
     return out.withColumn("second_write_refused", F.lit(refused))
 
 
-@register("scan_candidates")
-def q_scan(spark, sf_dir):
-    from tabtwin.sources.io import scan_candidates, write_table
-    base = _scratch(spark, "candidates")
-    real, synth = fx.sides(spark, sf_dir)
-    for name, df in (("b_synth.csv", synth), ("a_real.csv", real)):
-        write_table(df, f"{base}/{name}")
-    return scan_candidates(spark, base).select("file_name")
-
-
 @register("compat_report")
 def q_compat(spark, sf_dir):
     """Schema + domain problems of two candidate files and one missing file."""

@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import warnings
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,33 +67,25 @@ def privacy_metrics(train, test, synthetic, spec: ColumnSpec, roles: RoleSpec, s
         .first()["dcr_baseline_protection"]
     if skip_attacks:
         return out
-    for mode in ("univariate", "multivariate"):
-        try:
-            r = pv.singling_out(train, test, synthetic, spec, mode, n_attacks, seed, key).first()
-            out.update({f"singling_out_{mode}_risk": r["risk"], f"singling_out_{mode}_ci_low": r["ci_low"],
-                        f"singling_out_{mode}_ci_high": r["ci_high"], f"singling_out_{mode}_reliable": r["reliable"]})
-        except Exception:  # noqa: BLE001 - one failing attack must not abort the evaluation
-            out.update({f"singling_out_{mode}_risk": None, f"singling_out_{mode}_reliable": False})
     qi = list(roles.quasi_identifiers)
-    half = len(qi) // 2
-    try:
-        r = pv.linkability(train, test, synthetic, spec, (qi[:half], qi[half:]), n_attacks, seed, key=key).first()
-        out.update({"linkability_risk": r["risk"], "linkability_ci_low": r["ci_low"],
-                    "linkability_ci_high": r["ci_high"], "linkability_reliable": r["reliable"]})
-    except Exception:  # noqa: BLE001
-        out.update({"linkability_risk": None, "linkability_reliable": False})
-    risks = []
+    halves = (qi[:len(qi) // 2], qi[len(qi) // 2:])
+    attacks = {f"singling_out_{mode}": partial(pv.singling_out, mode=mode, n_attacks=n_attacks, seed=seed, key=key) for mode in ("univariate", "multivariate")}
+    attacks["linkability"] = partial(pv.linkability, aux_cols=halves, n_attacks=n_attacks, seed=seed, key=key)
     for secret in roles.secrets:
-        aux = [c for c in qi if c != secret]
+        attacks[f"inference_{secret}"] = partial(pv.inference, aux=[c for c in qi if c != secret], secret=secret,
+                                                 regression=secret in roles.regression_secrets, n_attacks=n_attacks, seed=seed, key=key)
+    risks = []
+    for name, attack in attacks.items():
+        fields = ("risk", "reliable") if name.startswith("inference_") else ("risk", "ci_low", "ci_high", "reliable")
+        got, error = {"risk": None, "reliable": False}, None
         try:
-            r = pv.inference(train, test, synthetic, spec, aux, secret, secret in roles.regression_secrets,
-                             n_attacks, seed, key).first()
-            out[f"inference_{secret}_risk"] = r["risk"]
-            out[f"inference_{secret}_reliable"] = r["reliable"]
-            risks.append(r["risk"])
-        except Exception:  # noqa: BLE001
-            out[f"inference_{secret}_risk"] = None
-            out[f"inference_{secret}_reliable"] = False
+            got = attack(train, test, synthetic, spec).first().asDict()
+        except Exception as e:  # noqa: BLE001 - one failing attack must not end the evaluation; its reason is kept
+            error = f"{type(e).__name__}: {e}"[:300]
+            warnings.warn(f"attack {name} failed: {error}", stacklevel=2)
+        out.update({f"{name}_{f}": got.get(f) for f in fields} | {f"{name}_error": error})
+        if name.startswith("inference_"):
+            risks.append(got["risk"])
     vals = [v for v in risks if v is not None]
     out["inference_risk_mean"] = sum(vals) / len(vals) if vals else None
     out["inference_risk_max"] = max(vals) if vals else None
@@ -104,12 +99,17 @@ def evaluate_job(spark: SparkSession, train: DataFrame, test: DataFrame, synthet
     """One result row per generator; upserted into a versioned results table if a path is given."""
     from tabtwin.operators.models import tstr_trtr
 
-    train, test, synthetic = train.cache(), test.cache(), synthetic.cache()
-    row = {"generator": name}
-    row.update(fidelity_metrics(train, synthetic, spec, named_pairs, rules, seed, key))
-    row.update(tstr_trtr(train, test, synthetic, spec, roles.target, seed).first().asDict())
-    if not skip_privacy:
-        row.update(privacy_metrics(train, test, synthetic, spec, roles, seed, n_attacks, skip_attacks, key))
+    tables = [df.cache() for df in (train, test, synthetic)]
+    train, test, synthetic = tables
+    try:
+        row = {"generator": name}
+        row.update(fidelity_metrics(train, synthetic, spec, named_pairs, rules, seed, key))
+        row.update(tstr_trtr(train, test, synthetic, spec, roles.target, seed).first().asDict())
+        if not skip_privacy:
+            row.update(privacy_metrics(train, test, synthetic, spec, roles, seed, n_attacks, skip_attacks, key))
+    finally:
+        for df in tables:
+            df.unpersist()
     names = list(row)
     df = spark.createDataFrame([tuple(row[k] for k in names)], _schema_for(row))
     if results_path:
@@ -120,7 +120,7 @@ def evaluate_job(spark: SparkSession, train: DataFrame, test: DataFrame, synthet
 def _schema_for(row: dict) -> str:
     parts = []
     for k, v in row.items():
-        t = "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else \
+        t = "string" if isinstance(v, str) or k.endswith("_error") else "boolean" if isinstance(v, bool) else \
             "bigint" if isinstance(v, int) else "double"
         parts.append(f"`{k}` {t}")
     return ", ".join(parts)

@@ -96,14 +96,6 @@ STROKE_COLUMNS = ColumnSpec(
     binary=("hypertension", "heart_disease", "stroke"),
     categorical=("gender", "ever_married", "work_type", "Residence_type", "smoking_status"),
 )
-STROKE_ROLES = RoleSpec(
-    quasi_identifiers=("gender", "age", "ever_married", "work_type", "Residence_type"),
-    secrets=("hypertension", "heart_disease", "smoking_status", "avg_glucose_level", "bmi"),
-    regression_secrets=("avg_glucose_level", "bmi", "age"),
-    target="stroke",
-)
-STROKE_NAMED_PAIRS = (("age", "stroke"), ("hypertension", "stroke"), ("heart_disease", "stroke"),
-                      ("avg_glucose_level", "stroke"))
 STROKE_PLAUSIBILITY = (
     PlausibilityRule("age_out_of_range", "age < 0 OR age > 120", ("age",)),
     PlausibilityRule("bmi_out_of_range", "bmi <= 0 OR bmi > 100", ("bmi",)),
