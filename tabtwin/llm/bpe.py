@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tabtwin.llm.common import with_arrow_column
 
 #: Finished pre-tokens that a Python worker keeps; beyond it the cache starts anew (results do not depend on it).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _NO_RANK = 2**31 - 1
 
 
@@ -46,7 +46,7 @@ class PairTable:
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.bits = max(4, (8 * len(pairs)).bit_length())
+        self.bits = max(4, (4 * len(pairs)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.values = np.full(1 << self.bits, _NO_RANK, dtype=np.int32)
         keys, values = np.array(list(pairs), dtype=np.int64), np.array(list(pairs.values()), dtype=np.int32)
@@ -81,7 +81,6 @@ class Encoder:
         import regex
 
         self.ranks = read_ranks(path)
-        self.pieces = {rank: token for token, rank in self.ranks.items()}
         self.pairs = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.split = regex.compile(pattern).findall
@@ -131,8 +130,10 @@ class Encoder:
         done = self.finish(set().union(*cut))
         return [np.frombuffer(b"".join([done[word] for word in words]), dtype=np.int32) for words in cut]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.pieces[i] for i in ids.tolist()])
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id, once for each Python worker and rank file."""
+    return {rank: token for token, rank in read_ranks(path).items()}
 
 
 @lru_cache(maxsize=4)
@@ -158,15 +159,15 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     return with_arrow_column(docs, ids_col, "array<int>", text_col, keep_text, ids)
 
 
-def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``df`` with ``decoded``: the binary pieces of the ids, concatenated.
 
     Null or no ids give empty bytes; an id outside the rank table raises KeyError. A column
     that is already named ``decoded`` is replaced.
     """
     def decoded(rows: pa.Array) -> pa.Array:
-        decode = encoder(ranks_path, pattern).decode
-        return pa.array([b"" if not row.is_valid else decode(row.values.to_numpy(zero_copy_only=False)) for row in rows], pa.binary())
+        pieces = token_bytes(ranks_path)
+        return pa.array([b"".join([pieces[i] for i in row.as_py() or ()]) for row in rows], pa.binary())
 
     return with_arrow_column(df, bytes_col, "binary", ids_col, True, decoded)
 

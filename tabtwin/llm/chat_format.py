@@ -20,12 +20,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtwin.llm.bpe import encoder
+from tabtwin.llm.bpe import encoder, token_bytes
 from tabtwin.llm.common import written
 
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
@@ -182,7 +181,7 @@ def format_conversations(conversations: DataFrame, ranks_path: str, pattern: str
     return written(segments, "chat-segments"), paths.select("conv_id", "leaf", "path")
 
 
-def restore_conversations(segments: DataFrame, conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def restore_conversations(segments: DataFrame, conversations: DataFrame, ranks_path: str) -> DataFrame:
     """(leaf, turns, loss_text, formatted) of each distinct conversation, read from the segments of its path.
 
     ``turns`` are (role, text) as they were before escaping; ``loss_text`` is all text under
@@ -193,17 +192,21 @@ def restore_conversations(segments: DataFrame, conversations: DataFrame, ranks_p
              .groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "position", "ids", "loss_start", "loss_end"))).alias("parts")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = encoder(ranks_path, pattern).decode
+        pieces = token_bytes(ranks_path)
+
+        def decode(ids) -> str:
+            return b"".join([pieces[i] for i in ids]).decode()
+
         for batch in batches:
             rows = []
             for leaf, segments_of in zip(batch["leaf"], batch["parts"]):
                 turns, loss, formatted = [], [], []
                 for part in segments_of:
-                    ids = np.asarray(part["ids"])
-                    whole = decode(ids).decode()
+                    ids = list(part["ids"])
+                    whole = decode(ids)
                     role, _, text = whole.removeprefix(START).removesuffix(END).partition(MESSAGE)
                     turns.append({"role": unescape(role), "text": unescape(text)})
-                    loss.append(unescape(decode(ids[part["loss_start"]:part["loss_end"]]).decode()))
+                    loss.append(unescape(decode(ids[part["loss_start"]:part["loss_end"]])))
                     formatted.append(whole)
                 rows.append((leaf, turns, "".join(loss), "".join(formatted)))
             yield pd.DataFrame(rows, columns=["leaf", "turns", "loss_text", "formatted"])

@@ -48,7 +48,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema))
     segments, conversations = format_conversations(rows, *tokenizer())
     turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-    read = restore_conversations(segments, conversations, *tokenizer()).select(
+    read = restore_conversations(segments, conversations, tokenizer()[0]).select(
         "leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
@@ -76,7 +76,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to, as digests."""
     ranks, pattern = tokenizer()
     encoded = encode_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, keep_text=False)
-    both = decode_ids(encoded, ranks, pattern)
+    both = decode_ids(encoded, ranks)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

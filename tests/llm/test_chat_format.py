@@ -46,7 +46,7 @@ def check_layout(spark, rows, parts):
         segments, conversations = format_conversations(df, *tokenizer())
         nodes = {bytes(r.node): r for r in segments.collect()}
         paths = {r.conv_id: [bytes(x) for x in r.path] for r in conversations.collect()}
-        back = {bytes(r.leaf): r for r in restore_conversations(segments, conversations, *tokenizer()).collect()}
+        back = {bytes(r.leaf): r for r in restore_conversations(segments, conversations, tokenizer()[0]).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     want = turns_of(rows)
@@ -95,4 +95,4 @@ def test_edge_cases(spark):
     segments, conversations = format_conversations(df, *tokenizer())
     assert segments.count() == conversations.count() == 1
     segments, conversations = format_conversations(df.limit(0), *tokenizer())
-    assert segments.count() == conversations.count() == restore_conversations(segments, conversations, *tokenizer()).count() == 0
+    assert segments.count() == conversations.count() == restore_conversations(segments, conversations, tokenizer()[0]).count() == 0
