@@ -260,8 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = written(_sketched(rows, words), "sketches")
     members = sketches.select("doc", "content", "n")
     nodes = written(members.where("n > 0 AND doc IS NOT NULL").groupBy("content").agg(F.min("doc").alias("node")), "nodes")
-    bands = (sketches.join(nodes.withColumnRenamed("node", "doc"), ["content", "doc"])
-             .select(F.col("doc").alias("node"), "n", F.explode("bands").alias("key")).distinct())
+    bands = (sketches.join(nodes.withColumnRenamed("node", "doc"), ["content", "doc"]).dropDuplicates(["content", "doc"])
+             .select(F.col("doc").alias("node"), "n", F.explode("bands").alias("key")))
     shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-bands")
     buckets = written(bands.join(shared, "key"), "buckets")
     wanted = buckets.select("node").distinct().join(nodes, "node")
