@@ -121,8 +121,8 @@ class Encoder:
         """The cache, with ``words`` in it."""
         if len(self.done) + len(words) > CACHE_WORDS:
             self.done.clear()
-        if new := words - self.done.keys():
-            self.merge(list(new))
+        if new := [word for word in words if word not in self.done]:    # set - keys() would walk the whole cache
+            self.merge(new)
         return self.done
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,17 +65,17 @@ def _paths(conversations: DataFrame, ranks_path: str, pattern: str, roles: tuple
         coder = encoder(ranks_path, pattern)
         for batch in batches:
             for at in range(0, len(batch), 500):
-                rows = []
-                for conv, turns in zip(batch["conv_id"][at:at + 500], batch["turns"][at:at + 500]):
+                rows, some = [], batch["turns"][at:at + 500]
+                parts = iter(coder.encode([x for turns in some for turn in turns for x in (START + escape(turn["role"]) + MESSAGE, escape(turn["text"]), END)]))
+                for conv, turns in zip(batch["conv_id"][at:at + 500], some):
                     digest, path, segments = b"", [], []
                     for turn in turns:
-                        role, text = turn["role"], turn["text"]
-                        head, body, tail = coder.encode([START + escape(role) + MESSAGE, escape(text), END])
-                        raw = role.encode()
-                        digest = hashlib.blake2b(digest + len(raw).to_bytes(8, "little") + raw + text.encode(), digest_size=16).digest()
+                        head, body, tail = next(parts), next(parts), next(parts)
+                        raw = turn["role"].encode()
+                        digest = hashlib.blake2b(digest + len(raw).to_bytes(8, "little") + raw + turn["text"].encode(), digest_size=16).digest()
                         path.append(digest)
-                        loss = (len(head), len(head) + len(body)) if role in roles else (0, 0)
-                        segments.append({"ids": [*head.tolist(), *body.tolist(), *tail.tolist()], "loss_start": loss[0], "loss_end": loss[1]})
+                        loss = (len(head), len(head) + len(body)) if turn["role"] in roles else (0, 0)
+                        segments.append({"ids": np.concatenate([head, body, tail]), "loss_start": loss[0], "loss_end": loss[1]})
                     rows.append((conv, digest, path, segments))
                 yield pd.DataFrame(rows, columns=["conv_id", "leaf", "path", "segments"])
 
