@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points under which a node of a cover tree is not divided any more.
-LEAF = 24
+LEAF = 64
 
 
 class CoverTree:
@@ -79,50 +79,67 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
 
     Ties go to the smaller id.
     """
-    best_scores = [np.empty(0, dtype=np.int64)] * len(queries)
-    best_ids = [np.empty(0, dtype=ids.dtype)] * len(queries)
     if not len(queries) or not len(points):
         return []
+    best_scores = [np.empty(0, dtype=np.int64)] * len(queries)
+    best_ids = [np.empty(0, dtype=ids.dtype)] * len(queries)
+    worst = np.full(len(queries), -np.inf)          # k-th best score so far
     q_tree, p_tree = CoverTree(queries.astype(np.float64)), CoverTree(points.astype(np.float64))
     q_norm, p_norm = (np.sqrt((t.points ** 2).sum(axis=1)) for t in (q_tree, p_tree))
-    worst = np.full(len(queries), -np.inf)          # k-th best so far
-    floors = np.full(len(q_tree.centres), -np.inf)  # least of those under a query node
-
-    def bound(a: int, b: int) -> float:
-        qc, pc, qr, pr = q_tree.centres[a], p_tree.centres[b], q_tree.radii[a], p_tree.radii[b]
-        value = q_tree.points[qc] @ p_tree.points[pc] + q_norm[qc] * pr + p_norm[pc] * qr + qr * pr
-        return value + 1e-9 * (1 + (q_norm[qc] + qr) * (p_norm[pc] + pr))   # rounding of the floats
-
-    def compare(a: int, b: int) -> None:
-        rows = p_tree.rows[b]
-        for q in q_tree.rows[a]:
-            scores, near = points[rows] @ queries[q], ids[rows]
-            other = near != query_ids[q]
-            s, i = np.concatenate([best_scores[q], scores[other]]), np.concatenate([best_ids[q], near[other]])
-            top = np.lexsort((i, -s))[:k]
-            best_scores[q], best_ids[q] = s[top], i[top]
-            if len(top) == k:
-                worst[q] = s[top[-1]]
-        floors[a] = worst[q_tree.rows[a]].min()
-
-    stack = [(bound(0, 0), 0, 0)]
+    p_centres, p_radii = np.array(p_tree.centres), np.array(p_tree.radii)
+    # Sums below 2**53 are exact in floats, whose products are far faster.
+    exact = len(queries[0]) * float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) < 2.0 ** 53
+    left, right = (q_tree.points, p_tree.points) if exact else (queries, points)
+
+    def reached(a: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that may hold a point for a query under ``a``, with their bounds."""
+        qc, qr = q_tree.centres[a], q_tree.radii[a]
+        centres, radii = p_centres[nodes], p_radii[nodes]
+        limits = p_tree.points[centres] @ q_tree.points[qc] + q_norm[qc] * radii + p_norm[centres] * qr + qr * radii
+        limits += 1e-9 * (1 + (q_norm[qc] + qr) * (p_norm[centres] + radii))    # rounding of the floats
+        near = limits >= worst[q_tree.rows[a]].min()                            # an equal bound may still hold a tie
+        return nodes[near], limits[near]
+
+    def compare(a: int, rows: np.ndarray) -> None:
+        for at in range(0, len(rows), 4096):
+            some = rows[at:at + 4096]
+            near, scores = ids[some], left[q_tree.rows[a]] @ right[some].T
+            for q, line in zip(q_tree.rows[a], scores):
+                good = (line >= worst[q]) & (near != query_ids[q])
+                if good.any():
+                    s, i = np.concatenate([best_scores[q], line[good].astype(np.int64)]), np.concatenate([best_ids[q], near[good]])
+                    if len(s) > 4 * k:                  # only what can be among the k best, ties included
+                        high = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        s, i = s[high], i[high]
+                    top = np.lexsort((i, -s))[:k]
+                    best_scores[q], best_ids[q] = s[top], i[top]
+                    if len(top) == k:
+                        worst[q] = s[top[-1]]
+
+    def children(nodes: np.ndarray) -> np.ndarray:
+        return np.array([c for node in nodes for c in p_tree.children[node]], dtype=np.int64)
+
+    def joined(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+
+    inner = np.array([bool(c) for c in p_tree.children])
+    stack = [(0, np.zeros(1, dtype=np.int64))]
     while stack:
-        limit, a, b = stack.pop()
-        if limit < floors[a]:                       # a bound that equals the k-th score may still hold a tie
-            continue
-        below_a, below_b = q_tree.children[a], p_tree.children[b]
-        if not below_a and not below_b:
-            compare(a, b)
+        a, nodes = stack.pop()
+        nodes, limits = reached(a, nodes)
+        while (large := inner[nodes] & (p_radii[nodes] >= q_tree.radii[a])).any():      # divide the larger side first
+            nodes, limits = joined((nodes[~large], limits[~large]), reached(a, children(nodes[large])))
+        if q_tree.children[a]:
+            stack += [(child, nodes) for child in q_tree.children[a]]
             continue
-        if below_b and (not below_a or p_tree.radii[b] >= q_tree.radii[a]):
-            pairs = [(bound(a, child), a, child) for child in below_b]
-        else:
-            for child in below_a:
-                floors[child] = max(floors[child], floors[a])
-            pairs = [(bound(child, b), child, b) for child in below_a]
-        stack += sorted(pairs)                      # the highest bound comes off first
-        if below_a:
-            floors[a] = max(floors[a], min(floors[child] for child in below_a))
+        while len(nodes):                           # a leaf of queries: the highest bounds first
+            order = np.argsort(-limits)
+            order = order[limits[order] >= worst[q_tree.rows[a]].min()]
+            some, nodes, limits = nodes[order[:LEAF]], nodes[order[LEAF:]], limits[order[LEAF:]]
+            if len(rows := [p_tree.rows[node] for node in some[~inner[some]]]):
+                compare(a, np.concatenate(rows))
+            if len(below := children(some[inner[some]])):
+                nodes, limits = joined((nodes, limits), reached(a, below))
     return [(q, best_ids[q], best_scores[q]) for q in range(len(queries)) if len(best_ids[q])]
 
 
@@ -134,7 +151,7 @@ def quantised(vector: Column, scale: int) -> Column:
 
 
 def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding",
-                 block_rows: int = 20_000, group_rows: int = 2_000) -> DataFrame:
+                 block_rows: int = 2_000, group_rows: int = 2_000) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k best rows of ``vectors`` other than itself.
 
     The score is the integer inner product of the floors of ``scale`` times the components; it
