@@ -28,6 +28,8 @@ from tabtwin.llm.common import with_arrow_column
 #: Finished pre-tokens that a Python worker keeps; beyond it the cache starts anew (results do not depend on it).
 CACHE_WORDS = 200_000
 _NO_RANK = 2**31 - 1
+#: Pre-tokens of one length that are folded one by one if they are fewer.
+FEW = 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,9 +102,28 @@ class Encoder:
                 names.append(word)
                 raws.append(raw)
         for length, (names, raws) in by_length.items():
+            if len(names) < FEW:
+                self.done.update((name, self._fold_one(raw)) for name, raw in zip(names, raws))
+                continue
             for at in range(0, len(names), step := max(1, 2_000_000 // length)):
                 self._fold(names[at:at + step], np.frombuffer(b"".join(raws[at:at + step]), dtype=np.uint8).reshape(-1, length))
 
+    def _fold_one(self, raw: bytes) -> bytes:
+        """The same fold for a single pre-token, without the arrays' overhead."""
+        rank = self.ranks.get
+        parts = [raw[i:i + 1] for i in range(len(raw))]
+        pairs = [rank(raw[i:i + 2], _NO_RANK) for i in range(len(raw) - 1)]
+        while pairs and (best := min(pairs)) != _NO_RANK:
+            at = pairs.index(best)
+            joined = parts[at] + parts[at + 1]
+            parts[at:at + 2] = [joined]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + joined, _NO_RANK)
+            if at < len(pairs):
+                pairs[at] = rank(joined + parts[at + 1], _NO_RANK)
+        return np.array([self.ranks[part] for part in parts], dtype=np.int32).tobytes()
+
     def _fold(self, names: list[str], raw: np.ndarray) -> None:
         ids, rows = self.byte_ids[raw], np.arange(len(raw))
         while len(rows):

@@ -81,10 +81,15 @@ class CountTree:
 
 def _counted(coder: Encoder, words: list[str]) -> np.ndarray:
     """Leaves (chars, tokens) of consecutive pre-tokens."""
+    return _leaves(coder.finish(set(words)), words)
+
+
+def _leaves(done: dict[str, bytes], words: list[str]) -> np.ndarray:
     if not words:
         return np.empty((0, 2), dtype=np.int64)
-    done = coder.finish(set(words))
-    sizes = np.array([(len(word), len(done[word]) // 4) for word in words], dtype=np.int64)
+    sizes = np.empty((len(words), 2), dtype=np.int64)
+    sizes[:, 0] = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    sizes[:, 1] = np.fromiter(map(len, map(done.__getitem__, words)), dtype=np.int64, count=len(words)) // 4
     return np.add.reduceat(sizes, np.arange(0, len(words), LEAF), axis=0)
 
 
@@ -127,7 +132,9 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     """
     def trees(texts: pa.Array) -> pa.Array:
         coder = encoder(ranks_path, pattern)
-        return _packed([_counted(coder, coder.split(text or "")) for text in texts.to_pylist()])
+        cut = [coder.split(text or "") for text in texts.to_pylist()]
+        done = coder.finish(set().union(*cut))      # all texts' pre-tokens at once
+        return _packed([_leaves(done, words) for words in cut])
 
     return with_arrow_column(docs, tree_col, TREE, text_col, True, trees)
 
