@@ -1,40 +1,72 @@
 """Document scores by masked pseudo-likelihood under a bidirectional window network.
 
-Words become tokens of a fixed number: the most frequent words of the whole corpus, and for
-every other word a hash of its last two characters. A network predicts each token from the two
-before it and the two after it: the sum of position-wise embeddings through tanh, then a
-softmax over classes of tokens and one over the tokens of the class. A document's score is the
-sum of the log-probabilities of its tokens, each given both sides.
+Words become tokens: the most frequent words of the whole corpus, and for every other word a
+hash of its ending. A network predicts each token from the two before it and the two after it:
+the sum of position-wise embeddings through tanh, then a softmax over classes of tokens and one
+over the tokens of the class. ``log_prob`` is the sum of the log-probabilities of a document's
+tokens, each given both sides; ``word_log_prob`` adds, for each word that shares its token with
+others, the logarithm of its share of the token, from the counts of all words of the corpus.
+
+What is learned grows with the corpus: every distinct word has its count in a distributed
+table, and frequent words, endings, classes and embeddings follow the number of distinct words
+(``growth``).
 
 Training covers all documents: words are counted over the corpus, then every task descends
 once over all windows of its documents from the same start, and the tasks' parameters are
 averaged, weighted by their windows. Scoring is one more pass.
 
-Scale: counts and parameter sums are combined in two levels, so no task reads more than a
-share of them; what reaches the driver is the vocabulary and one set of parameters, of fixed
-size. Documents are not shuffled.
+Scale: counts and parameters are combined in two levels, so no task reads more than a share of
+them; what reaches the driver is the frequent words and one set of parameters, which grow with
+the square root of the distinct words. Documents are not shuffled; their rarer words are, to
+meet their counts.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabtwin.llm.common import slices, with_arrow_column
+from tabtwin.llm.common import _quoted, slices, unpacked, with_arrow_column, written
 
-#: Frequent words, suffix buckets, classes of tokens, width of the embeddings, windows in a training step.
+#: Least numbers of frequent words, suffix buckets and classes of tokens; width of the embeddings, windows in a training step.
 WORDS, SUFFIXES, CLASSES, WIDTH, STEP = 512, 512, 32, 8, 8192
 TOKENS = WORDS + SUFFIXES
 IN_CLASS = TOKENS // CLASSES
 OFFSETS = (-2, -1, 1, 2)
-_SHAPES = {"context": (len(OFFSETS), TOKENS + 1, WIDTH), "classes": (CLASSES, WIDTH), "class_bias": (CLASSES,), "words": (CLASSES, IN_CLASS, WIDTH), "word_bias": (CLASSES, IN_CLASS)}
-_SIZES = {name: int(np.prod(shape)) for name, shape in _SHAPES.items()}
+#: Distinct words at which the least numbers are doubled for the first time.
+GROWS_FROM = 131_072
+#: Occurrences that all words outside the corpus have together in each token.
+UNSEEN = 0.5
+
+
+def growth(distinct: int) -> int:
+    """How often the frequent words and the suffix buckets are doubled: at ``GROWS_FROM`` distinct words and at each fourfold of that."""
+    doubled = 0
+    while distinct >= GROWS_FROM * 4 ** doubled:
+        doubled += 1
+    return doubled
+
+
+def _shapes(tokens: int) -> dict[str, tuple[int, ...]]:
+    classes = CLASSES
+    while classes * classes < tokens:
+        classes *= 2
+    inside = tokens // classes
+    return {"context": (len(OFFSETS), tokens + 1, WIDTH), "classes": (classes, WIDTH), "class_bias": (classes,), "words": (classes, inside, WIDTH), "word_bias": (classes, inside)}
+
+
+def _sizes(shapes: dict[str, tuple[int, ...]]) -> dict[str, int]:
+    return {name: int(np.prod(shape)) for name, shape in shapes.items()}
+
+
+_SHAPES = _shapes(TOKENS)
 #: Parameters in one row on their way to the average.
 BLOCK = 4096
 
@@ -44,36 +76,50 @@ class Tokens(dict):
 
     def __init__(self, words: list[str]) -> None:
         super().__init__((word, i) for i, word in enumerate(words))
-        self.words = words
+        self.words, self.frequent = words, max(WORDS, len(words))
+        self.ending = _ending(self.frequent)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 300_000 + self.frequent:
             self.clear()
             self.update((w, i) for i, w in enumerate(self.words))
-        token = self[word] = WORDS + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % SUFFIXES
+        token = self[word] = self.frequent + zlib.crc32(word[-self.ending:].encode("utf-8", "surrogatepass")) % self.frequent
         return token
 
     def of(self, text: str) -> np.ndarray:
-        words = text.split()
+        return self.of_words(text.split())
+
+    def of_words(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
+def _ending(frequent: int) -> int:
+    """Characters of a rare word's ending that its token is made of: two, and one more for each four times as many frequent words, begun."""
+    return 2 + (frequent // WORDS).bit_length() // 2
+
+
 class WindowNet:
-    """The network's parameters by name, as float32 arrays of ``_SHAPES``."""
+    """The network's parameters by name, as float32 arrays of ``_shapes`` of its tokens."""
 
     def __init__(self, flat: np.ndarray) -> None:
-        self.flat, at = flat.astype(np.float32), 0
+        self.flat, at, self.tokens = flat.astype(np.float32), 0, TOKENS
+        while sum(_sizes(_shapes(self.tokens)).values()) < len(flat):
+            self.tokens *= 2
         self.p: dict[str, np.ndarray] = {}
-        for name, shape in _SHAPES.items():
-            self.p[name] = self.flat[at:at + _SIZES[name]].reshape(shape)
-            at += _SIZES[name]
+        for name, shape in _shapes(self.tokens).items():
+            size = int(np.prod(shape))
+            self.p[name] = self.flat[at:at + size].reshape(shape)
+            at += size
+
+    def zeros(self) -> dict[str, np.ndarray]:
+        return {name: np.zeros_like(values) for name, values in self.p.items()}
 
     @staticmethod
     def start(shares: np.ndarray, seed: int = 5) -> "WindowNet":
         """Small random embeddings; biases that give each token its share of the corpus."""
         rng = np.random.default_rng(seed)
-        net = WindowNet(rng.normal(0, 0.1, sum(_SIZES.values())))
-        by_class = shares.reshape(CLASSES, IN_CLASS)
+        net = WindowNet(rng.normal(0, 0.1, sum(_sizes(_shapes(len(shares))).values())))
+        by_class = shares.reshape(net.p["word_bias"].shape)
         net.p["class_bias"][:] = np.log(by_class.sum(axis=1))
         net.p["word_bias"][:] = np.log(by_class)
         return net
@@ -84,32 +130,34 @@ class WindowNet:
     def log_probabilities(self, targets: np.ndarray, contexts: list[np.ndarray], descend: dict[str, np.ndarray] | None = None, rate: float = 0.1) -> np.ndarray:
         """Of each target given its context; with ``descend`` (sums of squared gradients), one step of descent is made as well."""
         p, n = self.p, len(targets)
+        classes, in_class = p["word_bias"].shape
         order = np.argsort(targets, kind="stable")  # tokens of one class lie together
-        targets, contexts = targets[order], [c[order] for c in contexts]
-        h, owner = self.hidden(contexts), targets // IN_CLASS
-        edges = np.searchsorted(owner, np.arange(CLASSES + 1))
-        top = _softmax(h @ p["classes"].T + p["class_bias"])
+        targets, contexts = targets[order], [c[order] % (self.tokens + 1) for c in contexts]    # padding is the last one
+        h, owner = self.hidden(contexts), targets // in_class
+        edges = np.searchsorted(owner, np.arange(classes + 1))
         at = np.arange(n)
-        out = np.log(top[at, owner])
+        top, total, out = _softmax(h, p["classes"], p["class_bias"], at, owner)
         if descend is not None:
-            top[at, owner] -= 1
-            grads = {"classes": top.T @ h, "class_bias": top.sum(axis=0), "words": np.zeros(_SHAPES["words"], np.float32), "word_bias": np.zeros(_SHAPES["word_bias"], np.float32)}
-            back = top @ p["classes"]
-        for c in range(CLASSES):
+            top[at, owner] -= total
+            scale = 1 / total
+            grads = {"classes": top.T @ (h * scale[:, None]), "class_bias": top.T @ scale, "words": np.zeros_like(p["words"]), "word_bias": np.zeros_like(p["word_bias"])}
+            back = (top @ p["classes"]) * scale[:, None]
+        for c in range(classes):
             a, b = edges[c], edges[c + 1]
             if a == b:
                 continue
-            low = _softmax(h[a:b] @ p["words"][c].T + p["word_bias"][c])
-            rows, inside = at[:b - a], targets[a:b] - c * IN_CLASS
-            out[a:b] += np.log(low[rows, inside])
+            rows, inside = at[:b - a], targets[a:b] - c * in_class
+            low, total, logs = _softmax(h[a:b], p["words"][c], p["word_bias"][c], rows, inside)
+            out[a:b] += logs
             if descend is not None:
-                low[rows, inside] -= 1
-                grads["words"][c], grads["word_bias"][c] = low.T @ h[a:b], low.sum(axis=0)
-                back[a:b] += low @ p["words"][c]
+                low[rows, inside] -= total
+                scale = 1 / total
+                grads["words"][c], grads["word_bias"][c] = low.T @ (h[a:b] * scale[:, None]), low.T @ scale
+                back[a:b] += (low @ p["words"][c]) * scale[:, None]
         if descend is not None:
             back *= 1 - h * h
             place, flat = np.arange(WIDTH), back.astype(np.float64).ravel()
-            grads["context"] = np.stack([np.bincount((ids[:, None] * WIDTH + place).ravel(), flat, minlength=(TOKENS + 1) * WIDTH).reshape(TOKENS + 1, WIDTH) for ids in contexts]).astype(np.float32)
+            grads["context"] = np.stack([np.bincount((ids[:, None] * WIDTH + place).ravel(), flat, minlength=(self.tokens + 1) * WIDTH).reshape(-1, WIDTH) for ids in contexts]).astype(np.float32)
             for name, grad in grads.items():
                 descend[name] += grad * grad
                 p[name] -= rate * grad / (np.sqrt(descend[name]) + 1e-6)
@@ -118,16 +166,22 @@ class WindowNet:
         return result
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(powers, their sum by row, log-probability of the chosen ones); the powers are left undivided."""
+    z = h @ weights.T
+    z += bias
+    reach = np.abs(weights).sum(axis=1)             # no entry of ``h`` is beyond 1
+    most = (bias + reach).max()
+    z -= most if most - (bias - reach).min() < 60 else z.max(axis=1, keepdims=True)
+    out = z[rows, chosen]
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return np.maximum(z, 1e-30)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return z, total, out - np.log(total)
 
 
 def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(targets, contexts by offset) of all tokens, document after document; what lies outside a document is a padding token."""
-    pad, gap = np.int32(TOKENS), max(OFFSETS)
+    pad, gap = np.int32(-1), max(OFFSETS)
     parts = [np.full(gap, pad, dtype=np.int32)]
     for tokens in documents:
         parts += [tokens, parts[0]]
@@ -141,78 +195,119 @@ def _steps(targets: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np
         yield targets[a:a + STEP], [c[a:a + STEP] for c in contexts]
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """(the most frequent words, the smoothed share of each token), counted over all documents; ties go to the lesser word."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) for every distinct word of all documents, as a written table."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?U)[\s\x1c-\x1f]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # One pass over the distinct words: the frequent ones, and the sums of all by suffix.
-    suffixes = counts.groupBy(F.substring("word", -2, 2).alias("suffix")).agg(F.sum("n").alias("n"))
-    frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    totals = np.ones(TOKENS)
-    bucket = F.crc32(F.encode("suffix", "utf-8")) % SUFFIXES
-    for row in suffixes.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
-        totals[WORDS + row.bucket] += row.n
+    return written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
+    """(the most frequent words, the smoothed share of each token), counted over all documents; ties go to the lesser word."""
+    counts = word_counts(docs, text_col) if counts is None else counts
+    size = WORDS << growth(counts.count())
+    frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    ending = _ending(size)
+    totals = np.ones(2 * size)
+    for row in counts.groupBy(_bucket(ending, size).alias("bucket")).agg(F.sum("n").alias("n")).collect():   # at most ``size`` rows
+        totals[size + row.bucket] += row.n
     for i, (word, n) in enumerate(frequent):
         totals[i] += n
-        totals[WORDS + zlib.crc32(word[-2:].encode()) % SUFFIXES] -= n
+        totals[size + zlib.crc32(word[-ending:].encode()) % size] -= n
     return [word for word, _ in frequent], totals / totals.sum()
 
 
-def train_network(docs: DataFrame, text_col: str = "text") -> tuple[list[str], WindowNet]:
+def _bucket(ending: int, size: int) -> Column:
+    return F.crc32(F.encode(F.substring("word", -ending, ending), "utf-8")) % size
+
+
+def train_network(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> tuple[list[str], WindowNet]:
     """The vocabulary and the averaged network, from all windows of all documents."""
-    words, shares = vocabulary(docs, text_col)
+    words, shares = vocabulary(docs, text_col, counts)
     start = WindowNet.start(shares)
-    shared = docs.sparkSession.sparkContext.broadcast((words, start.flat))      # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((words, start.flat))      # grows with the root of the distinct words
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words, flat = shared.value
         tokens, net, seen = Tokens(words), WindowNet(flat.copy()), 0
-        squares = {name: np.zeros(shape, np.float32) for name, shape in _SHAPES.items()}
+        squares = net.zeros()
         for batch in batches:
             for part in slices(batch, "text"):
                 for targets, contexts in _steps(*windows([tokens.of(text or "") for text in part.column("text").to_pylist()])):
                     net.log_probabilities(targets, contexts, squares)
                     seen += len(targets)
         if seen:
-            sums = net.flat.astype(np.float64) * seen
-            blocks = range(0, len(sums), BLOCK)
+            blocks = range(0, len(net.flat), BLOCK)
             part = TaskContext.get().partitionId() % 64
             yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK for b in blocks], pa.int32()), pa.array([part] * len(blocks), pa.int32()),
-                                              pa.array([float(seen)] * len(blocks)), pa.array([sums[b:b + BLOCK] for b in blocks], pa.list_(pa.float64()))],
-                                             names=["block", "part", "windows", "sums"])
+                                              pa.array([float(seen)] * len(blocks)), pa.array([net.flat[b:b + BLOCK] for b in blocks], pa.list_(pa.float32()))],
+                                             names=["block", "part", "windows", "mean"])
 
-    kind = "block int, part int, windows double, sums array<double>"
+    kind = "block int, part int, windows double, mean array<float>"
     made = docs.select(F.col(text_col).alias("text")).mapInArrow(descend, kind)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [0], "windows": [rows["windows"].sum()], "sums": [np.sum(np.stack(rows["sums"]), axis=0)]})
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [0], "windows": [rows["windows"].sum()], "mean": [np.average(np.stack(rows["mean"]), axis=0, weights=rows["windows"]).astype(np.float32)]})
 
     halves = made.groupBy("block", "part").applyInPandas(add, kind)
     blocks = sorted(halves.groupBy("block").applyInPandas(add, kind).collect())
     if not blocks:
         return words, start
-    return words, WindowNet(np.concatenate([np.array(b.sums) / b.windows for b in blocks]))
+    return words, WindowNet(np.concatenate([np.array(b["mean"]) for b in blocks]))
 
 
-def score_documents(docs: DataFrame, words: list[str], net: WindowNet, text_col: str = "text", score_col: str = "lm", keep_text: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, words: list[str], net: WindowNet, text_col: str = "text", score_col: str = "lm", keep_text: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``lm``: (tokens, log_prob), the number of tokens of the whole text and the sum of their log-probabilities.
 
+    With ``counts`` (``word_counts`` of the corpus) also word_log_prob, the sum of the words'
+    own log-probabilities: a word that is not among the frequent ones has its share of its token's
+    occurrences, and one that the corpus lacks has the share of ``UNSEEN`` occurrences.
+
     Null and empty texts and texts of white space have no tokens and a sum of 0. Repeated rows
     get equal scores; a column that is already named ``lm`` is replaced, other columns stay; an
     empty table stays empty. Training takes the same texts; over an empty table it returns the
     network it starts from.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, net.flat))        # of fixed size
+    size = max(WORDS, len(words))
+    totals = np.full(size, UNSEEN)
+    if counts is not None:
+        rare = counts.join(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"), "word", "left_anti")
+        for row in rare.groupBy(_bucket(_ending(size), size).alias("bucket")).agg(F.sum("n").alias("n")).collect():     # at most ``size`` rows
+            totals[row.bucket] += row.n
+    shared = docs.sparkSession.sparkContext.broadcast((words, net.flat, np.log(totals)))    # grows with the root of the distinct words
+    by_word = counts is not None
 
     def run(texts: pa.Array) -> pa.Array:
-        words, flat = shared.value
+        words, flat, logs = shared.value
         tokens, net = Tokens(words), WindowNet(flat)
-        documents = [tokens.of(text or "") for text in texts.to_pylist()]
+        split = [(text or "").split() for text in texts.to_pylist()]
+        documents = [tokens.of_words(d) for d in split]
         parts = [net.log_probabilities(*step) for step in _steps(*windows(documents))]
         ends = np.cumsum([0, *map(len, documents)])
-        sums = np.concatenate([[0.0], np.cumsum(np.concatenate(parts))]) if parts else np.zeros(1)
-        return pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.float64())], names=["tokens", "log_prob"])
 
-    return with_arrow_column(docs, score_col, "struct<tokens:long,log_prob:double>", text_col, keep_text, run)
+        def sums(values: list[np.ndarray]) -> pa.Array:
+            running = np.concatenate([[0.0], np.cumsum(np.concatenate(values))]) if values else np.zeros(1)
+            return pa.array(running[ends[1:]] - running[ends[:-1]], pa.float64())
+
+        columns = {"tokens": pa.array(np.diff(ends), pa.int64()), "log_prob": sums(parts)}
+        if by_word:
+            line = np.concatenate([np.zeros(0, np.int32), *documents])
+            rare = line >= tokens.frequent
+            columns["token_logs"] = sums([np.where(rare, logs[line - tokens.frequent * rare], 0.0)])
+            offsets = np.concatenate([[0], np.cumsum(rare)])[ends]
+            chosen = pa.array(list(compress(chain.from_iterable(split), rare.tolist())), pa.string())
+            columns["rare"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), chosen)
+        return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+
+    if not by_word:
+        return with_arrow_column(docs, score_col, "struct<tokens:long,log_prob:double>", text_col, keep_text, run)
+    made = with_arrow_column(docs, score_col, "struct<tokens:long,log_prob:double,token_logs:double,rare:array<string>>", text_col, keep_text, run)
+    kept = [c for c in made.columns if c != score_col]
+    made = written(made.select(F.struct(F.lit(0).alias("_"), *[F.col(_quoted(c)) for c in kept]).alias("row"), F.col(_quoted(score_col)).alias("lm"),
+                               F.monotonically_increasing_id().alias("id")), "scored")
+    # Each rare word meets its count; words without one are those the corpus lacks.
+    found = made.select("id", F.explode("lm.rare").alias("word")).join(counts, "word").groupBy("id").agg(F.sum(F.ln("n")).alias("logs"), F.count(F.lit(1)).alias("found"))
+    both = made.select("id", "row", "lm.tokens", "lm.log_prob", "lm.token_logs", F.size("lm.rare").alias("n_rare")).join(found, "id", "left")
+    inside = F.coalesce("logs", F.lit(0.0)) + (F.col("n_rare") - F.coalesce("found", F.lit(0))) * float(np.log(UNSEEN)) - F.col("token_logs")
+    return unpacked(both, "row", kept, {score_col: F.struct("tokens", "log_prob", (F.col("log_prob") + inside).alias("word_log_prob"))})

@@ -13,7 +13,7 @@ from tabtwin.llm.chat_format import format_conversations, restore_conversations
 from tabtwin.llm.common import read_table
 from tabtwin.llm.decontaminate import match_benchmark
 from tabtwin.llm.line_dedup import drop_shared_lines
-from tabtwin.llm.lm_score import score_documents, train_network
+from tabtwin.llm.lm_score import score_documents, train_network, word_counts
 from tabtwin.llm.near_dup import near_duplicates
 from tabtwin.llm.quality import fit_quality, score_quality
 from tabtwin.llm.token_counts import apply_edits, count_tokens, n_tokens
@@ -94,11 +94,12 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed log-probabilities of the tokens of all documents under a network trained on all of them."""
+    """Summed log-probabilities of the tokens and of the words of all documents under a network and word counts of all of them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_documents(docs, *train_network(docs), keep_text=False)
-    return scored.select("doc_id", F.col("lm.tokens").alias("n_tokens"), F.col("lm.log_prob").alias("log_prob"),
-                         F.expr("try_divide(lm.log_prob, lm.tokens)").alias("mean_log_prob"))
+    counts = word_counts(docs)
+    scored = score_documents(docs, *train_network(docs, counts=counts), keep_text=False, counts=counts)
+    return scored.select("doc_id", F.col("lm.tokens").alias("n_tokens"), F.col("lm.log_prob").alias("log_prob"), F.col("lm.word_log_prob").alias("word_log_prob"),
+                         F.expr("try_divide(lm.word_log_prob, lm.tokens)").alias("mean_log_prob"))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
