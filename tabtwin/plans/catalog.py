@@ -793,13 +793,13 @@ def q_compat(spark, sf_dir):
 
 @register("evaluate_job")
 def q_evaluate(spark, sf_dir):
-    """Fidelity + utility + DCR for the L2 generator's table (attacks skipped, as the CLI flag)."""
+    """Fidelity + utility + privacy with all attacks for the L2 generator's table."""
     from tabtwin.operators.generate_l2 import generate_l2
     from tabtwin.plans.jobs import evaluate_job
     train, test = fx.train_test(spark, sf_dir)
     synth = generate_l2(train, fx.COHORT_COLUMNS, fx.COHORT_SEED, key="rid")
     row = evaluate_job(spark, train, test, synth, "low_fidelity", fx.COHORT_COLUMNS, fx.COHORT_ROLES,
-                       fx.COHORT_NAMED_PAIRS, fx.COHORT_PLAUSIBILITY, fx.COHORT_SEED, skip_attacks=True,
+                       fx.COHORT_NAMED_PAIRS, fx.COHORT_PLAUSIBILITY, fx.COHORT_SEED,
                        results_path=_scratch(spark, "results"))
     return rounded(row)
 

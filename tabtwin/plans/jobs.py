@@ -71,9 +71,10 @@ def privacy_metrics(train, test, synthetic, spec: ColumnSpec, roles: RoleSpec, s
     halves = (qi[:len(qi) // 2], qi[len(qi) // 2:])
     attacks = {f"singling_out_{mode}": partial(pv.singling_out, mode=mode, n_attacks=n_attacks, seed=seed, key=key) for mode in ("univariate", "multivariate")}
     attacks["linkability"] = partial(pv.linkability, aux_cols=halves, n_attacks=n_attacks, seed=seed, key=key)
+    found: dict = {}                                 # one neighbour search for each distinct aux
     for secret in roles.secrets:
         attacks[f"inference_{secret}"] = partial(pv.inference, aux=[c for c in qi if c != secret], secret=secret,
-                                                 regression=secret in roles.regression_secrets, n_attacks=n_attacks, seed=seed, key=key)
+                                                 regression=secret in roles.regression_secrets, n_attacks=n_attacks, seed=seed, key=key, found=found)
     risks = []
     for name, attack in attacks.items():
         fields = ("risk", "reliable") if name.startswith("inference_") else ("risk", "ci_low", "ci_high", "reliable")
