@@ -663,16 +663,15 @@ def q_inference_summary(spark, sf_dir):
 
 @register("release_gate")
 def q_release_gate(spark, sf_dir):
-    """Risks of the synthetic table vs the same risks when the holdout is released instead."""
-    from tabtwin.operators.privacy import linkability, release_gate
-    train, test, synth = _privacy_inputs(spark, sf_dir)
-    spec = fx.COHORT_COLUMNS
+    """Every risk of the synthetic table vs the same risks when the holdout is released instead."""
+    from tabtwin.operators.privacy import release_gate, risk_metrics
+    from tabtwin.session import cut_lineage
+    train, test, synth = (cut_lineage(df) for df in _privacy_inputs(spark, sf_dir))     # each is read by every attack
     half = test.withColumn("_h", F.col("rid") % 2)
     hold_a, hold_b = half.filter("_h = 0").drop("_h"), half.filter("_h = 1").drop("_h")
 
     def risks(candidate, control):
-        lk = linkability(train, control, candidate, spec, _halves(), 200, fx.COHORT_SEED)
-        return lk.select(F.lit("linkability_risk").alias("metric"), F.col("risk").alias("value"))
+        return risk_metrics(train, control, candidate, fx.COHORT_COLUMNS, fx.COHORT_ROLES, 200, fx.COHORT_SEED)
 
     return rounded(release_gate(risks(synth, test), risks(hold_a, hold_b)))
 
