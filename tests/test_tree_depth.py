@@ -1,0 +1,9 @@
+import inspect
+
+from tabtwin.operators import generate_cart, models
+
+
+def test_trees_go_to_sparks_greatest_depth(spark):
+    assert models._forest(2, 0).getMaxDepth() == 30
+    for job in (models.detection_auc, models.tstr_trtr, generate_cart.generate_cart):
+        assert inspect.signature(job).parameters["max_depth"].default == 30
