@@ -12,6 +12,7 @@ from tabtwin.llm.bpe import decode_ids, encode_texts
 from tabtwin.llm.chat_format import format_conversations, restore_conversations
 from tabtwin.llm.common import read_table
 from tabtwin.llm.decontaminate import match_benchmark
+from tabtwin.llm.license_scan import scan_licenses, scan_sql
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.lm_score import score_documents, train_network, word_counts
 from tabtwin.llm.near_dup import near_duplicates
@@ -120,6 +121,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("text", 256).alias("edited_sha256"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and passages in all documents, by diagonals of agreeing runs of words."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs, keep_text=False).drop("license_spans")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -149,8 +156,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_topk_search": op9_topk_search,
     "op10_token_counts": op10_token_counts,
+    "op11_license_scan": op11_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": LINE_DEDUP_SQL,
+    "op11_license_scan": scan_sql(),
 }
