@@ -156,9 +156,9 @@ g AS (SELECT doc_id, i - 1 AS pos, array_to_string(words[i:i + {K - 1}], ' ') AS
       FROM (SELECT *, unnest(range(1, len(words) - {K - 2})) AS i FROM d)),
 hits AS (SELECT g.doc_id, template, label, exact, length, pos - tpos AS diagonal, tpos FROM g JOIN tg USING (gram)),
 held AS (SELECT DISTINCT doc_id, template, label, exact, length, diagonal, tpos + j AS w FROM hits, (SELECT unnest(range({K})) AS j)),
-n_votes AS (SELECT doc_id, template, diagonal, count(DISTINCT tpos) AS votes FROM hits GROUP BY ALL),
+n_votes AS (SELECT doc_id, template, diagonal, count(DISTINCT tpos) AS votes FROM hits GROUP BY doc_id, template, diagonal),
 diag AS (SELECT doc_id, template, label, exact, length, diagonal, count(*) AS held, diagonal + min(w) AS s, diagonal + max(w) AS e
-         FROM held GROUP BY ALL),
+         FROM held GROUP BY doc_id, template, label, exact, length, diagonal),
 near AS (SELECT diag.*, held / greatest(length, e - s + 1) AS alone FROM diag JOIN n_votes USING (doc_id, template, diagonal)
          WHERE NOT exact AND votes >= {min_votes}),
 fresh AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {max_shift} THEN 1 ELSE 0 END AS f FROM near),

@@ -12,10 +12,12 @@ from tabtwin.llm.bpe import decode_ids, encode_texts
 from tabtwin.llm.chat_format import format_conversations, restore_conversations
 from tabtwin.llm.common import read_table
 from tabtwin.llm.decontaminate import match_benchmark
+from tabtwin.llm.importance import resample
 from tabtwin.llm.license_scan import scan_licenses, scan_sql
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.lm_score import score_documents, train_network, word_counts
 from tabtwin.llm.near_dup import near_duplicates
+from tabtwin.llm.periodic_runs import periodic_runs
 from tabtwin.llm.quality import fit_quality, score_quality
 from tabtwin.llm.token_counts import apply_edits, count_tokens, n_tokens
 from tabtwin.llm.topk_search import top_k_search
@@ -127,6 +129,37 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs, keep_text=False).drop("license_spans")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's texts."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, read_table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by id, repeat a stretch of their words from some word on to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    some = docs.select("doc_id", "text", F.expr("crc32(binary(string(doc_id))) div 10").alias("g"), words.alias("words"))
+    n = F.size("words")
+    some = some.withColumn("a", F.when(n > 0, F.col("g") % n))
+    some = some.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    rewritten = F.array_join(F.transform("words", lambda w, i: F.get("words", place(i))), " ")
+    return some.select("doc_id", F.when(n > 0, rewritten).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal periodic runs of words in all documents, and the texts without their repetitions."""
+    found = periodic_runs(with_planted_periods(read_table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False)
+    runs = F.col("periodic.runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    read = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), longest.alias("best"),
+                        F.sha2(F.array_join(F.transform(runs, line), ""), 256).alias("runs_sha256"), F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"))
+    return read.select("doc_id", "n_runs", (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+                       F.expr("1000 * best.length div -best.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -157,6 +190,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk_search": op9_topk_search,
     "op10_token_counts": op10_token_counts,
     "op11_license_scan": op11_license_scan,
+    "op12_importance": op12_importance,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
