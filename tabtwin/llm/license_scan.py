@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtwin.llm.common import lower_ascii, packed, unpacked
+from tabtwin.llm.common import lower_ascii, packed, unpacked, written
 
 #: Runs of ASCII letters, digits and any character beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words in a rolling run.
 K = 3
 
@@ -123,8 +125,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [c for c in docs.columns if keep_text or c != text_col]
     base = docs.select(packed(docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])).alias("row"),
                        F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    read = base.select("row", "doc", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("words"))
-    found = spans(votes(read.select("doc", "version", "words"), template_grams(docs, phrases, passages)), max_shift, min_votes, min_share)
+    read = base.select("doc", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("words"))
+    # Written, as phrases and passages both read the votes and the texts would else be scanned for each.
+    voted = written(votes(read, template_grams(docs, phrases, passages)), "license-votes")
+    found = spans(voted, max_shift, min_votes, min_share)
     base_start = F.when(F.col("exact"), F.col("start"))
     per_doc = found.groupBy("doc", "version").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "label", "exact", "share"))).alias("spans"),
@@ -132,7 +136,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("label")))).alias("base_labels"),
         F.sort_array(F.collect_set("label")).alias("labels"), F.max("share").alias("score"))
     per_doc = per_doc.withColumnsRenamed({"doc": "d", "version": "v"})
-    slim = read.select("row", "doc", "version", F.size("words").cast("long").alias("n_words"))
+    counted = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long")
+    slim = base.select("row", "doc", F.xxhash64("text").alias("version"), counted.alias("n_words"))
     joined = slim.join(per_doc, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
     none = F.array().cast("array<struct<start:int,end:int,label:string,exact:boolean,share:double>>")
     return unpacked(joined, "row", names, {
