@@ -6,7 +6,9 @@ both trees together. A pair of nodes is left out when
 
     <q, p> + |q| * radius(p) + |p| * radius(q) + radius(q) * radius(p)
 
-for their centres q and p is below the worst k-th score that the queries under q hold so far.
+for their centres q and p is below the worst k-th score that the queries under q hold so far. A leaf of
+the query tree is a few queries, each of which then keeps its own bound, <q, p> + |q| * radius(p),
+against its own k-th score, nodes with the highest bounds first.
 The k best of every (query, block) are then merged per query, in two levels, so that what one
 task merges does not grow with the number of blocks.
 """
@@ -21,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points under which a node of a cover tree is not divided any more.
-LEAF = 64
+#: Points and queries under which a node of their cover tree is not divided any more, and nodes that a leaf of queries takes at a time.
+LEAF, QUERY_LEAF, TAKEN = 8, 4, 32
 
 
 class CoverTree:
@@ -33,8 +35,8 @@ class CoverTree:
     node's points as a slice of ``order``.
     """
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+        self.points, self.leaf = points, leaf
         self.centres: list[int] = []
         self.radii: list[float] = []
         self.children: list[list[int]] = []
@@ -59,7 +61,7 @@ class CoverTree:
         while open_nodes:
             node, gaps = open_nodes.pop()
             rows, radius = self.rows[node], self.radii[node]
-            if len(rows) <= LEAF or radius == 0:    # equal points stay together, however many
+            if len(rows) <= self.leaf or radius == 0:    # equal points stay together, however many
                 continue
             reach = 2.0 ** (math.ceil(math.log2(radius)) - 1)
             centre = self.centres[node]
@@ -74,17 +76,18 @@ class CoverTree:
                     gaps = self._gaps(centre, rows)
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int,
+                compared: list[int] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query position, ids, scores) of each query's k best points other than itself; integer rows, exact int64 scores.
 
-    Ties go to the smaller id.
+    Ties go to the smaller id. ``compared`` gets the numbers of pairs whose scores were taken.
     """
     if not len(queries) or not len(points):
         return []
     best_scores = [np.empty(0, dtype=np.int64)] * len(queries)
     best_ids = [np.empty(0, dtype=ids.dtype)] * len(queries)
     worst = np.full(len(queries), -np.inf)          # k-th best score so far
-    q_tree, p_tree = CoverTree(queries.astype(np.float64)), CoverTree(points.astype(np.float64))
+    q_tree, p_tree = CoverTree(queries.astype(np.float64), QUERY_LEAF), CoverTree(points.astype(np.float64))
     q_norm, p_norm = (np.sqrt((t.points ** 2).sum(axis=1)) for t in (q_tree, p_tree))
     p_centres, p_radii = np.array(p_tree.centres), np.array(p_tree.radii)
     # Sums below 2**53 are exact in floats, whose products are far faster.
@@ -100,7 +103,18 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         near = limits >= worst[q_tree.rows[a]].min()                            # an equal bound may still hold a tie
         return nodes[near], limits[near]
 
+    def own(a: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that may hold a point for a query of the leaf ``a`` by the query's own bound, and the greatest bounds."""
+        asked = q_tree.rows[a]
+        centres, radii = p_centres[nodes], p_radii[nodes]
+        limits = q_tree.points[asked] @ p_tree.points[centres].T + q_norm[asked, None] * radii
+        limits += 1e-9 * (1 + q_norm[asked, None] * (p_norm[centres] + radii))
+        near = (limits >= worst[asked, None]).any(axis=0)
+        return nodes[near], limits.max(axis=0, initial=-np.inf)[near]
+
     def compare(a: int, rows: np.ndarray) -> None:
+        if compared is not None:
+            compared.append(len(rows) * len(q_tree.rows[a]))
         for at in range(0, len(rows), 4096):
             some = rows[at:at + 4096]
             near, scores = ids[some], left[q_tree.rows[a]] @ right[some].T
@@ -132,14 +146,19 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         if q_tree.children[a]:
             stack += [(child, nodes) for child in q_tree.children[a]]
             continue
+        nodes, limits = own(a, nodes)
         while len(nodes):                           # a leaf of queries: the highest bounds first
             order = np.argsort(-limits)
-            order = order[limits[order] >= worst[q_tree.rows[a]].min()]
-            some, nodes, limits = nodes[order[:LEAF]], nodes[order[LEAF:]], limits[order[LEAF:]]
+            some, nodes, limits = nodes[order[:TAKEN]], nodes[order[TAKEN:]], limits[order[TAKEN:]]
+            some, _ = own(a, some)                  # scores have risen since
+            if not len(some):
+                if len(limits) and limits[0] < worst[q_tree.rows[a]].min():
+                    break
+                continue
             if len(rows := [p_tree.rows[node] for node in some[~inner[some]]]):
                 compare(a, np.concatenate(rows))
             if len(below := children(some[inner[some]])):
-                nodes, limits = joined((nodes, limits), reached(a, below))
+                nodes, limits = joined((nodes, limits), own(a, below))
     return [(q, best_ids[q], best_scores[q]) for q in range(len(queries)) if len(best_ids[q])]
 
 

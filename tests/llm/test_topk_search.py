@@ -3,7 +3,7 @@ import math
 import numpy as np
 
 from tabtwin.llm.queries import QUERIES
-from tabtwin.llm.topk_search import CoverTree, top_k_search
+from tabtwin.llm.topk_search import CoverTree, dual_search, top_k_search
 
 DATA = "/root/testdata/sf0.01"
 
@@ -59,3 +59,12 @@ def test_cover_tree_covers_and_separates():
             centres = points[[tree.centres[k] for k in kids]]
             apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)[np.triu_indices(len(kids), 1)]
             assert (apart > reach).all()
+
+
+def test_few_pairs_are_compared(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    vectors = np.floor(1024 * np.array([r.embedding for r in rows], dtype=np.float64)).astype(np.int64)
+    asked, compared = ids % 100 == 0, []
+    dual_search(vectors[asked], ids[asked], vectors, ids, 10, compared)
+    assert 10 * asked.sum() <= sum(compared) < 0.05 * asked.sum() * len(ids)
