@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .join(wanted, ["node", "content"]).select("node", "shingles").distinct(), "shingle-sets")
 
     homes = members.where("n > 0 AND doc IS NOT NULL").join(nodes, "content")
-    links = (homes.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b"))
+    several = homes.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc", "a")
+    links = homes.join(several, "doc").where("a <> node").select("a", F.col("node").alias("b")).distinct()      # ids of different texts
     one = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"))
     nearest = (buckets.join(one, "key").where((F.col("p.node") < F.col("node")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
                .groupBy(F.col("node").alias("b")).agg(F.min("p.node").alias("a")).select("a", "b"))

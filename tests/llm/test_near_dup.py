@@ -83,3 +83,9 @@ def test_texts_of_one_id_share_a_component(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
     assert {r.component_id for r in near_duplicates(df).collect()} == {3}
+
+
+def test_three_texts_under_one_id_link_all_their_documents(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (5, c), (7, c)], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(df).collect()} == {1}
