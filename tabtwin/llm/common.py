@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def packed(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, so that no name can clash with an operator's own."""
-    return F.struct(*[F.col(_quoted(c)) for c in df.columns])
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
 def unpacked(df: DataFrame, row: str, columns: list[str], added: dict[str, Column]) -> DataFrame:
@@ -69,7 +69,7 @@ def with_arrow_column(df: DataFrame, name: str, kind: str, source: str | list[st
     """
     sources = [source] if isinstance(source, str) else source
     others = [c for c in df.columns if c.lower() != name.lower() and (keep_source or c not in sources)]
-    inner = df.select(F.struct(F.lit(0).alias("_"), *[F.col(_quoted(c)) for c in others]).alias("row"), *[F.col(_quoted(c)).alias(f"source{i}") for i, c in enumerate(sources)])
+    inner = df.select(F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in others]).alias("row"), *[F.col(quoted(c)).alias(f"source{i}") for i, c in enumerate(sources)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,5 +81,5 @@ def with_arrow_column(df: DataFrame, name: str, kind: str, source: str | list[st
     return inner.mapInArrow(run, made).select(*[F.col("row").getField(c).alias(c) for c in others], F.col("value").alias(name))
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from tabtwin.llm.common import with_arrow_column
+from tabtwin.llm.common import packed, quoted, unpacked, with_arrow_column
 
 #: Characters of test items that are looked for in one scan.
 BLOCK_CHARS = 1_000_000
@@ -66,10 +66,11 @@ def least_distance(item: str, text: str) -> tuple[int, int]:
 class Matcher:
     """A block of normalised items, each with its budget of edits."""
 
-    def __init__(self, items: tuple[str, ...], percent: int) -> None:
+    def __init__(self, items: tuple[str, ...], percent: int, min_chars: int = 0) -> None:
         import ahocorasick
 
-        self.items, self.budgets = items, [len(item) * percent // 100 for item in items]
+        self.items, self.short = items, [len(item) < min_chars for item in items]
+        self.budgets = [0 if short else len(item) * percent // 100 for item, short in zip(items, self.short)]
         where: dict[str, list[tuple[int, int]]] = {}
         for number, (item, budget) in enumerate(zip(items, self.budgets)):
             for offset, piece in pieces_of(item, budget):
@@ -89,6 +90,11 @@ class Matcher:
         out = []
         for number, at in sorted(starts.items()):
             item, k = self.items[number], self.budgets[number]
+            if self.short[number]:                  # one piece: the hits are the item itself
+                whole = [a for a in sorted(at) if not text[max(0, a - 1):a].isalnum() and not text[a + len(item):a + len(item) + 1].isalnum()]
+                if whole:
+                    out.append((number, 0, whole[0] + len(item)))
+                continue
             best, end = k + 1, 0
             windows: list[list[int]] = []
             for start in sorted(at):                # where the item may lie, overlapping places as one
@@ -110,8 +116,8 @@ class Matcher:
 
 
 @lru_cache(maxsize=2)
-def _matcher(items: tuple[str, ...], percent: int) -> Matcher:
-    return Matcher(items, percent)
+def _matcher(items: tuple[str, ...], percent: int, min_chars: int) -> Matcher:
+    return Matcher(items, percent, min_chars)
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = 5, min_chars: int = 20, text_col: str = "text", item_col: str = "item_id",
@@ -121,39 +127,34 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = 5, min
     Both texts are normalised (see ``normalised``); an item is found if a substring of the
     document is within ``percent`` per cent of the item's length in edits. ``end`` is where the
     first of the best substrings ends in the normalised document. Items under ``min_chars``
-    normalised characters, null and empty ones included, are looked for nowhere: they would be
-    found everywhere. Items of equal text are all reported; a null item id is reported as null.
+    normalised characters are found where they stand exactly, between characters that are no letters or
+    digits; null and empty ones are looked for nowhere. Items of equal text are all reported; a null item id is reported as null.
     Null and empty documents have no matches; repeated rows get equal ones; a column that is
     already named ``matches`` is replaced, other columns stay. Empty tables are allowed on
     either side.
     """
     spark = docs.sparkSession
     kind = benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length("text") >= min_chars)
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length("text") > 0)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
     found = f"array<struct<item:{kind},distance:int,end:long>>"
     arrow = to_arrow_type(DataType.fromDDL(found))
-    out = docs
+    out = docs.select(packed(docs).alias("row"), F.col(quoted(text_col)).alias("text"))
     for block in range(blocks):
         # About BLOCK_CHARS characters: the items are dealt out by a hash.
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
         ids: dict[str, list] = {}
         for row in rows:
             ids.setdefault(normalised(row.text), []).append(row.item)
-        texts = tuple(sorted(text for text in ids if len(text) >= min_chars))
+        texts = tuple(sorted(text for text in ids if text))
         shared = spark.sparkContext.broadcast((texts, [sorted(ids[text], key=str) for text in texts]))
 
         def search(column: pa.Array, shared=shared) -> pa.Array:
             texts, owners = shared.value
-            matcher = _matcher(texts, percent)
+            matcher = _matcher(texts, percent, min_chars)
             return pa.array([[{"item": item, "distance": distance, "end": end} for number, distance, end in matcher.matches(normalised(text or "")) for item in owners[number]]
                              for text in column.to_pylist()], arrow)
 
-        one = with_arrow_column(out, f"__block{block}" if blocks > 1 else matches_col, found, text_col, True, search)
-        out = one
-    if blocks > 1:
-        names = [f"__block{block}" for block in range(blocks)]
-        out = out.withColumn(matches_col, F.concat(*names)).drop(*names)
-    return out
-
+        out = with_arrow_column(out, f"block{block}", found, "text", True, search)
+    return unpacked(out, "row", docs.columns, {matches_col: F.concat(*[f"block{block}" for block in range(blocks)])})

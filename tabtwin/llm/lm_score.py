@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabtwin.llm.common import _quoted, slices, unpacked, with_arrow_column, written
+from tabtwin.llm.common import quoted, slices, unpacked, with_arrow_column, written
 
 #: Least numbers of frequent words, suffix buckets and classes of tokens; width of the embeddings, windows in a training step.
 WORDS, SUFFIXES, CLASSES, WIDTH, STEP = 512, 512, 32, 8, 8192
@@ -304,7 +304,7 @@ def score_documents(docs: DataFrame, words: list[str], net: WindowNet, text_col:
         return with_arrow_column(docs, score_col, "struct<tokens:long,log_prob:double>", text_col, keep_text, run)
     made = with_arrow_column(docs, score_col, "struct<tokens:long,log_prob:double,token_logs:double,rare:array<string>>", text_col, keep_text, run)
     kept = [c for c in made.columns if c != score_col]
-    made = written(made.select(F.struct(F.lit(0).alias("_"), *[F.col(_quoted(c)) for c in kept]).alias("row"), F.col(_quoted(score_col)).alias("lm"),
+    made = written(made.select(F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in kept]).alias("row"), F.col(quoted(score_col)).alias("lm"),
                                F.monotonically_increasing_id().alias("id")), "scored")
     # Each rare word meets its count; words without one are those the corpus lacks.
     found = made.select("id", F.explode("lm.rare").alias("word")).join(counts, "word").groupBy("id").agg(F.sum(F.ln("n")).alias("logs"), F.count(F.lit(1)).alias("found"))

@@ -83,3 +83,20 @@ def test_edge_cases_and_blocks(spark, monkeypatch):
         assert {r.item for r in one} == {1, None} and all(0 < r.distance <= 4 for r in one)
     assert match_benchmark(docs.limit(0), bench).count() == 0
     assert {len(r.matches) for r in match_benchmark(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "so: What  is 2+2? ok"), (2, "what is 2+2?x"), (3, "awhat is 2+2?"), (4, None), (5, "it is 7")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "what is 2+2?"), (8, "7"), (7, ""), (6, None)], "item_id long, text string")
+    got = {r.doc_id: [(m["item"], m.distance, m.end) for m in r.matches] for r in match_benchmark(docs, items).collect()}
+    assert got == {1: [(9, 0, 16)], 2: [], 3: [], 4: [], 5: [(8, 0, 7)]}
+
+
+def test_blocks_leave_clashing_columns_alone(spark, monkeypatch):
+    monkeypatch.setattr("tabtwin.llm.decontaminate.BLOCK_CHARS", 30)
+    items = [f"item number {n} has words like {'abcdef'[n] * 12}" for n in range(6)]
+    docs = spark.createDataFrame([(1, " ".join(items), 5, 6, 7)], "doc_id long, text string, `__block0` int, block0 int, row int")
+    out = match_benchmark(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert out.columns == [*docs.columns, "matches"]
+    row = out.first()
+    assert sorted(m["item"] for m in row.matches) == list(range(6)) and (row["__block0"], row.block0, row.row) == (5, 6, 7)
