@@ -70,15 +70,25 @@ def test_stages_equal_brute_force(spark):
 
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_rows_pass_all_stages(spark, empty):
-    schema = "doc_id long, text string, lang string, source string, n_chars int, score int, rest string, row string"
+    schema = "doc_id long, text string, lang string, source string, n_chars int, score int, rest string, row string, `a.b` int"
     text = "plain words of a document that is neither short nor strange, "
     rows = [(1, text * 3, "en", "s", 9, 1, "x", "r"), (1, text * 3, "en", "s", 9, 1, "x", "r"), (2, text.upper() * 3, None, None, None, None, None, None), (None, None, None, None, None, None, None, None),
             (3, None, "en", "s", 0, 1, "x", "r"), (4, "", "en", "s", 0, 1, "x", "r"), (None, text * 3, "en", "s", 9, 1, "x", "r"), (5, text * 4000, "en", "s", 9, 1, "x", "r")]
+    rows = [(*r, 7) for r in rows]
     docs = spark.createDataFrame([] if empty else rows, schema)
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         docs = stage(spark, docs, DATA)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "rest", "row"], name
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "rest", "row", "a.b"], name
     out = [r.doc_id for r in corpus_pipeline.tokenize(spark, docs, DATA).collect()]
-    assert sorted(out, key=str) == ([] if empty else [1, 1, 3, 4, None, None])  # 2 and 5 have the shingles of 1
+    assert sorted(out, key=str) == ([] if empty else [1, 3, 4, None, None])  # 2 and 5 have the shingles of 1
     scored = corpus_pipeline.keep_quality(spark, spark.createDataFrame([] if empty else rows, schema), DATA)
     assert scored.columns == docs.columns and scored.count() >= 0
+
+
+def test_one_row_of_each_document_stays(spark):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, text), (1, text), (1, other), (2, text), (None, text), (None, text), (None, other), (3, None), (3, None), (4, "fourteen fifteen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")                 # no n_chars either
+    kept = corpus_pipeline.keep_one_of_each_group(spark, corpus_pipeline.strip_shared_lines(spark, docs, DATA), DATA)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text), (1, other), (None, text), (None, other), (3, ""), (4, "fourteen fifteen")], key=str)
