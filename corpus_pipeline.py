@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and gets what the one before kept; all bu
 return the columns of ``documents``. ``run`` writes every stage's result as Parquet in the
 shared checkpoint folder and reads it again, so that a lost executor costs one stage's tasks.
 Null ids and texts, empty tables, repeated rows and extra columns are treated as the operators'
-docstrings say; a row without an id is never removed as a duplicate.
+docstrings say; a row without an id is removed as a duplicate only of one with the same text and no id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabtwin.llm.bpe import decode_ids, encode_texts
-from tabtwin.llm.common import read_table, written
+from tabtwin.llm.common import quoted, read_table, written
 from tabtwin.llm.decontaminate import match_benchmark
 from tabtwin.llm.line_dedup import drop_shared_lines
 from tabtwin.llm.near_dup import near_duplicates
@@ -25,7 +25,7 @@ from tabtwin.llm.queries import QUALITY_THRESHOLD, held_out, tokenizer
 
 def carried(docs: DataFrame) -> DataFrame:
     """doc_id, text and, packed away from the operators' own column names, everything else."""
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]).alias("rest"))
 
 
 def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,13 +42,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def strip_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten or more of them share; n_chars follows the text."""
     done = unpacked(drop_shared_lines(carried(docs)).withColumn("text", F.col("kept_text")), docs)
+    if "n_chars" not in docs.columns:
+        return done
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates, the document with the smallest id."""
+    """Of every group of near duplicates, the document with the smallest id, and one row of each document.
+
+    Rows of one id and equal texts (of no id and equal texts as well) are one document; of rows with different texts
+    under a kept id each text stays.
+    """
     gone = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__digest", F.xxhash64("text")).select("__digest", *[quoted(c) for c in docs.columns])
+    # Only documents that have several rows are shuffled with their texts.
+    several = kept.groupBy(F.col("doc_id").alias("__id"), F.col("__digest").alias("__same")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    several = written(several.drop("__n"), "repeated-rows")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__same"))
+    single, repeated = kept.join(several, same, "left_anti"), kept.join(several, same, "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"])).drop("__digest")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
