@@ -156,5 +156,5 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = 5, min
             return pa.array([[{"item": item, "distance": distance, "end": end} for number, distance, end in matcher.matches(normalised(text or "")) for item in owners[number]]
                              for text in column.to_pylist()], arrow)
 
-        out = with_arrow_column(out, f"block{block}", found, "text", True, search)
+        out = with_arrow_column(out, f"block{block}", found, "text", block < blocks - 1, search)
     return unpacked(out, "row", docs.columns, {matches_col: F.concat(*[f"block{block}" for block in range(blocks)])})
