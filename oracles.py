@@ -284,14 +284,18 @@ l AS (SELECT column_name, value, side FROM (SELECT * FROM {_long('real_side', ['
 st AS (SELECT column_name, side, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h,
        min(value) AS lo, max(value) AS hi FROM l GROUP BY column_name, side),
 sp AS (SELECT column_name, min(lo) - 3.0 * max(h) AS g0, max(hi) + 3.0 * max(h) AS g1 FROM st GROUP BY column_name),
-g AS (SELECT column_name, unnest(range(200)) AS grid_index, g0, g1 FROM sp),
-gx AS (SELECT column_name, grid_index, g0 + grid_index * ((g1 - g0) / 199) AS x, g1 - g0 AS span FROM g),
-d AS (SELECT l.column_name, l.side, value, count(*) AS w FROM l GROUP BY ALL)
-SELECT gx.column_name, st.side, gx.grid_index,
-  round(sum(d.w * exp(-0.5 * ((gx.x - d.value) / st.h) * ((gx.x - d.value) / st.h))) / (st.n * st.h * sqrt(2 * pi()))
-        * max(gx.span), 6) AS scaled_density
-FROM gx JOIN st ON gx.column_name = st.column_name JOIN d ON d.column_name = st.column_name AND d.side = st.side
-GROUP BY gx.column_name, st.side, gx.grid_index, st.n, st.h"""
+pr AS (SELECT column_name, side, n, h, g0, g1 - g0 AS span, (g1 - g0) / 199 AS step, ((g1 - g0) / 199) / ceil((g1 - g0) / 199 * 64 / h) AS delta
+       FROM st JOIN sp USING (column_name) WHERE h > 0),
+sh AS (SELECT column_name, side, floor((value - g0) / delta) AS i, (value - g0) / delta - floor((value - g0) / delta) AS part FROM l JOIN pr USING (column_name, side)),
+fine AS (SELECT column_name, side, i, sum(w) AS w FROM (SELECT column_name, side, i, 1 - part AS w FROM sh UNION ALL SELECT column_name, side, i + 1, part FROM sh)
+         GROUP BY column_name, side, i),
+gx AS (SELECT *, unnest(range(200)) AS grid_index FROM pr),
+sums AS (SELECT gx.column_name, gx.side, gx.grid_index, sum(f.w * exp(-0.5 * pow((grid_index * step - f.i * delta) / h, 2))) AS s
+         FROM gx JOIN fine f ON f.column_name = gx.column_name AND f.side = gx.side AND abs(grid_index * step - f.i * delta) <= 8.0 * h
+         GROUP BY gx.column_name, gx.side, gx.grid_index)
+SELECT column_name, side, grid_index, round(coalesce(s, 0.0) / (n * h * sqrt(2 * pi())) * span, 6) AS scaled_density,
+  round((pow(delta / h, 2) / 8 + exp(-32)) / (sqrt(2 * pi()) * h) * span, 6) AS scaled_error_bound
+FROM gx LEFT JOIN sums USING (column_name, side, grid_index)"""
 
 
 def _kanon(cols, src="cohort"):
@@ -608,3 +612,103 @@ SELECT 'absent.csv' AS file_name, 'missing_file' AS problem, NULL AS column_name
 UNION ALL SELECT 'recoded.csv', 'missing_column', 'priority', NULL
 UNION ALL SELECT DISTINCT 'recoded.csv', 'unexpected_value', 'is_urgent', CAST(is_urgent + 1 AS VARCHAR) FROM synth_side
   WHERE is_urgent + 1 NOT IN (SELECT is_urgent FROM synth_side)"""
+
+
+# ---- DP generators -------------------------------------------------------------------------
+
+_DP_ORDER = list(fx.COHORT_DP.visit_order)
+_DP_PLAN = [_DP_ORDER[max(0, k - 2):k + 1] for k in range(len(_DP_ORDER))]
+
+
+def _dp_codes(c: str) -> str:
+    codes = [str(i) for i in range(10)] if c in fx.COHORT_DP.bounds else list(fx.COHORT_DP.domains[c])
+    return "[" + ", ".join(f"'{v}'" for v in [*codes, *(["NA"] if c in fx.COHORT_DP.nullable else [])]) + "]"
+
+
+def _dp_coded() -> str:
+    parts = []
+    for c in _DP_ORDER:
+        if c in fx.COHORT_DP.bounds:
+            lo, hi = fx.COHORT_DP.bounds[c]
+            clipped = f"(CASE WHEN {c} IS NOT NULL THEN greatest({lo!r}::DOUBLE, least({hi!r}::DOUBLE, CAST({c} AS DOUBLE))) END)"
+            parts.append(f"coalesce(CAST({_bin_sql(clipped, lo, hi)} AS VARCHAR), 'NA') AS {c}")
+        else:
+            parts.append(f"coalesce(CAST({c} AS VARCHAR), 'NA') AS {c}")
+    return f"SELECT {', '.join(parts)} FROM train"
+
+
+def _dp_noisy(epsilons: list[float], noise_seed: int = 1234) -> str:
+    """CTEs coded, dom, eps and noisy (eps, mid, c0, c1, value, noisy): parents first, the child as value."""
+    doms, counts = [], []
+    for i, cols in enumerate(_DP_PLAN):
+        cells = ["CAST(NULL AS VARCHAR)"] * (3 - len(cols)) + cols
+        counts.append(f"SELECT {i} AS mid, {cells[0]} AS c0, {cells[1]} AS c1, {cells[2]} AS value, count(*) AS n FROM coded GROUP BY ALL")
+        sides = ", ".join(f"(SELECT unnest({_dp_codes(c)}) AS {c})" for c in cols)
+        doms.append(f"SELECT {i} AS mid, {cells[0]} AS c0, {cells[1]} AS c1, {cells[2]} AS value FROM {sides}")
+    eps = ", ".join(f"('{e!r}', {e!r}::DOUBLE)" for e in epsilons)
+    cell = "concat_ws(chr(1), d.c0, d.c1, d.value)"
+    u = f"(CAST(('0x' || substr(md5('{noise_seed}|dp:' || eps.eps || '|' || d.mid || '|' || {cell}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+    return f"""coded AS MATERIALIZED ({_dp_coded()}), cnt AS ({' UNION ALL '.join(counts)}), dom AS ({' UNION ALL '.join(doms)}),
+eps AS (SELECT * FROM (VALUES {eps}) AS e(eps, e)),
+noisy AS MATERIALIZED (SELECT eps, mid, c0, c1, value, greatest(0.0, n + (-({2.0 * len(_DP_PLAN)!r}::DOUBLE / e) * sign(u - 0.5) * ln(1.0 - 2.0 * abs(u - 0.5)))) AS noisy FROM (
+  SELECT eps.eps, e, d.*, coalesce(n, 0) AS n, {u} AS u FROM eps, dom d LEFT JOIN cnt c ON c.mid = d.mid AND c.c0 IS NOT DISTINCT FROM d.c0
+    AND c.c1 IS NOT DISTINCT FROM d.c1 AND c.value = d.value))"""
+
+
+def _dp_tables(epsilons: list[float]) -> str:
+    """CTEs that end in ``made`` (eps, rid, columns with types restored)."""
+    ctes = [_dp_noisy(epsilons), "s_0 AS (SELECT eps, unnest(range((SELECT count(*) FROM train))) AS id FROM eps)"]
+    run = lambda keys: (f"list(value ORDER BY value) AS vals, list(cum ORDER BY value) AS cums FROM (SELECT *, sum(noisy) OVER (PARTITION BY {keys} "
+                        "ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum FROM")
+    for i, cols in enumerate(_DP_PLAN):
+        child, parents = cols[-1], cols[:-1]
+        ctes.append(f"g_{i} AS MATERIALIZED (SELECT eps, c0, c1, {run('eps, c0, c1')} noisy WHERE mid = {i}) GROUP BY eps, c0, c1)")
+        ctes.append(f"a_{i} AS MATERIALIZED (SELECT eps, {run('eps')} (SELECT eps, value, sum(noisy) AS noisy FROM noisy WHERE mid = {i} GROUP BY eps, value)) GROUP BY eps)")
+        on = " AND ".join(["g.eps = s.eps", *[f"g.c{2 - len(parents) + j} = s.{p}" for j, p in enumerate(parents)]])
+        u = f"(CAST(('0x' || substr(md5('24|dp-sample:' || s.eps || ':{child}|' || id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+        pick = lambda t: f"{t}.vals[least(len({t}.vals), len(list_filter({t}.cums, lambda x: x <= {u} * {t}.cums[len({t}.cums)])) + 1)]"  # noqa: E731,B023
+        ctes.append(f"s_{i + 1} AS MATERIALIZED (SELECT s.*, CASE WHEN g.cums[len(g.cums)] > 0 THEN {pick('g')} ELSE {pick('a')} END AS {child} "
+                    f"FROM s_{i} s LEFT JOIN g_{i} g ON {on} JOIN a_{i} a ON a.eps = s.eps)")
+    cols = ["CAST(id AS BIGINT) AS rid"]
+    for c in COHORT_COLS[1:]:
+        if c in fx.COHORT_DP.bounds:
+            mid = _mid_sql(c, *fx.COHORT_DP.bounds[c])
+            cols.append(f"CAST(round_even({mid}, 0) AS INTEGER) AS {c}" if c == "month_no" else f"{mid} AS {c}")
+        else:
+            code = f"CASE WHEN {c} = 'NA' THEN NULL ELSE {c} END"
+            cols.append(f"CAST({code} AS INTEGER) AS {c}" if c in fx.COHORT_COLUMNS.binary else f"{code} AS {c}")
+    ctes.append(f"made AS (SELECT eps, {', '.join(cols)} FROM s_{len(_DP_PLAN)})")
+    return ", ".join(ctes)
+
+
+ORACLES["dp_marginals"] = f"{SPLIT}, {_dp_noisy([3.0])} SELECT mid, concat_ws('|', c0, c1, value) AS cell, round(noisy, 6) AS noisy FROM noisy"
+ORACLES["generate_dp"] = f"{SPLIT}, {_dp_tables([3.0])} SELECT {_r(COHORT_COLS)} FROM made"
+ORACLES["dp_sweep"] = (f"{SPLIT}, {_dp_tables([0.5, 1.0, 3.0, 8.0])} SELECT CAST(eps AS DOUBLE) AS epsilon, count(*) AS n, round(avg(amount), 6) AS mean_amount "
+                       "FROM made GROUP BY eps")
+
+# ---- attacks -------------------------------------------------------------------------------
+
+from oracle_attacks import attack_oracles  # noqa: E402
+
+ORACLES.update(attack_oracles(SPLIT))
+
+# ---- model features ----------------------------------------------------------------------------
+
+_F_NUM = list(fx.COHORT_COLUMNS.numeric)
+_F_BIN = [c for c in fx.COHORT_COLUMNS.binary if c != "target"]
+_F_CAT = list(fx.COHORT_COLUMNS.categorical)
+
+
+def _features_sql() -> str:
+    mode = lambda c: f"(SELECT {c} FROM train WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+    filled = [f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM train)) AS f_{c}" for c in _F_NUM]
+    filled += [f"CASE WHEN (SELECT count(*) - count({c}) FROM train) > 0 THEN [CAST({c} IS NULL AS DOUBLE)] ELSE [] END AS m_{c}" for c in _F_NUM]
+    filled += [f"coalesce({c}, {mode(c)}) AS f_{c}" for c in _F_BIN + _F_CAT]
+    filled += [f"(SELECT list_sort(list(DISTINCT {c})) FROM train WHERE {c} IS NOT NULL) AS l_{c}" for c in _F_CAT]
+    parts = [f"[round(f_{c}, 6)]" for c in _F_NUM] + [f"m_{c}" for c in _F_NUM] + [f"[CAST(f_{c} AS DOUBLE)]" for c in _F_BIN]
+    parts += [f"list_transform(l_{c}, lambda l: CAST(l = f_{c} AS DOUBLE))" for c in _F_CAT]
+    rows = f"SELECT rid, {' || '.join(parts)} AS features FROM (SELECT rid, {', '.join(filled)} FROM test)"
+    return f"SELECT rid, generate_subscripts(features, 1) - 1 AS place, unnest(features) AS value FROM ({rows})"
+
+
+ORACLES["preprocess_features"] = f"{SPLIT} {_features_sql()}"

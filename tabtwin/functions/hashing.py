@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 TWO_52 = float(2 ** 52)
 
 
-def _key_string(seed, tag: str, keys) -> Column:
-    parts = [F.lit(str(seed)), F.lit(str(tag))]
+def _key_string(seed, tag: str | Column, keys) -> Column:
+    parts = [F.lit(str(seed)), tag if isinstance(tag, Column) else F.lit(str(tag))]
     for k in keys:
         parts.append((F.col(k) if isinstance(k, str) else k).cast("string"))
     return F.concat_ws("|", *parts)
 
 
-def hash_uniform(seed, tag: str, *keys) -> Column:
-    """Uniform in [0, 1) from (seed, tag, key...). Keys are column names or Columns."""
+def hash_uniform(seed, tag: str | Column, *keys) -> Column:
+    """Uniform in [0, 1) from (seed, tag, key...). Keys are column names or Columns; a tag may vary by row as a Column."""
     hexpart = F.substring(F.md5(_key_string(seed, tag, keys)), 1, 13)
     return F.conv(hexpart, 16, 10).cast("bigint").cast("double") / F.lit(TWO_52)
 
@@ -36,10 +36,11 @@ def hash_uniform_sql(seed, tag: str, *key_sql: str) -> str:
     return f"(CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
-def hash_gaussian(seed, tag: str, *keys) -> Column:
+def hash_gaussian(seed, tag: str | Column, *keys) -> Column:
     """Standard normal by Box-Muller on two independent hash uniforms."""
-    u1 = F.lit(1.0) - hash_uniform(seed, f"{tag}#u1", *keys)   # (0, 1]
-    u2 = hash_uniform(seed, f"{tag}#u2", *keys)
+    ending = lambda end: F.concat(tag, F.lit(end)) if isinstance(tag, Column) else f"{tag}{end}"
+    u1 = F.lit(1.0) - hash_uniform(seed, ending("#u1"), *keys)   # (0, 1]
+    u2 = hash_uniform(seed, ending("#u2"), *keys)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 

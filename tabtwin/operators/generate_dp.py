@@ -14,7 +14,8 @@
    (post-processing, no extra budget).
 5. Codes -> interval midpoints, types and column order of the input restored.
 
-Noise uniforms are hash draws of (noise_seed, marginal, cell). ``noise_seed=None`` (the
+Epsilon is a key of every table (``eps``, its text): a sweep is one count, one noise table, one set of
+conditional tables and one sampling chain over (epsilon, row). Noise uniforms are hash draws of (noise_seed, marginal, cell). ``noise_seed=None`` (the
 default) draws a secret seed from the OS, as a release must; tests pass a fixed one.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import secrets as _secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,34 +51,34 @@ def marginal_plan(order: list[str]) -> list[tuple[str, ...]]:
 
 
 def coded_rows(real: DataFrame, spec: ColumnSpec, dp: DPSpec) -> DataFrame:
-    """``real`` as codes of the public domain; every row stays in it.
-
-    Numbers beyond the public bounds count in the end bins. A missing value of a column that
-    isn't declared nullable and a level outside the declared domain raise, with counts.
-    """
-    def clipped(c: str) -> F.Column:
+    """``real`` as codes; numbers beyond the public bounds count in the end bins."""
+    def clipped(c: str) -> Column:
         low, high = (F.lit(float(x)) for x in dp.bounds[c])
         x = F.col(c).cast("double")
         # least and greatest skip nulls, but a missing number must stay missing
         return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(low, F.least(high, x)))
 
     kept = real.select(*[clipped(c).alias(c) if c in dp.bounds else F.col(c) for c in spec.all_columns])
-    coded = discretise(kept, dp.bounds, dp.bins, columns=spec.all_columns)
-    outside = coded.agg(*[F.count_if(~F.col(c).isin(code_domain(spec, dp, c))).alias(c) for c in spec.all_columns]).first().asDict()
-    if wrong := {c: n for c, n in outside.items() if n}:
-        raise ValueError("values outside the public domain: " + ", ".join(f"{n} in {c}" for c, n in wrong.items()))
-    return coded
+    return discretise(kept, dp.bounds, dp.bins, columns=spec.all_columns)
 
 
 def marginal_counts(coded: DataFrame, spec: ColumnSpec, dp: DPSpec) -> DataFrame:
-    """(mid, cell array<string>, n) for every marginal over its full public domain."""
+    """(mid, cell array<string>, n) for every marginal over its full public domain.
+
+    The rows are read once; codes outside the domain (each column is the last one of a marginal) raise, with counts.
+    """
     spark = coded.sparkSession
     plan = marginal_plan(list(dp.visit_order))
     # true counts of every marginal in one shuffle: explode (marginal id, cell) per row
     items = [F.struct(F.lit(i).alias("mid"), F.array(*[F.col(c) for c in cols]).alias("cell"))
              for i, cols in enumerate(plan)]
-    counts = (coded.select(F.explode(F.array(*items)).alias("e")).select("e.*")
-              .groupBy("mid", "cell").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut_lineage(coded.select(F.explode(F.array(*items)).alias("e")).select("e.*")
+                         .groupBy("mid", "cell").agg(F.count(F.lit(1)).alias("n")))
+    last = F.element_at("cell", -1)
+    outside = counts.agg(*[F.sum(F.when((F.col("mid") == i) & ~last.isin(code_domain(spec, dp, cols[-1])), F.col("n"))).alias(cols[-1])
+                           for i, cols in enumerate(plan)]).first().asDict()
+    if wrong := {c: n for c, n in outside.items() if n}:
+        raise ValueError("values outside the public domain: " + ", ".join(f"{n} in {c}" for c, n in wrong.items()))
     # the public domain: the product of the declared code sets, made by the executors
     domain = None
     for i, cols in enumerate(plan):
@@ -89,61 +90,64 @@ def marginal_counts(coded: DataFrame, spec: ColumnSpec, dp: DPSpec) -> DataFrame
     return domain.join(counts, ["mid", "cell"], "left").fillna(0, ["n"])
 
 
-def with_noise(counts: DataFrame, dp: DPSpec, epsilon: float, noise_seed) -> DataFrame:
-    """(mid, cell, noisy double): Laplace noise on every cell of ``marginal_counts``."""
-    scale = 2.0 * len(dp.visit_order) / epsilon
-    u = hash_uniform(noise_seed, f"dp:{epsilon!r}", "mid", F.concat_ws("\u0001", "cell"))
-    noisy = F.greatest(F.lit(0.0), F.col("n").cast("double") + laplace_from_uniform(u, scale))
-    return counts.select("mid", "cell", noisy.alias("noisy"))
+def with_noise(counts: DataFrame, dp: DPSpec, epsilons: list[float], noise_seed) -> DataFrame:
+    """(eps, mid, cell, noisy double): Laplace noise of each epsilon on every cell of ``marginal_counts``."""
+    each = F.array(*[F.struct(F.lit(repr(e)).alias("eps"), F.lit(2.0 * len(dp.visit_order) / e).alias("scale")) for e in epsilons])
+    rows = counts.select("mid", "cell", "n", F.explode(each).alias("e")).select("e.*", "mid", "cell", "n")
+    u = hash_uniform(noise_seed, F.concat(F.lit("dp:"), F.col("eps")), "mid", F.concat_ws("\u0001", "cell"))
+    noisy = F.greatest(F.lit(0.0), F.col("n").cast("double") + laplace_from_uniform(u, F.col("scale")))
+    return rows.select("eps", "mid", "cell", noisy.alias("noisy"))
 
 
 def noisy_marginals(coded: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, noise_seed) -> DataFrame:
     """(mid, cell array<string>, noisy double) for every marginal over its full public domain."""
-    return with_noise(marginal_counts(coded, spec, dp), dp, epsilon, noise_seed)
+    return with_noise(marginal_counts(coded, spec, dp), dp, [float(epsilon)], noise_seed).drop("eps")
 
 
-def _conditional_tables(noisy: DataFrame, plan) -> dict:
-    """Per marginal: (parent codes..., values array, cumulative weights array, total)."""
-    out = {}
-    for i, cols in enumerate(plan):
-        parents = [f"p{j}" for j in range(len(cols) - 1)]
-        t = noisy.filter(F.col("mid") == i).select(
-            *[F.col("cell")[j].alias(p) for j, p in enumerate(parents)],
-            F.element_at("cell", -1).alias("value"), "noisy")
-        agg = t.groupBy(*parents).agg(F.array_sort(F.collect_list(F.struct("value", "noisy"))).alias("vw"))
-        agg = agg.select(*parents, F.transform("vw", lambda s: s["value"]).alias("values"),
-                         F.transform("vw", lambda s: s["noisy"]).alias("w"))
-        # running weights by aggregate over the (small, fixed-size) weight array
-        agg = agg.select(*parents, "values", F.expr(
-            "transform(w, (x, i) -> aggregate(slice(w, 1, i + 1), cast(0.0 as double), (a, b) -> a + b))").alias("cum"))
-        out[i] = agg.withColumn("total", F.element_at("cum", -1))
-    return out
+def _weights(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., table): the values and running weights of (keys..., value, noisy) rows, in order of the values."""
+    agg = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "noisy"))).alias("vw"))    # one column's public domain
+    # running weights by aggregate over the (small, fixed-size) weight array
+    cum = F.expr("transform(w, (x, i) -> aggregate(slice(w, 1, i + 1), cast(0.0 as double), (a, b) -> a + b))")
+    agg = agg.select(*keys, F.transform("vw", lambda s: s["value"]).alias("values"), F.transform("vw", lambda s: s["noisy"]).alias("w"))
+    return agg.select(*keys, F.struct(F.col("values"), cum.alias("cum")).alias("table"))
 
 
-def _one_way(noisy: DataFrame, plan, child_pos: int) -> DataFrame:
-    """Noisy 1-way counts of the child of marginal ``child_pos`` (sum over its parents)."""
-    t = noisy.filter(F.col("mid") == child_pos).select(F.element_at("cell", -1).alias("value"), "noisy")
-    agg = t.groupBy("value").agg(F.sum("noisy").alias("noisy"))
-    packed = agg.agg(F.array_sort(F.collect_list(F.struct("value", "noisy"))).alias("vw"))
-    packed = packed.select(F.transform("vw", lambda s: s["value"]).alias("values"),
-                           F.transform("vw", lambda s: s["noisy"]).alias("w"))
-    return packed.select(F.col("values").alias("f_values"), F.expr(
-        "transform(w, (x, i) -> aggregate(slice(w, 1, i + 1), cast(0.0 as double), (a, b) -> a + b))").alias("f_cum"))
+def _pick(table: Column, u: Column) -> Column:
+    k = u * F.element_at(table["cum"], -1)
+    pos = F.size(F.filter(table["cum"], lambda c: c <= k)) + 1
+    return F.element_at(table["values"], F.least(pos, F.size(table["values"])))
 
 
-def _pick(values: str, cum: str, total, u) -> F.Column:
-    k = u * total
-    pos = F.size(F.filter(cum, lambda c: c <= k)) + 1
-    return F.element_at(values, F.least(pos, F.size(values)))
+def _sampled(noisy: DataFrame, plan: list[tuple[str, ...]], epsilons: list[float], n: int, seed) -> DataFrame:
+    """(eps, id, code columns): ``n`` rows for each epsilon."""
+    out = noisy.sparkSession.range(n).select(F.explode(F.array(*[F.lit(repr(e)) for e in epsilons])).alias("eps"), "id")
+    for i, cols in enumerate(plan):
+        child, parents = cols[-1], list(cols[:-1])
+        cells = noisy.where(F.col("mid") == i).select("eps", *[F.col("cell")[j].alias(p) for j, p in enumerate(parents)],
+                                                      F.element_at("cell", -1).alias("value"), "noisy")
+        # Both tables have a row per epsilon and cell of the parents' public domain at most; broadcast if their size allows.
+        given = _weights(cells, ["eps", *parents]).withColumnRenamed("table", "_given")
+        alone = _weights(cells.groupBy("eps", "value").agg(F.sum("noisy").alias("noisy")), ["eps"]).withColumnRenamed("table", "_alone")
+        step = out.join(given, ["eps", *parents], "left").join(alone, "eps", "left")
+        u = hash_uniform(seed, F.concat(F.lit("dp-sample:"), F.col("eps"), F.lit(f":{child}")), "id")
+        value = F.when(F.element_at("_given.cum", -1) > 0, _pick(F.col("_given"), u)).otherwise(_pick(F.col("_alone"), u))
+        out = step.withColumn(child, value).drop("_given", "_alone")
+        if (i + 1) % 4 == 0:
+            out = cut_lineage(out)      # two joins per column: keep the plan short
+    return out
 
 
-def generate_dp(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, seed, noise_seed=None,
-                key: str | None = None, n: int | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Synthetic table with the columns, order and types of ``real`` (``key`` column, if
-    given, becomes a fresh 0..n-1 id). ``counts``: ``marginal_counts`` of ``real`` made before."""
-    if epsilon <= 0:
-        raise ValueError(f"epsilon must be strictly positive, got {epsilon}.")
+def dp_sweep(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilons, seed, noise_seed=None,
+             key: str | None = None, n: int | None = None) -> DataFrame:
+    """One synthetic table per epsilon, with an ``epsilon`` column (write with ``partitionBy("epsilon")``); columns, order and
+    types of ``real`` else (``key``, if given, becomes a fresh 0..n-1 id). Each epsilon is a separate release with its own budget."""
     from tabtwin.operators.contract import validate_columns
+
+    epsilons = [float(e) for e in epsilons]
+    for e in epsilons:
+        if e <= 0:
+            raise ValueError(f"epsilon must be strictly positive, got {e}.")
     validate_columns(real, spec, ignore=(key,) if key else ())
     missing_bounds = [c for c in spec.numeric if c not in dp.bounds]
     if missing_bounds:
@@ -152,52 +156,21 @@ def generate_dp(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, s
         raise ValueError("visit_order must be a permutation of the declared columns")
     if noise_seed is None:
         noise_seed = _secrets.randbits(62)
-    spark = real.sparkSession
     n = real.count() if n is None else n          # the row count is public
-    plan = marginal_plan(list(dp.visit_order))
-    if counts is None:
-        counts = marginal_counts(coded_rows(real, spec, dp), spec, dp)
-    noisy = cut_lineage(with_noise(counts, dp, epsilon, noise_seed))   # small: sum of domain sizes
-    tables = _conditional_tables(noisy, plan)
-    out = spark.range(n)
-    for i, cols in enumerate(plan):
-        child = cols[-1]
-        parents = list(cols[:-1])
-        u = hash_uniform(seed, f"dp-sample:{epsilon!r}:{child}", "id")
-        cond = tables[i]
-        renamed = cond.select(*[F.col(f"p{j}").alias(p) for j, p in enumerate(parents)],
-                              F.col("values").alias("_values"), F.col("cum").alias("_cum"),
-                              F.col("total").alias("_total"))
-        fallback = _one_way(noisy, plan, i)
-        if parents:
-            step = out.join(renamed, parents, "left")     # a row per cell of the public domain; broadcast if its size allows
-        else:
-            one = F.struct("_values", "_cum", "_total")
-            step = out.withColumn("_one", renamed.select(one).scalar()).select(*out.columns, "_one.*")
-        step = step.withColumn("_f", fallback.select(F.struct("f_values", "f_cum")).scalar()).select(*step.columns, "_f.*")
-        use_cond = F.col("_total") > 0
-        value = F.when(use_cond, _pick("_values", "_cum", F.col("_total"), u)).otherwise(
-            _pick("f_values", "f_cum", F.element_at("f_cum", -1), u))
-        out = step.withColumn(child, value).drop("_values", "_cum", "_total", "f_values", "f_cum")
-        if (i + 1) % 4 == 0:
-            out = cut_lineage(out)      # one join per column: keep the plan short
-    decoded = undiscretise(out.select(*spec.all_columns, F.col("id").cast("string").alias("__id")),
-                           dp.bounds, dp.bins)
+    counts = marginal_counts(coded_rows(real, spec, dp), spec, dp)
+    noisy = cut_lineage(with_noise(counts, dp, epsilons, noise_seed))   # small: sum of domain sizes
+    codes = _sampled(noisy, marginal_plan(list(dp.visit_order)), epsilons, n, seed)
+    kept = codes.select(*spec.all_columns, F.col("id").cast("string").alias("__id"), F.col("eps").alias("__eps"))
+    decoded = undiscretise(kept, dp.bounds, dp.bins)
     fields = [f for f in real.schema.fields if f.name in spec.all_columns]
     if key:
         decoded = decoded.withColumnRenamed("__id", key)
         fields.append(real.schema[key])
-    return restore_types(decoded, T.StructType(fields)).select(*[c for c in real.columns if c in spec.all_columns
-                                                                 or c == key])
+    typed = restore_types(decoded, T.StructType([*fields, T.StructField("__eps", T.DoubleType())]))
+    return typed.select(*[c for c in real.columns if c in spec.all_columns or c == key], F.col("__eps").alias("epsilon"))
 
 
-def dp_sweep(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilons, seed, noise_seed=None,
-             key: str | None = None) -> DataFrame:
-    """One synthetic table per epsilon, stacked with an ``epsilon`` column (write with
-    ``partitionBy("epsilon")``). Each epsilon is a separate release with its own budget."""
-    out, n = None, real.count()
-    counts = cut_lineage(marginal_counts(coded_rows(real, spec, dp), spec, dp))    # the same for every epsilon
-    for eps in epsilons:
-        t = generate_dp(real, spec, dp, float(eps), seed, noise_seed, key, n, counts).withColumn("epsilon", F.lit(float(eps)))
-        out = t if out is None else out.unionByName(t)
-    return out
+def generate_dp(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilon: float, seed, noise_seed=None,
+                key: str | None = None, n: int | None = None) -> DataFrame:
+    """``dp_sweep`` of one epsilon, without its column."""
+    return dp_sweep(real, spec, dp, [epsilon], seed, noise_seed, key, n).drop("epsilon")

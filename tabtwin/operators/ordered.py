@@ -14,7 +14,7 @@ buckets fall; buckets only spread the work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Least number of buckets per group; sessions set up for more shuffle partitions get more.
@@ -35,6 +35,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, columns: list[str], how: s
     return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in columns])
 
 
+def below(bounds: Column, value: Column, most: int) -> Column:
+    """How many of the ascending ``bounds`` (``most`` at most) are less than ``value``: a binary search, null for a null value."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))])
+    further = lambda at, step: F.when((at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) < value), at + step).otherwise(at)
+    return F.when(value.isNotNull(), F.aggregate(steps, F.lit(0), further))
+
+
 def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                 buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same group with order value <= this row's.
@@ -51,8 +58,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
               .agg(F.percentile_approx(F.col(order_col), probs, 10000).alias("_bounds")))
     # one row of <= buckets-1 bounds per group; Spark broadcasts them if their size allows
     bounded = null_safe_join(df, bounds, group_cols, "left")
-    bounded = bounded.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order_col)))).drop("_bounds")
+    bounded = bounded.withColumn("_bucket", below(F.col("_bounds"), F.col(order_col), buckets)).drop("_bounds")
 
     totals = bounded.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     before = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,6 +75,23 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     return out.drop("_bucket", *[f"_off_{c}" for c in sum_cols])
 
 
+def range_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_col: str, name: str) -> DataFrame:
+    """``df`` (a row per group and value) with ``name``: the sum of ``sum_col`` over the values of the group before this one.
+
+    Works for values of any order, texts too; a null value comes first. Rows are range-partitioned by group and value, summed
+    within their partition, and shifted by the partitions before (a row for each partition that a group reaches into).
+    """
+    from tabtwin.session import cut_lineage
+    keys = [*[F.col(c) for c in group_cols], F.col(order_col).asc_nulls_first()]
+    dealt = cut_lineage(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))     # the numbers must not change below
+    sizes = dealt.groupBy(*group_cols, "_part").agg(F.sum(sum_col).alias("_size"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group_cols, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(*group_cols, "_part").orderBy(F.col(order_col).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = null_safe_join(dealt, offsets, [*group_cols, "_part"])
+    return placed.withColumn(name, F.col("_off") + F.coalesce(F.sum(sum_col).over(within), F.lit(0))).drop("_part", "_off")
+
+
 def exact_quantiles(counts: DataFrame, group_cols: list[str], value_col: str, count_col: str,
                     probs: list[float], buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group.
@@ -116,6 +139,13 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     return q.select("column_name", F.col("quantile").alias("median"))
 
 
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, mode) of the discrete columns: the most frequent value as text, the smallest of equally frequent ones."""
+    counts = value_counts(long_discrete(df, columns), ["column_name"], "value")
+    first = F.struct((-F.col("cnt")).alias("n"), F.expr("try_cast(value AS double)").alias("number"), F.col("value"))
+    return counts.groupBy("column_name").agg(F.min_by("value", first).alias("mode"))
+
+
 def long_numeric(df: DataFrame, columns: list[str], ids: list[str] | None = None) -> DataFrame:
     """Unpivot numeric columns to (ids..., column, value double)."""
     ids = list(ids or [])

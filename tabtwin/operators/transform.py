@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtwin.functions.binning import bin_midpoint, equal_width_bin
-from tabtwin.operators.ordered import medians
+from tabtwin.operators.ordered import medians, modes
 from tabtwin.spec import ColumnSpec
 
 MISSING_CODE = "NA"
@@ -87,13 +87,13 @@ def undiscretise(df: DataFrame, bounds: dict[str, tuple[float, float]], bins: in
 
 def reference_fills(real: DataFrame, spec: ColumnSpec) -> dict:
     """Median (numeric) or smallest most-frequent value (discrete) of each column of ``real``
-    that has no missing values. One aggregation for null counts and modes, one for medians."""
+    that has no missing values. One aggregation for null counts, one each for modes and medians."""
     cols = spec.all_columns
     aggs = [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls") for c in cols]
-    aggs += [F.mode(F.col(c), True).alias(f"{c}__mode") for c in spec.discrete]
     stats = real.agg(*aggs).first()
     complete = [c for c in cols if stats[f"{c}__nulls"] == 0]
-    fills = {c: stats[f"{c}__mode"] for c in complete if c in spec.discrete}
+    disc = [c for c in complete if c in spec.discrete]
+    fills = {r["column_name"]: r["mode"] for r in modes(real, disc).collect()} if disc else {}      # a row per column
     num = [c for c in complete if c in spec.numeric]
     if num:
         for r in medians(real, num).collect():  # one row per numeric column
@@ -109,6 +109,14 @@ def impute_from_reference(synth: DataFrame, real: DataFrame, spec: ColumnSpec) -
         for c in synth.columns])
 
 
+def restore_order(synth: DataFrame, real: DataFrame) -> DataFrame:
+    """The columns of ``real`` in its order and types. A column that only ``synth`` has goes; one that it lacks raises."""
+    missing = [c for c in real.columns if c not in synth.columns]
+    if missing:
+        raise ValueError(f"columns to put in order are missing: {missing}")
+    return synth.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in real.schema.fields])
+
+
 def upper_triangle(columns: list[str]) -> list[tuple[str, str]]:
     """Pairs (a, b) with a before b: the masked upper triangle of an association matrix."""
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]

@@ -338,7 +338,8 @@ def q_kde(spark, sf_dir):
     k = kde_table(real, synth, ["amount", "balance", "month_no"])
     of_column = Window.partitionBy("column_name")          # 200 grid points
     span = F.max("x").over(of_column) - F.min("x").over(of_column)
-    return rounded(k.select("column_name", "side", "grid_index", (F.col("density") * span).alias("scaled_density")))
+    return rounded(k.select("column_name", "side", "grid_index", (F.col("density") * span).alias("scaled_density"),
+                            (F.col("error_bound") * span).alias("scaled_error_bound")))
 
 
 @register("k_anonymity_profile")
@@ -480,18 +481,18 @@ def q_fidelity_row(spark, sf_dir):
     from tabtwin.operators.association import association_mae, compare_associations, named_pair_checks
     from tabtwin.operators.quality import missingness_comparison, missingness_mae, n_implausible, plausibility_checks
     from tabtwin.operators.univariate import univariate_fidelity, univariate_summary
+    from tabtwin.session import cut_lineage
     real, synth = fx.sides(spark, sf_dir)
     spec = fx.COHORT_COLUMNS
     uni = univariate_summary(univariate_fidelity(real, synth, spec))
     comp = compare_associations(real, synth, spec)
+    comp = cut_lineage(comp)                                     # a row per pair, read twice
     mae = association_mae(comp)
     named = named_pair_checks(comp, fx.COHORT_NAMED_PAIRS).agg(F.max("abs_diff").alias("named_max_abs_diff"))
     miss = missingness_mae(missingness_comparison(real, synth, spec.all_columns))
     impl = n_implausible(plausibility_checks(synth, fx.COHORT_PLAUSIBILITY))
-    row = uni.withColumn("_k", F.lit(1))
-    for part in (mae, named, miss, impl):   # one-row aggregates joined on a constant key
-        row = row.join(part.withColumn("_k", F.lit(1)), "_k")
-    return rounded(row.drop("_k").select(F.lit("synth_side").alias("generator"), "*"))
+    ones = [(part.columns[0], part.scalar()) for part in (mae, named, miss, impl)]        # one-row aggregates
+    return rounded(uni.select(F.lit("synth_side").alias("generator"), "*", *[value.alias(name) for name, value in ones]))
 
 
 # ---- scoring -------------------------------------------------------------------------
@@ -599,6 +600,13 @@ def q_membership(spark, sf_dir):
     return rounded(membership_inference(train, test, synth, fx.COHORT_COLUMNS))
 
 
+@register("membership_classifier")
+def q_membership_classifier(spark, sf_dir):
+    from tabtwin.operators.privacy import membership_classifier
+    train, test, synth = _privacy_inputs(spark, sf_dir)
+    return rounded(membership_classifier(train, test, synth, fx.COHORT_COLUMNS, fx.COHORT_SEED))
+
+
 @register("risk_with_ci")
 def q_risk(spark, sf_dir):
     """Wilson-interval risk arithmetic on per-segment success counts drawn from the cohort."""
@@ -613,58 +621,48 @@ def q_risk(spark, sf_dir):
 
 @register("singling_out_univariate")
 def q_so_uni(spark, sf_dir):
-    from tabtwin.operators.privacy import singling_out
+    from tabtwin.operators.attacks import singling_out
     train, test, synth = _privacy_inputs(spark, sf_dir)
     return rounded(singling_out(train, test, synth, fx.COHORT_COLUMNS, "univariate", 200, fx.COHORT_SEED))
 
 
 @register("singling_out_multivariate")
 def q_so_multi(spark, sf_dir):
-    from tabtwin.operators.privacy import singling_out
+    from tabtwin.operators.attacks import singling_out
     train, test, synth = _privacy_inputs(spark, sf_dir)
     return rounded(singling_out(train, test, synth, fx.COHORT_COLUMNS, "multivariate", 200, fx.COHORT_SEED))
 
 
-def _halves():
-    qi = list(fx.COHORT_ROLES.quasi_identifiers)
-    half = len(qi) // 2
-    return qi[:half], qi[half:]
-
-
 @register("linkability")
 def q_linkability(spark, sf_dir):
-    from tabtwin.operators.privacy import linkability
+    from tabtwin.operators.attacks import linkability, role_halves
     train, test, synth = _privacy_inputs(spark, sf_dir)
-    return rounded(linkability(train, test, synth, fx.COHORT_COLUMNS, _halves(), 200, fx.COHORT_SEED))
+    return rounded(linkability(train, test, synth, fx.COHORT_COLUMNS, role_halves(fx.COHORT_ROLES), 200, fx.COHORT_SEED))
 
 
-def _inference_rows(spark, sf_dir, secrets):
-    from tabtwin.operators.privacy import inference
+def _inference_rows(spark, sf_dir):
+    from tabtwin.operators.attacks import inference_risks, role_secrets
     train, test, synth = _privacy_inputs(spark, sf_dir)
     roles = fx.COHORT_ROLES
-    out = None
-    for s in secrets:
-        aux = [c for c in roles.quasi_identifiers if c != s]
-        r = inference(train, test, synth, fx.COHORT_COLUMNS, aux, s, s in roles.regression_secrets, 200, fx.COHORT_SEED)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return inference_risks(train, test, synth, fx.COHORT_COLUMNS, role_secrets(roles), roles.regression_secrets, 200, fx.COHORT_SEED)
 
 
 @register("inference")
 def q_inference(spark, sf_dir):
-    return rounded(_inference_rows(spark, sf_dir, fx.COHORT_ROLES.secrets))
+    return rounded(_inference_rows(spark, sf_dir))
 
 
 @register("inference_summary")
 def q_inference_summary(spark, sf_dir):
-    from tabtwin.operators.privacy import inference_summary
-    return rounded(inference_summary(_inference_rows(spark, sf_dir, fx.COHORT_ROLES.secrets)))
+    from tabtwin.operators.attacks import inference_summary
+    return rounded(inference_summary(_inference_rows(spark, sf_dir)))
 
 
 @register("release_gate")
 def q_release_gate(spark, sf_dir):
     """Every risk of the synthetic table vs the same risks when the holdout is released instead."""
-    from tabtwin.operators.privacy import release_gate, risk_metrics
+    from tabtwin.operators.attacks import risk_metrics
+    from tabtwin.operators.privacy import release_gate
     from tabtwin.session import cut_lineage
     train, test, synth = (cut_lineage(df) for df in _privacy_inputs(spark, sf_dir))     # each is read by every attack
     half = test.withColumn("_h", F.col("rid") % 2)
@@ -709,12 +707,10 @@ def q_dp_sweep(spark, sf_dir):
 
 @register("preprocess_features")
 def q_features(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
     from tabtwin.operators.models import preprocess_features
     train, test = fx.train_test(spark, sf_dir)
     plan = preprocess_features(train, fx.COHORT_COLUMNS, "target")
-    out = plan.transform(test)
-    return rounded(out.select("rid", vector_to_array("features").alias("features")))
+    return rounded(plan.transform(test).select("rid", F.posexplode("features").alias("place", "value")))
 
 
 @register("detection_auc")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabtwin.operators.contract import validate_columns
 from tabtwin.operators.split import stratified_split, validate_split
 from tabtwin.operators.transform import apply_decisions
-from tabtwin.session import cut_lineage
+from tabtwin.session import cut_lineage, together
 from tabtwin.sources.io import load_table, upsert_result_table, write_splits
 from tabtwin.spec import ColumnSpec, PlausibilityRule, RoleSpec, SplitSpec
 
@@ -45,48 +45,54 @@ def fidelity_metrics(real: DataFrame, synthetic: DataFrame, spec: ColumnSpec, na
 
     validate_columns(real, spec, ignore=(key,))
     validate_columns(synthetic, spec, ignore=(key,))
-    out = univariate_summary(univariate_fidelity(real, synthetic, spec)).first().asDict()
-    comp = compare_associations(real, synthetic, spec).cache()
-    out["mean_association_abs_diff"] = association_mae(comp).first()[0]
-    out["named_max_abs_diff"] = named_pair_checks(comp, named_pairs).agg(F.max("abs_diff")).first()[0]
-    comp.unpersist()
-    out["missingness_mae"] = missingness_mae(missingness_comparison(real, synthetic, spec.all_columns)).first()[0]
-    out["detection_auc"] = detection_auc(real, synthetic, spec, seed, key).first()[0] if detection else None
-    out["n_implausible"] = n_implausible(plausibility_checks(synthetic, rules)).first()[0]
+    def associations() -> dict:
+        comp = cut_lineage(compare_associations(real, synthetic, spec))                        # a row per pair
+        return {"mean_association_abs_diff": association_mae(comp).first()[0],
+                "named_max_abs_diff": named_pair_checks(comp, named_pairs).agg(F.max("abs_diff")).first()[0]}
+
+    parts = together(lambda: univariate_summary(univariate_fidelity(real, synthetic, spec)).first().asDict(), associations,
+                     lambda: {"missingness_mae": missingness_mae(missingness_comparison(real, synthetic, spec.all_columns)).first()[0]},
+                     lambda: {"detection_auc": detection_auc(real, synthetic, spec, seed, key).first()[0] if detection else None},
+                     lambda: {"n_implausible": n_implausible(plausibility_checks(synthetic, rules)).first()[0]})
+    out = {}
+    for part in parts:
+        out |= part
     return out
 
 
 def privacy_metrics(train, test, synthetic, spec: ColumnSpec, roles: RoleSpec, seed, n_attacks: int = 200,
                     skip_attacks: bool = False, key: str = "rid") -> dict:
+    from tabtwin.operators import attacks as at
     from tabtwin.operators import privacy as pv
 
-    out = {}
-    out["dcr_overfitting_protection"] = pv.dcr_overfitting_protection(train, test, synthetic, spec, key) \
-        .first()["dcr_overfitting_protection"]
-    out["dcr_baseline_protection"] = pv.dcr_baseline_protection(train, synthetic, spec, seed, key) \
-        .first()["dcr_baseline_protection"]
+    dcr = together(lambda: pv.dcr_overfitting_protection(train, test, synthetic, spec, key).first()["dcr_overfitting_protection"],
+                   lambda: pv.dcr_baseline_protection(train, synthetic, spec, seed, key).first()["dcr_baseline_protection"])
+    out = dict(zip(("dcr_overfitting_protection", "dcr_baseline_protection"), dcr))
     if skip_attacks:
         return out
-    qi = list(roles.quasi_identifiers)
-    halves = (qi[:len(qi) // 2], qi[len(qi) // 2:])
-    attacks = {f"singling_out_{mode}": partial(pv.singling_out, mode=mode, n_attacks=n_attacks, seed=seed, key=key) for mode in ("univariate", "multivariate")}
-    attacks["linkability"] = partial(pv.linkability, aux_cols=halves, n_attacks=n_attacks, seed=seed, key=key)
-    found: dict = {}                                 # one neighbour search for each distinct aux
-    for secret in roles.secrets:
-        attacks[f"inference_{secret}"] = partial(pv.inference, aux=[c for c in qi if c != secret], secret=secret,
-                                                 regression=secret in roles.regression_secrets, n_attacks=n_attacks, seed=seed, key=key, found=found)
-    risks = []
-    for name, attack in attacks.items():
-        fields = ("risk", "reliable") if name.startswith("inference_") else ("risk", "ci_low", "ci_high", "reliable")
-        got, error = {"risk": None, "reliable": False}, None
+    attacks = {f"singling_out_{mode}": partial(at.singling_out, mode=mode, n_attacks=n_attacks, seed=seed, key=key) for mode in ("univariate", "multivariate")}
+    attacks["linkability"] = partial(at.linkability, aux_cols=at.role_halves(roles), n_attacks=n_attacks, seed=seed, key=key)
+    if roles.secrets:
+        attacks["inference"] = partial(at.inference_risks, secrets=at.role_secrets(roles), regression=roles.regression_secrets, n_attacks=n_attacks, seed=seed, key=key)
+    def tried(name):
         try:
-            got = attack(train, test, synthetic, spec).first().asDict()
+            return [r.asDict() for r in attacks[name](train, test, synthetic, spec).collect()], None      # one row, or one per secret
         except Exception as e:  # noqa: BLE001 - one failing attack must not end the evaluation; its reason is kept
             error = f"{type(e).__name__}: {e}"[:300]
             warnings.warn(f"attack {name} failed: {error}", stacklevel=2)
-        out.update({f"{name}_{f}": got.get(f) for f in fields} | {f"{name}_error": error})
-        if name.startswith("inference_"):
-            risks.append(got["risk"])
+            return [], error
+
+    risks = []
+    for name, (got, error) in zip(attacks, together(*[partial(tried, name) for name in attacks])):
+        if name == "inference":
+            by_secret = {r["secret"]: r for r in got}
+            for s in roles.secrets:
+                r = by_secret.get(s, {"risk": None, "reliable": False})
+                out.update({f"inference_{s}_risk": r["risk"], f"inference_{s}_reliable": r["reliable"], f"inference_{s}_error": error})
+                risks.append(r["risk"])
+        else:
+            r = got[0] if got else {"reliable": False}
+            out.update({f"{name}_{f}": r.get(f) for f in ("risk", "ci_low", "ci_high", "reliable")} | {f"{name}_error": error})
     vals = [v for v in risks if v is not None]
     out["inference_risk_mean"] = sum(vals) / len(vals) if vals else None
     out["inference_risk_max"] = max(vals) if vals else None
@@ -104,10 +110,12 @@ def evaluate_job(spark: SparkSession, train: DataFrame, test: DataFrame, synthet
     train, test, synthetic = tables
     try:
         row = {"generator": name}
-        row.update(fidelity_metrics(train, synthetic, spec, named_pairs, rules, seed, key))
-        row.update(tstr_trtr(train, test, synthetic, spec, roles.target, seed).first().asDict())
+        parts = [lambda: fidelity_metrics(train, synthetic, spec, named_pairs, rules, seed, key),
+                 lambda: tstr_trtr(train, test, synthetic, spec, roles.target, seed).first().asDict()]
         if not skip_privacy:
-            row.update(privacy_metrics(train, test, synthetic, spec, roles, seed, n_attacks, skip_attacks, key))
+            parts.append(lambda: privacy_metrics(train, test, synthetic, spec, roles, seed, n_attacks, skip_attacks, key))
+        for part in together(*parts):
+            row.update(part)
     finally:
         for df in tables:
             df.unpersist()

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(*jobs: Callable[[], object], at_once: int = 4) -> list:
+    """What the jobs return, in order; Spark runs the jobs of several driver threads side by side, which fills the
+    cores while others plan or wait for a last task. The first failure is raised."""
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)

@@ -71,9 +71,9 @@ def test_private_marginals_count_every_row(spark):
     totals = {r.mid: r.n for r in marginal_counts(coded_rows(df, spec, dp), spec, dp).groupBy("mid").agg(F.sum("n").alias("n")).collect()}
     assert set(totals.values()) == {200}
     with pytest.raises(ValueError, match="1 in c"):
-        coded_rows(df.union(spark.createDataFrame([(1.0, "new")], df.schema)), spec, dp)
+        marginal_counts(coded_rows(df.union(spark.createDataFrame([(1.0, "new")], df.schema)), spec, dp), spec, dp)
     with pytest.raises(ValueError, match="1 in x"):
-        coded_rows(df.union(spark.createDataFrame([(None, "a")], df.schema)), spec, dp)
+        marginal_counts(coded_rows(df.union(spark.createDataFrame([(None, "a")], df.schema)), spec, dp), spec, dp)
 
 
 def test_twelve_thousand_levels_are_drawn_by_their_counts(spark):
