@@ -70,10 +70,6 @@ class SplitSpec:
             raise ValueError(f"split sizes must sum to 1, got {total}")
 
 
-#: Depth of the trees of forests and CART unless a call sets another: Spark's greatest. The reference's forests have no limit.
-TREE_DEPTH = 30
-
-
 @dataclass(frozen=True)
 class PlausibilityRule:
     """A named SQL predicate that marks an impossible row; skipped if a column is absent."""
