@@ -17,9 +17,11 @@ import json
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from tabtwin.llm.common import with_arrow_column
 #: Finished pre-tokens that a Python worker keeps; beyond it the cache starts anew (results do not depend on it).
 CACHE_WORDS = 200_000
 _NO_RANK = 2**31 - 1
-#: Pre-tokens of one length that are folded one by one if they are fewer.
-FEW = 24
+#: Pre-tokens of one length that are folded one by one if they are fewer, and bytes beyond which each is folded by itself.
+FEW, LONG = 24, 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,8 +104,9 @@ class Encoder:
                 names.append(word)
                 raws.append(raw)
         for length, (names, raws) in by_length.items():
-            if len(names) < FEW:
-                self.done.update((name, self._fold_one(raw)) for name, raw in zip(names, raws))
+            if length > LONG or len(names) < FEW:
+                fold = self._fold_long if length > LONG else self._fold_one
+                self.done.update((name, fold(raw)) for name, raw in zip(names, raws))
                 continue
             for at in range(0, len(names), step := max(1, 2_000_000 // length)):
                 self._fold(names[at:at + step], np.frombuffer(b"".join(raws[at:at + step]), dtype=np.uint8).reshape(-1, length))
@@ -124,19 +127,54 @@ class Encoder:
                 pairs[at] = rank(joined + parts[at + 1], _NO_RANK)
         return np.array([self.ranks[part] for part in parts], dtype=np.int32).tobytes()
 
+    def _fold_long(self, raw: bytes) -> bytes:
+        """The same fold in n log n: pairs wait in a heap by rank and place, parts are linked to their neighbours."""
+        rank, n = self.ranks.get, len(raw)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))           # of the part that starts at a place; 0: gone
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i:i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, at, end = heappop(heap)
+            middle = ends[at]
+            if not middle or middle == n or ends[middle] != end:
+                continue                                                       # one of the two parts has changed since
+            ends[at], ends[middle] = end, 0
+            if end < n:
+                before[end] = at
+                if (r := rank(raw[at:ends[end]])) is not None:
+                    heappush(heap, (r, at, ends[end]))
+            if (left := before[at]) >= 0 and (r := rank(raw[left:end])) is not None:
+                heappush(heap, (r, left, end))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[raw[at:ends[at]]])
+            at = ends[at]
+        return np.array(out, dtype=np.int32).tobytes()
+
     def _fold(self, names: list[str], raw: np.ndarray) -> None:
         ids, rows = self.byte_ids[raw], np.arange(len(raw))
+        ranks = self.pairs.ranks(ids[:, :-1], ids[:, 1:])
         while len(rows):
-            ranks = self.pairs.ranks(ids[:, :-1], ids[:, 1:]) if ids.shape[1] > 1 else np.full((len(rows), 1), _NO_RANK, dtype=np.int32)
-            at = ranks.argmin(axis=1)               # the leftmost of the lowest
-            best = ranks[np.arange(len(rows)), at]
+            if not ranks.shape[1]:                  # everything is one token
+                best = np.full(len(rows), _NO_RANK)
+                at = np.zeros(len(rows), dtype=np.int64)
+            else:
+                at = ranks.argmin(axis=1)           # the leftmost of the lowest
+                best = ranks[np.arange(len(rows)), at]
             over = best == _NO_RANK
             for row, value in zip(rows[over].tolist(), ids[over], strict=True):
                 self.done[names[row]] = value.tobytes()
-            ids, rows, at, best = ids[~over], rows[~over], at[~over], best[~over]
-            ids[np.arange(len(rows)), at] = best
+            if over.any():
+                ids, ranks, rows, at, best = ids[~over], ranks[~over], rows[~over], at[~over], best[~over]
+            each = np.arange(len(rows))
+            ids[each, at] = best
             place = np.arange(ids.shape[1] - 1)
             ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)
+            place = place[:-1]
+            ranks = np.take_along_axis(ranks, place + (place >= at[:, None]), axis=1)
+            for side in (at - 1, at):               # only the pairs with the new part change
+                there = np.flatnonzero((side >= 0) & (side < ranks.shape[1]))
+                ranks[there, side[there]] = self.pairs.ranks(ids[there, side[there]], ids[there, side[there] + 1])
 
     def finish(self, words: set[str]) -> dict[str, bytes]:
         """The cache, with ``words`` in it."""
@@ -151,6 +189,13 @@ class Encoder:
         done = self.finish(set().union(*cut))
         return [np.frombuffer(b"".join([done[word] for word in words]), dtype=np.int32) for words in cut]
 
+@lru_cache(maxsize=4)
+def token_array(path: str) -> pa.Array:
+    """The bytes of each id at its place; null where there is no such id."""
+    pieces = token_bytes(path)
+    return pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.large_binary())
+
+
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> dict[int, bytes]:
     """The bytes of each id, once for each Python worker and rank file."""
@@ -187,8 +232,15 @@ def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col:
     that is already named ``decoded`` is replaced.
     """
     def decoded(rows: pa.Array) -> pa.Array:
-        pieces = token_bytes(ranks_path)
-        return pa.array([b"".join([pieces[i] for i in row.as_py() or ()]) for row in rows], pa.binary())
+        pieces, ids = token_array(ranks_path), rows.flatten()
+        known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(pieces)))
+        taken = pc.take(pieces, pc.if_else(known, ids, pa.scalar(None, ids.type)))
+        if taken.null_count:
+            raise KeyError(f"no such token: {ids[pc.index(pc.is_null(taken), True).as_py()]}")
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])
+        _, starts, data = taken.buffers()           # the pieces lie one behind the other
+        starts = np.frombuffer(starts, dtype=np.int64)[taken.offset:] if len(taken) else np.zeros(1, dtype=np.int64)
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(starts[ends].astype(np.int32)), data or pa.py_buffer(b"")])
 
     return with_arrow_column(df, bytes_col, "binary", ids_col, True, decoded)
 
