@@ -21,26 +21,25 @@ def spark():
 
 @pytest.fixture(scope="session")
 def cohort_spec():
-    from tabtwin.spec import STROKE_COLUMNS
+    from health_table import STROKE_COLUMNS
     return STROKE_COLUMNS
 
 
 @pytest.fixture(scope="session")
 def cohort_rows():
-    """400-row health-style table (numeric / binary / categorical, 5 % missing bmi)."""
-    rng = np.random.default_rng(42)
-    n = 400
-    age = np.round(rng.uniform(1, 82, n), 1)
-    glucose = 80 + 0.5 * age + rng.normal(0, 10, n)
-    bmi = rng.uniform(15, 45, n)
-    bmi_missing = rng.random(n) < 0.05
+    """400 made-up patients: age groups with their own glucose and weight levels, habits that follow age, every 19th bmi missing."""
+    rng = np.random.default_rng(7)
     rows = []
-    for i in range(n):
-        rows.append((i, float(age[i]), float(glucose[i]), None if bmi_missing[i] else float(bmi[i]),
-                     int(rng.random() < 0.10), int(rng.random() < 0.05), int(rng.random() < 0.05),
-                     str(rng.choice(["Male", "Female"])), str(rng.choice(["Yes", "No"])),
-                     str(rng.choice(["Private", "Self-employed", "children"])), str(rng.choice(["Urban", "Rural"])),
-                     str(rng.choice(["never smoked", "smokes", "formerly smoked"]))))
+    for i in range(400):
+        group = i % 4                                   # young to old
+        age = float(np.clip(14 + 20 * group + rng.gamma(4, 2.5), 14, 92).round(1))
+        glucose = float(np.clip(rng.lognormal(4.5 + 0.07 * group, 0.18), 55, 260))
+        bmi = None if i % 19 == 3 else float(np.clip(21 + 2 * np.sqrt(group) + rng.normal(0, 3.5), 14, 55))
+        pressure, heart, stroke = (int(rng.random() < p) for p in (0.03 + 0.06 * group, 0.01 + 0.03 * group, 0.02 + 0.03 * group))
+        adult = group > 0
+        rows.append((i, age, glucose, bmi, pressure, heart, stroke, ("Female", "Male")[int(rng.random() < 0.45)],
+                     ("No", "Yes")[int(adult and rng.random() < 0.7)], ("Private", "Self-employed", "Govt_job")[int(rng.integers(0, 3))] if adult else "children",
+                     ("Rural", "Urban")[i // 7 % 2], ("never smoked", "formerly smoked", "smokes")[int(rng.integers(0, 1 + adult * 2))]))
     return rows
 
 

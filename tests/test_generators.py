@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tabtwin.operators.generate_dp import generate_dp
 from tabtwin.operators.generate_l2 import generate_l2
-from tabtwin.spec import STROKE_DP_BOUNDS, STROKE_VISIT_ORDER, ColumnSpec, DPSpec
+from health_table import STROKE_DP_BOUNDS, STROKE_VISIT_ORDER
+from tabtwin.spec import ColumnSpec, DPSpec
 
 
 @pytest.fixture(scope="module")
@@ -71,7 +72,7 @@ def test_dp_shape_bounds_and_nulls(cohort, cohort_spec):
 
 def test_cart_column_order_and_visit_order_effect(cohort, cohort_spec):
     from tabtwin.operators.generate_cart import generate_cart
-    from tabtwin.spec import STROKE_VISIT_ORDER
+    from health_table import STROKE_VISIT_ORDER
     small = cohort.filter("rid < 200")
     a = generate_cart(small, cohort_spec, list(STROKE_VISIT_ORDER), 24, key="rid")
     b = generate_cart(small, cohort_spec, list(reversed(STROKE_VISIT_ORDER)), 24, key="rid")
