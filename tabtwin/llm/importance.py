@@ -216,7 +216,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
     rows = docs.select(packed(docs.select(*[quoted[c] for c in names])).alias("row"), quoted[id_col].cast("long").alias("id"), quoted[text_col].alias("text"))
     gains = bucket_gains(feature_counts(docs, text_col, n_buckets), feature_counts(target, target_col, n_buckets))
-    # ``in`` can't be known before the cutoff is; the key columns are what the rounds read.
+    # Written, as every round of the selection reads its keys.
     table = written(scored(rows, gains, seed).select("*", (-F.col("score")).alias("a"), F.coalesce("id", F.lit(LAST)).alias("b")), "importance")
     enough = F.col("n_words") >= min_words
     k = percent * table.where(enough).count() // 100
