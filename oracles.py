@@ -283,19 +283,16 @@ l AS (SELECT column_name, value, side FROM (SELECT * FROM {_long('real_side', ['
       WHERE value IS NOT NULL),
 st AS (SELECT column_name, side, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h,
        min(value) AS lo, max(value) AS hi FROM l GROUP BY column_name, side),
-sp AS (SELECT column_name, min(lo) - 3.0 * max(h) AS g0, max(hi) + 3.0 * max(h) AS g1 FROM st GROUP BY column_name),
-pr AS (SELECT column_name, side, n, h, g0, g1 - g0 AS span, (g1 - g0) / 199 AS step, ((g1 - g0) / 199) / ceil((g1 - g0) / 199 * 64 / h) AS delta
-       FROM st JOIN sp USING (column_name) WHERE h > 0),
-sh AS (SELECT column_name, side, floor((value - g0) / delta) AS i, (value - g0) / delta - floor((value - g0) / delta) AS part FROM l JOIN pr USING (column_name, side)),
-fine AS (SELECT column_name, side, i, sum(w) AS w FROM (SELECT column_name, side, i, 1 - part AS w FROM sh UNION ALL SELECT column_name, side, i + 1, part FROM sh)
-         GROUP BY column_name, side, i),
-gx AS (SELECT *, unnest(range(200)) AS grid_index FROM pr),
-sums AS (SELECT gx.column_name, gx.side, gx.grid_index, sum(f.w * exp(-0.5 * pow((grid_index * step - f.i * delta) / h, 2))) AS s
-         FROM gx JOIN fine f ON f.column_name = gx.column_name AND f.side = gx.side AND abs(grid_index * step - f.i * delta) <= 8.0 * h
-         GROUP BY gx.column_name, gx.side, gx.grid_index)
-SELECT column_name, side, grid_index, round(coalesce(s, 0.0) / (n * h * sqrt(2 * pi())) * span, 6) AS scaled_density,
-  round((pow(delta / h, 2) / 8 + exp(-32)) / (sqrt(2 * pi()) * h) * span, 6) AS scaled_error_bound
-FROM gx LEFT JOIN sums USING (column_name, side, grid_index)"""
+sp AS (SELECT column_name, min(lo) - 3.0 * max(h) AS g0, max(hi) + 3.0 * max(h) AS g1 FROM st WHERE h > 0 GROUP BY column_name),
+g AS (SELECT column_name, unnest(range(200)) AS grid_index, g0, g1 FROM sp),
+gx AS (SELECT column_name, grid_index, g0 + grid_index * ((g1 - g0) / 199) AS x, g1 - g0 AS span FROM g),
+d AS (SELECT l.column_name, l.side, value, count(*) AS w FROM l GROUP BY ALL)
+SELECT gx.column_name, st.side, gx.grid_index,
+  round(sum(d.w * exp(-0.5 * ((gx.x - d.value) / st.h) * ((gx.x - d.value) / st.h))) / (st.n * st.h * sqrt(2 * pi()))
+        * max(gx.span), 6) AS scaled_density
+FROM gx JOIN st ON gx.column_name = st.column_name JOIN d ON d.column_name = st.column_name AND d.side = st.side
+WHERE st.h > 0
+GROUP BY gx.column_name, st.side, gx.grid_index, st.n, st.h"""
 
 
 def _kanon(cols, src="cohort"):

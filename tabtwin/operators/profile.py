@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,8 +110,8 @@ def histogram_table(df: DataFrame, columns: list[str], bins: int = 10, by: str |
                          .alias("density"))
 
 
-#: Fine points per bandwidth, and bandwidths after which a kernel is cut off.
-FINE, REACH = 64, 8.0
+#: Values that a task holds against the grid at a time.
+KDE_BLOCK = 1 << 12
 
 
 def kde_table(real: DataFrame, synthetic: DataFrame, columns: list[str], grid_size: int = 200,
@@ -115,11 +119,9 @@ def kde_table(real: DataFrame, synthetic: DataFrame, columns: list[str], grid_si
     """Gaussian KDE curves of each numeric column for both tables on a shared grid.
 
     Bandwidth per side = sample std * n^(-1/5) (Scott). The grid spans the union range
-    widened by ``cut`` bandwidths. Every value's weight is shared linearly by the two neighbours on a fine
-    grid (``FINE`` points or more per bandwidth; it holds the grid's points), and the fine points alone are summed, each over the grid
-    points within ``REACH`` bandwidths: the work behind the first scan doesn't depend on the number of values.
-    Returns (column_name, side, grid_index, x, density, error_bound): the exact sum is within ``error_bound``. A
-    column without spread has no curve.
+    widened by ``cut`` bandwidths. Exact: the kernel of every distinct value, times its count, at every grid
+    point; tasks sum their values' kernels, ``grid_size`` sums a curve. Returns (column_name, side, grid_index, x,
+    density). A column without spread has no curve.
     """
     tagged = (real.select(*columns, F.lit("real").alias("side"))
               .unionByName(synthetic.select(*columns, F.lit("synthetic").alias("side"))))
@@ -131,29 +133,31 @@ def kde_table(real: DataFrame, synthetic: DataFrame, columns: list[str], grid_si
     span = stats.groupBy("column_name").agg((F.min("lo") - F.lit(cut) * F.max("h")).alias("g0"),
                                             (F.max("hi") + F.lit(cut) * F.max("h")).alias("g1"))
     params = cut_lineage(stats.join(span, "column_name").withColumn("step", (F.col("g1") - F.col("g0")) / F.lit(grid_size - 1))
-                         .withColumn("delta", F.col("step") / F.ceil(F.col("step") * FINE / F.col("h")))
-                         .select("column_name", "side", "n", "h", "g0", "step", "delta"))       # columns x 2 rows
-    few = F.broadcast(params)
-    place = (F.col("value") - F.col("g0")) / F.col("delta")
-    shared = long.join(few, ["column_name", "side"]).select("column_name", "side", F.floor(place).alias("i"), (place - F.floor(place)).alias("part"))
-    fine = (shared.groupBy("column_name", "side", "i").agg(F.count(F.lit(1)).alias("c"), F.sum("part").alias("up"))
-            .select("column_name", "side", F.explode(F.array(F.struct("i", (F.col("c") - F.col("up")).alias("w")),
-                                                             F.struct((F.col("i") + 1).alias("i"), F.col("up").alias("w")))).alias("p"))
-            .groupBy("column_name", "side", F.col("p.i").alias("i")).agg(F.sum("p.w").alias("w")))
-    at = F.col("i") * F.col("delta")                                                             # from g0
-    first = F.greatest(F.lit(0), F.ceil((at - REACH * F.col("h")) / F.col("step")))
-    last = F.least(F.lit(grid_size - 1), F.floor((at + REACH * F.col("h")) / F.col("step")))
-    near = fine.join(few, ["column_name", "side"]).where(first <= last).select(
-        "column_name", "side", "w", "h", at.alias("at"), "step", F.explode(F.sequence(first, last)).alias("grid_index"))
-    z = (F.col("grid_index") * F.col("step") - F.col("at")) / F.col("h")
-    sums = near.groupBy("column_name", "side", "grid_index").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("s"))
-    grid = params.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid_size - 1).cast("bigint"))).alias("grid_index"))
-    root = math.sqrt(2 * math.pi)
-    # Linear sharing errs by delta^2 / 8 times the kernel's greatest curvature, phi(0) / h^3; the cut by its height there.
-    bound = (F.pow(F.col("delta") / F.col("h"), 2) / 8 + math.exp(-REACH * REACH / 2)) / (root * F.col("h"))
-    return grid.join(sums, ["column_name", "side", "grid_index"], "left").select(
-        "column_name", "side", F.col("grid_index").cast("int").alias("grid_index"), (F.col("g0") + F.col("grid_index") * F.col("step")).alias("x"),
-        (F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.col("h") * root)).alias("density"), bound.alias("error_bound"))
+                         .select("column_name", "side", "n", "h", "g0", "step"))       # columns x 2 rows
+    distinct = long.groupBy("column_name", "side", "value").agg(F.count(F.lit(1)).alias("w"))
+    curves = params.collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(curves), grid_size))
+        for batch in batches:
+            value, w = (batch.column(c).to_numpy() for c in ("value", "w"))
+            for i, r in enumerate(curves):
+                own = pc.and_(pc.equal(batch.column("column_name"), r.column_name), pc.equal(batch.column("side"), r.side))
+                at = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+                x = r.g0 + np.arange(grid_size) * r.step
+                for s in range(0, len(at), KDE_BLOCK):
+                    here = at[s:s + KDE_BLOCK]
+                    z = (x[None, :] - value[here, None]) / r.h
+                    sums[i] += w[here] @ np.exp(-0.5 * z * z)
+        for r, s in zip(curves, sums):
+            yield pa.RecordBatch.from_arrays([pa.array([r.column_name] * grid_size, pa.string()), pa.array([r.side] * grid_size, pa.string()),
+                                              pa.array(np.arange(grid_size, dtype=np.int32)), pa.array(s)], names=["column_name", "side", "grid_index", "s"])
+
+    parts = distinct.mapInArrow(run, "column_name string, side string, grid_index int, s double")
+    sums = parts.groupBy("column_name", "side", "grid_index").agg(F.sum("s").alias("s"))
+    return sums.join(F.broadcast(params), ["column_name", "side"]).select(
+        "column_name", "side", "grid_index", (F.col("g0") + F.col("grid_index") * F.col("step")).alias("x"),
+        (F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def combo_counts(df: DataFrame, columns: list[str]) -> DataFrame:
