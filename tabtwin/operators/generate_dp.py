@@ -32,6 +32,9 @@ from tabtwin.operators.transform import MISSING_CODE, discretise, restore_types,
 from tabtwin.session import cut_lineage
 from tabtwin.spec import ColumnSpec, DPSpec
 
+#: Cells of a marginal, over all epsilons, that are broadcast to the rows to be drawn.
+CELLS = 1 << 17
+
 
 def code_domain(spec: ColumnSpec, dp: DPSpec, column: str) -> list[str]:
     if column in spec.numeric:
@@ -114,24 +117,29 @@ def _weights(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _pick(table: Column, u: Column) -> Column:
-    k = u * F.element_at(table["cum"], -1)
-    pos = F.size(F.filter(table["cum"], lambda c: c <= k)) + 1
-    return F.element_at(table["values"], F.least(pos, F.size(table["values"])))
+    """The value of ``table`` at ``u``. The table and the draw are bound as elements, so that neither is computed again for each weight."""
+    def at(t: Column) -> Column:
+        return F.transform(F.array(u * F.element_at(t["cum"], -1)), lambda k: F.element_at(
+            t["values"], F.least(F.size(F.filter(t["cum"], lambda c: c <= k)) + 1, F.size(t["values"]))))
+
+    return F.get(F.flatten(F.transform(F.array(table), at)), F.lit(0))
 
 
 def _sampled(noisy: DataFrame, plan: list[tuple[str, ...]], epsilons: list[float], n: int, seed) -> DataFrame:
     """(eps, id, code columns): ``n`` rows for each epsilon."""
+    sizes = {r["mid"]: r["count"] for r in noisy.groupBy("mid").count().collect()}         # cells of each marginal
     out = noisy.sparkSession.range(n).select(F.explode(F.array(*[F.lit(repr(e)) for e in epsilons])).alias("eps"), "id")
     for i, cols in enumerate(plan):
         child, parents = cols[-1], list(cols[:-1])
         cells = noisy.where(F.col("mid") == i).select("eps", *[F.col("cell")[j].alias(p) for j, p in enumerate(parents)],
                                                       F.element_at("cell", -1).alias("value"), "noisy")
-        # Both tables have a row per epsilon and cell of the parents' public domain at most; broadcast if their size allows.
+        # Both tables have a row per epsilon and cell of the parents' public domain at most; the rows stay where they are.
         given = _weights(cells, ["eps", *parents]).withColumnRenamed("table", "_given")
         alone = _weights(cells.groupBy("eps", "value").agg(F.sum("noisy").alias("noisy")), ["eps"]).withColumnRenamed("table", "_alone")
-        step = out.join(given, ["eps", *parents], "left").join(alone, "eps", "left")
+        given = F.broadcast(given) if sizes.get(i, 0) <= CELLS else given
+        step = out.join(given, ["eps", *parents], "left").join(F.broadcast(alone), "eps", "left")
         u = hash_uniform(seed, F.concat(F.lit("dp-sample:"), F.col("eps"), F.lit(f":{child}")), "id")
-        value = F.when(F.element_at("_given.cum", -1) > 0, _pick(F.col("_given"), u)).otherwise(_pick(F.col("_alone"), u))
+        value = _pick(F.when(F.element_at("_given.cum", -1) > 0, F.col("_given")).otherwise(F.col("_alone")), u)
         out = step.withColumn(child, value).drop("_given", "_alone")
         if (i + 1) % 4 == 0:
             out = cut_lineage(out)      # two joins per column: keep the plan short
@@ -156,8 +164,9 @@ def dp_sweep(real: DataFrame, spec: ColumnSpec, dp: DPSpec, epsilons, seed, nois
         raise ValueError("visit_order must be a permutation of the declared columns")
     if noise_seed is None:
         noise_seed = _secrets.randbits(62)
-    n = real.count() if n is None else n          # the row count is public
     counts = marginal_counts(coded_rows(real, spec, dp), spec, dp)
+    if n is None:                                  # the row count is public; every row is in a cell of the first marginal
+        n = counts.where(F.col("mid") == 0).agg(F.sum("n")).first()[0]
     noisy = cut_lineage(with_noise(counts, dp, epsilons, noise_seed))   # small: sum of domain sizes
     codes = _sampled(noisy, marginal_plan(list(dp.visit_order)), epsilons, n, seed)
     kept = codes.select(*spec.all_columns, F.col("id").cast("string").alias("__id"), F.col("eps").alias("__eps"))

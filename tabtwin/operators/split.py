@@ -9,13 +9,18 @@ strata x buckets table). Hash order is bucket order, so the rank is the global o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtwin.functions.hashing import hash_uniform
+from tabtwin.session import cut_lineage
 from tabtwin.spec import SplitSpec
 
 RANK_BUCKETS = 1 << 16
+#: Strata whose cuts are broadcast; more are joined as Spark sees fit.
+STRATA = 1 << 14
 
 
 def hash_rank(df: DataFrame, seed, tag: str, key: str, strata: list[str] | None = None,
@@ -42,6 +47,39 @@ def hash_rank(df: DataFrame, seed, tag: str, key: str, strata: list[str] | None
     return ranked.select(*df.columns, "_u", "_rank", "_n")        # input column order kept
 
 
+def hash_parts(df: DataFrame, seed, tag: str, key: str, stratum: str, names: list[str],
+               ends: Callable[[Column], list[Column]]) -> DataFrame:
+    """Add ``split``: in hash order within its stratum, the rows up to each of ``ends`` (of the stratum's size) get the
+    next of ``names``, the others the last: the rows that ``hash_rank`` would give those ranks.
+
+    Only rows of the bucket in which a part ends are ranked, once; buckets before and after belong to one part as a
+    whole, so that the table isn't shuffled.
+    """
+    base = df.withColumn("_u", hash_uniform(seed, tag, key)).withColumn("_b", F.floor(F.col("_u") * RANK_BUCKETS).cast("int"))
+    sizes = base.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    whole = Window.partitionBy(stratum)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(stratum).alias("_o"), "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"), F.sum("_bn").over(whole).alias("_n"))
+    last = {f"_c{i}": F.coalesce(F.max(F.when(F.col("_off") < end, F.struct("_b", (end - F.col("_off")).alias("rest")))), F.struct(F.lit(-1).alias("_b"), F.lit(0).cast("bigint").alias("rest")))
+            for i, end in enumerate(e.cast("bigint") for e in ends(F.col("_n").cast("double")))}
+    cuts = cut_lineage(offsets.groupBy("_o").agg(*[c.alias(name) for name, c in last.items()]))          # a row per stratum
+    few = F.broadcast(cuts) if cuts.count() <= STRATA else cuts
+    placed = base.join(few, F.col(stratum).eqNullSafe(F.col("_o")), "left")
+    cut = F.lit(False)
+    for c in last:
+        cut = cut | (F.col("_b") == F.col(f"{c}._b"))
+
+    def named(rows: DataFrame, rank: Column) -> DataFrame:
+        label, rows, rank = F.lit(names[-1]), rows.withColumn("_rank", rank), F.col("_rank")
+        for c, name in reversed(list(zip(last, names))):
+            label = F.when((F.col("_b") < F.col(f"{c}._b")) | ((F.col("_b") == F.col(f"{c}._b")) & (rank <= F.col(f"{c}.rest"))), name).otherwise(label)
+        return rows.select(*df.columns, label.alias("split"))
+
+    within = Window.partitionBy(stratum, "_b").orderBy("_u", key)
+    ranked = cut_lineage(named(placed.where(cut), F.row_number().over(within)))
+    return named(placed.where(~cut), F.lit(0)).unionByName(ranked)
+
+
 def stratified_split(df: DataFrame, spec: SplitSpec, seed, key: str = "rid",
                      allow_null_strata: bool = False) -> DataFrame:
     """Add ``split`` in {train, test, val}: per stratum the first floor(n*train) rows in hash
@@ -54,16 +92,13 @@ def stratified_split(df: DataFrame, spec: SplitSpec, seed, key: str = "rid",
         nulls = df.filter(F.col(strat).isNull()).count()
         if nulls:
             raise ValueError(f"{nulls} rows have no value in the stratum column {strat!r}; fill or remove them, or allow null strata")
-    ranked = hash_rank(df, seed, "split", key, [strat])
-    n = F.col("_n").cast("double")
-    n_train = F.floor(n * F.lit(float(spec.train_size)))
-    if spec.val_size is None:
-        label = F.when(F.col("_rank") <= n_train, "train").otherwise("test")
-    else:
-        n_test = F.floor(n * F.lit(float(spec.test_size)))
-        label = (F.when(F.col("_rank") <= n_train, "train")
-                 .when(F.col("_rank") <= n_train + n_test, "test").otherwise("val"))
-    return ranked.withColumn("split", label).drop("_u", "_rank", "_n")
+    train, names = float(spec.train_size), ["train", "test"] if spec.val_size is None else ["train", "test", "val"]
+
+    def ends(n: Column) -> list[Column]:
+        first = F.floor(n * F.lit(train))
+        return [first] if spec.val_size is None else [first, first + F.floor(n * F.lit(float(spec.test_size)))]
+
+    return hash_parts(df, seed, "split", key, strat, names, ends)
 
 
 def validate_split(labelled: DataFrame, spec: SplitSpec) -> None:
@@ -89,10 +124,7 @@ def seeded_shuffle(df: DataFrame, seed, key: str = "rid") -> DataFrame:
 def stratified_holdout(df: DataFrame, label: str, seed, key: str = "rid", test_size: float = 0.3) -> DataFrame:
     """70/30 (default) stratified on ``label``: adds ``split`` in {train, test}."""
     spec = SplitSpec(train_size=1.0 - test_size, test_size=test_size, stratify_col=label)
-    ranked = hash_rank(df, seed, "holdout", key, [label])
-    n_train = F.floor(F.col("_n").cast("double") * F.lit(float(spec.train_size)))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= n_train, "train").otherwise("test")) \
-        .drop("_u", "_rank", "_n")
+    return hash_parts(df, seed, "holdout", key, label, ["train", "test"], lambda n: [F.floor(n * F.lit(float(spec.train_size)))])
 
 
 def indexed(df: DataFrame, seed, tag: str, key: str) -> DataFrame:
