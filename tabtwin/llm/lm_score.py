@@ -25,11 +25,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ WORDS, SUFFIXES, CLASSES, WIDTH, STEP = 512, 512, 32, 8, 8192
 TOKENS = WORDS + SUFFIXES
 IN_CLASS = TOKENS // CLASSES
 OFFSETS = (-2, -1, 1, 2)
+#: Windows that are scored at a time, which doesn't change their scores, and rows of one product in that.
+SCORED, ROWS = 1 << 16, 1024
 #: Distinct words at which the least numbers are doubled for the first time.
 GROWS_FROM = 131_072
 #: Occurrences that all words outside the corpus have together in each token.
@@ -92,6 +95,23 @@ class Tokens(dict):
     def of_words(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
+    def of_array(self, words: pa.StringArray) -> np.ndarray:
+        """Each distinct word, and each distinct ending of the rare ones, is looked up once."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        tokens = pc.index_in(distinct, value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        rare = tokens < 0
+        endings = pc.utf8_slice_codeunits(distinct.filter(pa.array(rare)), start=-self.ending).dictionary_encode()
+        hashed = [self.frequent + zlib.crc32(e.encode()) % self.frequent for e in endings.dictionary.to_pylist()]
+        tokens[rare] = np.array(hashed, np.int32)[endings.indices.to_numpy(zero_copy_only=False)]
+        return tokens[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def of_texts(self, texts: list[str | None]) -> tuple[pa.StringArray, list[np.ndarray]]:
+        """(the words of all texts, the tokens of each text)."""
+        split = [(text or "").split() for text in texts]
+        words = pa.array(list(chain.from_iterable(split)), pa.string())
+        return words, np.split(self.of_array(words), np.cumsum([len(words) for words in split], dtype=np.int64)[:-1])
+
 
 def _ending(frequent: int) -> int:
     """Characters of a rare word's ending that its token is made of: two, and one more for each four times as many frequent words, begun."""
@@ -125,55 +145,101 @@ class WindowNet:
         return net
 
     def hidden(self, contexts: list[np.ndarray]) -> np.ndarray:
-        return np.tanh(sum(table[ids] for table, ids in zip(self.p["context"], contexts)))
+        total = np.take(self.p["context"][0], contexts[0], axis=0)
+        for table, ids in zip(self.p["context"][1:], contexts[1:]):
+            total += np.take(table, ids, axis=0)
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, targets: np.ndarray, contexts: list[np.ndarray], descend: dict[str, np.ndarray] | None = None, rate: float = 0.1) -> np.ndarray:
         """Of each target given its context; with ``descend`` (sums of squared gradients), one step of descent is made as well."""
         p, n = self.p, len(targets)
         classes, in_class = p["word_bias"].shape
-        order = np.argsort(targets, kind="stable")  # tokens of one class lie together
-        targets, contexts = targets[order], [c[order] % (self.tokens + 1) for c in contexts]    # padding is the last one
-        h, owner = self.hidden(contexts), targets // in_class
-        edges = np.searchsorted(owner, np.arange(classes + 1))
-        at = np.arange(n)
-        top, total, out = _softmax(h, p["classes"], p["class_bias"], at, owner)
-        if descend is not None:
-            top[at, owner] -= total
-            scale = 1 / total
-            grads = {"classes": top.T @ (h * scale[:, None]), "class_bias": top.T @ scale, "words": np.zeros_like(p["words"]), "word_bias": np.zeros_like(p["word_bias"])}
-            back = (top @ p["classes"]) * scale[:, None]
-        for c in range(classes):
-            a, b = edges[c], edges[c + 1]
-            if a == b:
-                continue
-            rows, inside = at[:b - a], targets[a:b] - c * in_class
-            low, total, logs = _softmax(h[a:b], p["words"][c], p["word_bias"][c], rows, inside)
-            out[a:b] += logs
-            if descend is not None:
-                low[rows, inside] -= total
-                scale = 1 / total
-                grads["words"][c], grads["word_bias"][c] = low.T @ (h[a:b] * scale[:, None]), low.T @ scale
-                back[a:b] += (low @ p["words"][c]) * scale[:, None]
-        if descend is not None:
-            back *= 1 - h * h
-            place, flat = np.arange(WIDTH), back.astype(np.float64).ravel()
-            grads["context"] = np.stack([np.bincount((ids[:, None] * WIDTH + place).ravel(), flat, minlength=(self.tokens + 1) * WIDTH).reshape(-1, WIDTH) for ids in contexts]).astype(np.float32)
-            for name, grad in grads.items():
-                descend[name] += grad * grad
-                p[name] -= rate * grad / (np.sqrt(descend[name]) + 1e-6)
-        result = np.empty(n)
+        order = _by_token(targets, self.tokens)         # tokens of one class lie together
+        targets, contexts = targets[order], [np.take(np.where(c < 0, self.tokens, c), order) for c in contexts]      # padding is the last one
+        h, owner = np.ones((n, WIDTH + 1), np.float32), targets // in_class
+        h[:, :WIDTH] = self.hidden(contexts)            # the last one takes the biases
+        inside = targets - owner * in_class
+        edges = np.searchsorted(owner, np.arange(classes + 1)).tolist()
+        top_weights, top_near = _weights(p["classes"], p["class_bias"])
+        low_weights, low_near = _weights(p["words"], p["word_bias"])
+        held = [(c, a, b) for c, a, b in zip(range(classes), edges, edges[1:]) if a < b]
+        out, result = np.empty(n, np.float32), np.empty(n)
+        if descend is None:                             # a few rows at a time, which stay in the processor's cache
+            for a in range(0, n, ROWS):
+                b = min(a + ROWS, n)
+                out[a:b] = _softmax(h[a:b] @ top_weights, top_near, owner[a:b])[2]
+            for c, first, end in held:
+                for a in range(first, end, ROWS):
+                    b = min(a + ROWS, end)
+                    out[a:b] += _softmax(h[a:b] @ low_weights[c], low_near, inside[a:b])[2]
+            result[order] = out
+            return result
+        top_grad, back = np.zeros((classes, WIDTH + 1), np.float32), np.empty((n, WIDTH), np.float32)
+        for a in range(0, n, ROWS):
+            b = min(a + ROWS, n)
+            top, total, out[a:b] = _softmax(h[a:b] @ top_weights, top_near, owner[a:b])
+            top[np.arange(b - a), owner[a:b]] -= total
+            scale = (1 / total)[:, None]
+            top_grad += top.T @ (h[a:b] * scale)
+            np.multiply(top @ p["classes"], scale, out=back[a:b])
+        grads = {}
+        grads["classes"], grads["class_bias"] = _parted(top_grad)
+        low = np.empty((n, in_class), np.float32)
+        for c, a, b in held:
+            np.matmul(h[a:b], low_weights[c], out=low[a:b])
+        low, total, logs = _softmax(low, low_near, inside)
+        out += logs
+        low[np.arange(n), inside] -= total
+        scale = 1 / total
+        scaled, both, below = h * scale[:, None], np.zeros((classes, in_class, WIDTH + 1), np.float32), np.empty((n, WIDTH), np.float32)
+        for c, a, b in held:
+            np.matmul(low[a:b].T, scaled[a:b], out=both[c])
+            np.matmul(low[a:b], p["words"][c], out=below[a:b])
+        grads["words"], grads["word_bias"] = _parted(both)
+        below *= scale[:, None]
+        back += below
+        back *= 1 - h[:, :WIDTH] ** 2
+        for name, grad in grads.items():
+            squares = descend[name]
+            squares += grad * grad
+            p[name] -= rate * grad / (np.sqrt(squares) + 1e-6)
+        for table, squares, ids in zip(p["context"], descend["context"], contexts):     # only the tokens that occur have a gradient
+            by = _by_token(ids, self.tokens)
+            ids = ids[by]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if n else np.zeros(0, np.int64)
+            held = ids[first].astype(np.int64)
+            grad = np.add.reduceat(np.take(back, by, axis=0), first, axis=0) if n else back
+            summed = np.take(squares, held, axis=0)
+            summed += grad * grad
+            squares[held] = summed
+            table[held] -= rate * grad / (np.sqrt(summed) + 1e-6)
         result[order] = out
         return result
 
 
-def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(powers, their sum by row, log-probability of the chosen ones); the powers are left undivided."""
-    z = h @ weights.T
-    z += bias
-    reach = np.abs(weights).sum(axis=1)             # no entry of ``h`` is beyond 1
-    most = (bias + reach).max()
-    z -= most if most - (bias - reach).min() < 60 else z.max(axis=1, keepdims=True)
-    out = z[rows, chosen]
+def _by_token(ids: np.ndarray, tokens: int) -> np.ndarray:
+    """The stable order by token; padding is ``tokens``. Short integers are sorted by counting."""
+    return np.argsort(ids.astype(np.uint16) if tokens < 1 << 16 else ids, kind="stable")
+
+
+def _weights(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(weights and biases to multiply h by, less the most that comes out of it; whether no power gets too small by that), for each class."""
+    reach = np.abs(weights).sum(axis=-1)                # no entry of ``h`` is beyond 1
+    most = (bias + reach).max(axis=-1, keepdims=True)
+    near = bool((most - (bias - reach).min(axis=-1, keepdims=True)).max() < 60)
+    both = np.concatenate([weights, (bias - most)[..., None]], axis=-1)
+    return np.ascontiguousarray(np.swapaxes(both, -1, -2)), near
+
+
+def _parted(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return both[..., :WIDTH], both[..., WIDTH]
+
+
+def _softmax(z: np.ndarray, near: bool, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(powers, their sum by row, log-probability of the chosen ones); the powers are left undivided, in place of ``z``."""
+    if not near:
+        z -= z.max(axis=1, keepdims=True)
+    out = z[np.arange(len(z)), chosen]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
     return z, total, out - np.log(total)
@@ -190,9 +256,9 @@ def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     return line[at], [line[at + offset] for offset in OFFSETS]
 
 
-def _steps(targets: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    for a in range(0, len(targets), STEP):
-        yield targets[a:a + STEP], [c[a:a + STEP] for c in contexts]
+def _steps(targets: np.ndarray, contexts: list[np.ndarray], step: int = STEP) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    for a in range(0, len(targets), step):
+        yield targets[a:a + step], [c[a:a + step] for c in contexts]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -234,7 +300,7 @@ def train_network(docs: DataFrame, text_col: str = "text", counts: DataFrame | N
         squares = net.zeros()
         for batch in batches:
             for part in slices(batch, "text"):
-                for targets, contexts in _steps(*windows([tokens.of(text or "") for text in part.column("text").to_pylist()])):
+                for targets, contexts in _steps(*windows(tokens.of_texts(part.column("text").to_pylist())[1])):
                     net.log_probabilities(targets, contexts, squares)
                     seen += len(targets)
         if seen:
@@ -281,9 +347,8 @@ def score_documents(docs: DataFrame, words: list[str], net: WindowNet, text_col:
     def run(texts: pa.Array) -> pa.Array:
         words, flat, logs = shared.value
         tokens, net = Tokens(words), WindowNet(flat)
-        split = [(text or "").split() for text in texts.to_pylist()]
-        documents = [tokens.of_words(d) for d in split]
-        parts = [net.log_probabilities(*step) for step in _steps(*windows(documents))]
+        all_words, documents = tokens.of_texts(texts.to_pylist())
+        parts = [net.log_probabilities(*step) for step in _steps(*windows(documents), SCORED)]
         ends = np.cumsum([0, *map(len, documents)])
 
         def sums(values: list[np.ndarray]) -> pa.Array:
@@ -296,8 +361,7 @@ def score_documents(docs: DataFrame, words: list[str], net: WindowNet, text_col:
             rare = line >= tokens.frequent
             columns["token_logs"] = sums([np.where(rare, logs[line - tokens.frequent * rare], 0.0)])
             offsets = np.concatenate([[0], np.cumsum(rare)])[ends]
-            chosen = pa.array(list(compress(chain.from_iterable(split), rare.tolist())), pa.string())
-            columns["rare"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), chosen)
+            columns["rare"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), all_words.filter(pa.array(rare)))
         return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     if not by_word:
