@@ -69,16 +69,20 @@ def with_arrow_column(df: DataFrame, name: str, kind: str, source: str | list[st
     """
     sources = [source] if isinstance(source, str) else source
     others = [c for c in df.columns if c.lower() != name.lower() and (keep_source or c not in sources)]
-    inner = df.select(F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in others]).alias("row"), *[F.col(quoted(c)).alias(f"source{i}") for i, c in enumerate(sources)])
+    # A source that stays goes to Python once and comes back as it is.
+    place = {c: f"source{i}" for i, c in enumerate(sources) if c in others}
+    inner = df.select(F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in others if c not in place]).alias("row"), *[F.col(quoted(c)).alias(f"source{i}") for i, c in enumerate(sources)])
+    kept = ["row", *place.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "source0"):
                 made = values(*[part.column(f"source{i}") for i in range(len(sources))])
-                yield pa.RecordBatch.from_arrays([part.column("row"), made], names=["row", "value"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], made], names=[*kept, "value"])
+            batch = part = made = None              # let go before the next one is read
 
-    made = StructType([inner.schema["row"], StructField("value", DataType.fromDDL(kind))])
-    return inner.mapInArrow(run, made).select(*[F.col("row").getField(c).alias(c) for c in others], F.col("value").alias(name))
+    made = StructType([*[inner.schema[c] for c in kept], StructField("value", DataType.fromDDL(kind))])
+    return inner.mapInArrow(run, made).select(*[F.col(place[c]).alias(c) if c in place else F.col("row").getField(c).alias(c) for c in others], F.col("value").alias(name))
 
 
 def quoted(name: str) -> str:
