@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -106,11 +105,19 @@ class Tokens(dict):
         tokens[rare] = np.array(hashed, np.int32)[endings.indices.to_numpy(zero_copy_only=False)]
         return tokens[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def of_texts(self, texts: list[str | None]) -> tuple[pa.StringArray, list[np.ndarray]]:
+    def of_texts(self, texts: pa.StringArray | list[str | None]) -> tuple[pa.StringArray, list[np.ndarray]]:
         """(the words of all texts, the tokens of each text)."""
-        split = [(text or "").split() for text in texts]
-        words = pa.array(list(chain.from_iterable(split)), pa.string())
-        return words, np.split(self.of_array(words), np.cumsum([len(words) for words in split], dtype=np.int64)[:-1])
+        words, counts = words_of(texts)
+        return words, np.split(self.of_array(words), np.cumsum(counts, dtype=np.int64)[:-1])
+
+
+def words_of(texts: pa.StringArray | list[str | None]) -> tuple[pa.StringArray, np.ndarray]:
+    """(the words of all texts, as ``str.split`` cuts them; how many each text has)."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    pieces, owner = split.flatten(), pc.list_parent_indices(split)
+    held = pc.greater(pc.binary_length(pieces), 0)      # nothing stands before white space at a text's start, nor after it at the end
+    return pieces.filter(held), np.bincount(owner.filter(held).to_numpy(), minlength=len(texts))
 
 
 def _ending(frequent: int) -> int:
@@ -300,7 +307,7 @@ def train_network(docs: DataFrame, text_col: str = "text", counts: DataFrame | N
         squares = net.zeros()
         for batch in batches:
             for part in slices(batch, "text"):
-                for targets, contexts in _steps(*windows(tokens.of_texts(part.column("text").to_pylist())[1])):
+                for targets, contexts in _steps(*windows(tokens.of_texts(part.column("text"))[1])):
                     net.log_probabilities(targets, contexts, squares)
                     seen += len(targets)
         if seen:
@@ -347,7 +354,7 @@ def score_documents(docs: DataFrame, words: list[str], net: WindowNet, text_col:
     def run(texts: pa.Array) -> pa.Array:
         words, flat, logs = shared.value
         tokens, net = Tokens(words), WindowNet(flat)
-        all_words, documents = tokens.of_texts(texts.to_pylist())
+        all_words, documents = tokens.of_texts(texts)
         parts = [net.log_probabilities(*step) for step in _steps(*windows(documents), SCORED)]
         ends = np.cumsum([0, *map(len, documents)])
 
